@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .minhash import op2_minhash_dedup
+from .packing import op3_packing
+from .tokenfile import op10_token_file
 
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_packing": op3_packing,
+    "op10_token_file": op10_token_file,
 }
 
 ORACLES: dict[str, str] = {}
