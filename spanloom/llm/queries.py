@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .minhash import op2_minhash_dedup
 from .packing import op3_packing
 from .tokenfile import op10_token_file
@@ -9,7 +10,10 @@ from .tokenfile import op10_token_file
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
+    "op8_decontaminate": op8_decontaminate,
     "op10_token_file": op10_token_file,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontaminate": OP8_SQL,
+}
