@@ -125,3 +125,42 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     scratch.drop(work)
     return labels
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, bound: int, modulus: int, left_out: int, id_col: str = "doc_id", text_col: str = "text"
+) -> list[tuple[int, str, int]]:
+    """(id, text, label) of about ``bound`` labelled training rows, sorted by id.
+
+    The sample is drawn from the labels by a hash of the id, before any text is
+    read, so its size is known and its ids may be broadcast; the corpus is
+    scanned once and never shuffled. Rows with the held-out remainder, a null id
+    or label, or (by maximum) repeated labels are settled here.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
+    known = known.where(remainder("i", modulus) != left_out)
+    chosen = hash_fraction(known, F.col("i"), bound).groupBy("i").agg(F.max("y").alias("y")).limit(2 * bound).collect()
+    if not chosen:
+        return []
+    few = spark.createDataFrame([(r["i"], r["y"]) for r in chosen], "i bigint, y int")
+    found = docs.join(F.broadcast(few), docs[id_col] == few["i"]).select("i", F.coalesce(F.col(text_col), F.lit("")).alias("t"), "y")
+    return sorted((r["i"], r["t"], r["y"]) for r in found.toLocalIterator())
+
+
+def fit_logistic(x, y, ridge: float = 1e-2, steps: int = 50):
+    """Weights (the last is the bias) of a ridge logistic regression, by Newton steps."""
+    import numpy as np
+
+    x = np.column_stack([np.asarray(x, float).reshape(len(y), -1), np.ones(len(y))])
+    y = np.asarray(y, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        penalty = np.full(len(w), ridge)
+        penalty[-1] = 1e-6
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        w = w + np.clip(move, -5, 5)
+        if np.abs(move).max() < 1e-8:
+            break
+    return w

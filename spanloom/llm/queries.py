@@ -6,11 +6,13 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .minhash import op2_minhash_dedup
 from .packing import op3_packing
 from .tokenfile import op10_token_file
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_token_file": op10_token_file,
 }
 
