@@ -7,8 +7,10 @@ from .minhash import op2_minhash_dedup
 from .packing import op3_packing
 from .tokenfile import op10_token_file
 from .toxicity import op9_toxicity
+from .vectordedup import OP1_SQL, op1_embedding_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
     "op8_decontaminate": op8_decontaminate,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": OP1_SQL,
     "op8_decontaminate": OP8_SQL,
 }
