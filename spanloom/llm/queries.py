@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .langid import op7_language_id
 from .minhash import op2_minhash_dedup
 from .packing import op3_packing
+from .quality import op5_quality
 from .tokenfile import op10_token_file
 from .toxicity import op9_toxicity
 from .vectordedup import OP1_SQL, op1_embedding_dedup
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
+    "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_token_file": op10_token_file,
