@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -239,9 +240,11 @@ class Scanner:
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Summed weights of exact, misspelled and beginning hits of each text."""
-        out = np.zeros((len(texts), 3))
-        for t, _, _, term, edits, weight in self.scan(texts):
-            out[t, 2 if self.model.terms[term][1] else 1 if edits else 0] += weight
+        out, first = np.zeros((len(texts), 3)), 0
+        for run in _runs(texts):
+            for t, _, _, term, edits, weight in self.scan(run):
+                out[first + t, 2 if self.model.terms[term][1] else 1 if edits else 0] += weight
+            first += len(run)
         return np.log1p(np.minimum(out, 20))
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -259,6 +262,39 @@ def _chance(hits: int, misses: int, share: float) -> float:
     return total
 
 
+def _witnesses(texts, words, begun):
+    """Contexts of each word and beginning (of those asked for), and the words of each beginning."""
+    seen, starts, endings = defaultdict(set), defaultdict(set), defaultdict(Counter)
+    for text in texts:
+        run = [w.lower() for w in WORD.findall(text)]
+        first: dict[str, int] = {}
+        for i, w in enumerate(run):
+            first.setdefault(w, i)
+        for w, i in first.items():
+            context = zlib.crc32(" ".join(run[max(0, i - 1) : i + 2]).encode())
+            if words is None or w in words:
+                seen[w].add(context)
+            for k in range(4, min(9, len(w))):
+                if begun is None or w[:k] in begun:
+                    starts[w[:k]].add(context)
+                    if begun is None:
+                        endings[w[:k]][w] += 1
+    return seen, starts, endings
+
+
+def _runs(texts: list[str], most: int = 1 << 20):
+    """Consecutive texts of about ``most`` characters together."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t) > most:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
+
+
 def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3, edit_from: int = 5) -> ToxicityModel:
     """Lexicon, innocent words and weights from (id, text, toxic) rows."""
     toxic_n = sum(y for _, _, y in rows)
@@ -267,20 +303,12 @@ def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3
         return ToxicityModel((), weights=(0.0, 0.0, 0.0, math.log(max(share, 1e-13) / max(1 - share, 1e-13))))
     share = toxic_n / len(rows)
     # Distinct contexts are counted, not documents: copies of one document are one witness.
-    seen, starts = (defaultdict(set), defaultdict(set)), (defaultdict(set), defaultdict(set))
-    endings: dict[str, Counter] = defaultdict(Counter)
-    for _, text, y in rows:
-        words = [w.lower() for w in WORD.findall(text)]
-        first: dict[str, int] = {}
-        for i, w in enumerate(words):
-            first.setdefault(w, i)
-        for w, i in first.items():
-            context = hash((words[i - 1] if i else "", w, words[i + 1] if i + 1 < len(words) else ""))
-            seen[y][w].add(context)
-            for k in range(4, min(9, len(w))):
-                starts[y][w[:k]].add(context)
-                if y:
-                    endings[w[:k]][w] += 1
+    # Toxic documents propose; clean ones are only asked about what passed there.
+    toxic_words, toxic_starts, endings = _witnesses((t for _, t, y in rows if y), None, None)
+    toxic_words = {w: c for w, c in toxic_words.items() if len(c) >= least}
+    toxic_starts = {b: c for b, c in toxic_starts.items() if len(c) >= least and len(endings[b]) >= 4}
+    clean_words, clean_starts, _ = _witnesses((t for _, t, y in rows if not y), toxic_words, toxic_starts)
+    seen, starts = (clean_words, toxic_words), (clean_starts, toxic_starts)
 
     def telling(t: int, c: int, bar: float) -> bool:
         return t >= least and t / (t + c) >= 0.9 and _chance(t, c, share) < bar
@@ -288,7 +316,7 @@ def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3
     beginnings: list[str] = []
     for b in sorted(starts[1], key=lambda x: (len(x), x)):
         t = len(starts[1][b])
-        if len(endings[b]) < 4 or any(b.startswith(x) for x in beginnings) or not telling(t, len(starts[0].get(b, ())), chance / 100):
+        if any(b.startswith(x) for x in beginnings) or not telling(t, len(starts[0].get(b, ())), chance / 100):
             continue
         if max(endings[b].values()) > 0.6 * t:
             continue
@@ -303,11 +331,11 @@ def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3
     terms = [(b, True, 0) for b in sorted(beginnings)] + [(w, False, 1 if len(w) >= edit_from else 0) for w in sorted(words)]
     innocent: set[str] = set()
     if terms:
-        automaton = Scanner(ToxicityModel(tuple(terms)))
-        clean = sorted(seen[0])
-        for t, _, _, _, edits, _ in automaton.scan(clean):
-            if edits:
-                innocent.add(clean[t])
+        scanner = Scanner(ToxicityModel(tuple(terms)))
+        for texts in _runs([t for _, t, y in rows if not y]):
+            for t, s, e, _, edits, _ in scanner.scan(texts):
+                if edits:
+                    innocent.add(texts[t][s:e].lower())
     model = ToxicityModel(tuple(terms), frozenset(innocent))
     x = Scanner(model).features([t for _, t, _ in rows])
     weights = fit_logistic(x, [y for _, _, y in rows])
