@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, default_tokenizer
+from .bpe import default_tokenizer, encoded, encoder_of
 from .common import Scratch, need_columns
 
 
@@ -129,11 +129,10 @@ PIECES = "doc bigint, start bigint, length int, crc bigint, doc_tokens bigint"
 
 def _piece_maker(path: str, window: int, end_id: int):
     def run(batches):
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             docs, starts, lengths, crcs, totals = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+            for doc, ids in encoded(encoder, batch, end):
                 total = len(ids) // 4
                 for at in range(0, total, window):
                     piece = ids[4 * at : 4 * (at + window)]
@@ -196,12 +195,12 @@ def _recutter(path: str, end_id: int):
     """crc of cut pieces; a text that does not have the piece's own crc is not its text."""
 
     def run(batches):
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = batch.to_pydict()
             crcs = []
-            for i, text in enumerate(rows["text"]):
-                ids = encoder.encode(text) + end
+            for i, ids in enumerate(encoder.encode_many(rows["text"])):
+                ids += end
                 whole = ids[4 * rows["whole_start"][i] : 4 * (rows["whole_start"][i] + rows["whole_length"][i])]
                 mine = zlib.crc32(whole) == rows["whole_crc"][i] and len(ids) == 4 * rows["doc_tokens"][i]
                 crcs.append(zlib.crc32(ids[4 * rows["start"][i] : 4 * (rows["start"][i] + rows["length"][i])]) if mine else None)
@@ -263,7 +262,7 @@ def sequence_ids(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", tex
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             d = batch.to_pydict()
             ids = [np.frombuffer(encoder.encode(t) + end, "<u4")[s : s + n].tolist() for t, s, n in zip(d["text"], d["start"], d["length"], strict=True)]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, default_tokenizer
+from .bpe import default_tokenizer, encoded, encoder_of
 from .common import Scratch, delete_path, hash_fraction, need_columns
 
 BLOCK = (
@@ -61,7 +61,7 @@ def _writer(path: str, dictionary: bytes, width: int, end_id: int, level: int, b
         from pyspark import TaskContext
 
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         shard, block, base = TaskContext.get().partitionId(), 0, 0
         docs, counts, frames, held = [], [], [], 0
 
@@ -73,8 +73,7 @@ def _writer(path: str, dictionary: bytes, width: int, end_id: int, level: int, b
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+            for doc, ids in encoded(encoder, batch, end):
                 frame = press.compress(_narrow(ids, width))
                 docs.append(doc)
                 counts.append(len(ids) // 4)
@@ -106,7 +105,7 @@ def write_token_file(
     need_columns(docs, id_col, text_col)
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    encoder = Encoder(tokenizer)
+    encoder = encoder_of(tokenizer)
     width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     chosen = hash_fraction(source.where("text IS NOT NULL"), F.col("doc"), sample).select("text").limit(2 * sample)
     dictionary = train_dictionary([_narrow(encoder.encode(r["text"]), width) for r in chosen.collect()])
