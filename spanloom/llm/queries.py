@@ -7,6 +7,7 @@ from .langid import op7_language_id
 from .minhash import op2_minhash_dedup
 from .packing import op3_packing
 from .quality import op5_quality
+from .secrets import op4_secrets
 from .tokenfile import op10_token_file
 from .toxicity import op9_toxicity
 from .vectordedup import OP1_SQL, op1_embedding_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
