@@ -10,6 +10,7 @@ from .quality import op5_quality
 from .secrets import op4_secrets
 from .tokenfile import op10_token_file
 from .toxicity import op9_toxicity
+from .urlfilter import op6_url_filter
 from .vectordedup import OP1_SQL, op1_embedding_dedup
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
