@@ -125,19 +125,20 @@ def _sketcher(p: MinHashParams):
         np.seterr(over="ignore")
         mul, add = coefficients(p)
         for batch in batches:
-            sets = list(text_sets(batch.column(1), p.width))
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sigs = signatures([sets[i] for i in full], mul, add)
-            fp: list[bytes | None] = [None] * len(sets)
-            sig: list[bytes | None] = [None] * len(sets)
-            for row, i in zip(sigs, full, strict=True):
-                other = mix(sets[i] + np.uint64(0x51ED270B35AE8F2D))
-                fp[i] = np.array([sets[i].sum(), other.sum()], np.uint64).tobytes() + len(sets[i]).to_bytes(4, "little")
-                sig[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
-                names=["doc", "n_shingles", "fp", "sig"],
-            )
+            for first, last in slices(batch.column(1)):
+                sets = list(text_sets(batch.column(1)[first:last], p.width))
+                full = [i for i, s in enumerate(sets) if len(s)]
+                sigs = signatures([sets[i] for i in full], mul, add)
+                fp: list[bytes | None] = [None] * len(sets)
+                sig: list[bytes | None] = [None] * len(sets)
+                for row, i in zip(sigs, full, strict=True):
+                    other = mix(sets[i] + np.uint64(0x51ED270B35AE8F2D))
+                    fp[i] = np.array([sets[i].sum(), other.sum()], np.uint64).tobytes() + len(sets[i]).to_bytes(4, "little")
+                    sig[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:last], pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())],
+                    names=["doc", "n_shingles", "fp", "sig"],
+                )
 
     return run
 

@@ -32,7 +32,7 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 4 << 20):
+def slices(column: pa.Array, most_bytes: int = 1 << 20):
     """Row ranges of a column that hold about ``most_bytes`` of text each.
 
     A single longer text forms a range of its own, so memory is bounded by the
@@ -79,7 +79,7 @@ _powers: dict[bool, np.ndarray] = {}
 def _power(n: int, inverse: bool) -> np.ndarray:
     have = _powers.get(inverse)
     if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n + (n >> 3))
         steps = np.full(size, _M_INV if inverse else _M, np.uint64)
         steps[0] = 1
         have = _powers[inverse] = np.multiply.accumulate(steps)

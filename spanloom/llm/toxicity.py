@@ -344,7 +344,7 @@ def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3
     return ToxicityModel(tuple(terms), frozenset(innocent), tuple(weights.tolist()))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 6000, modulus: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 4000, modulus: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """A model from about ``bound`` labelled rows whose id's remainder is not 0."""
     need_columns(labels, id_col, label_col)
     return learn(labelled_sample(docs, labels, label_col, bound, modulus, 0, id_col, text_col))
