@@ -8,15 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..charsets import RULE_CLAUSE, RULE_SENTENCE, WS_CLASS, char_class
+from ..charsets import RULE_CLAUSE, RULE_SENTENCE, WS, char_class
 
 
 def stripped_right(text: Column) -> Column:
-    return F.regexp_replace(text, WS_CLASS + r"+\z", "")
+    return F.rtrim(text, F.lit(WS))
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(stripped_right(text), r"\A" + WS_CLASS + "+", "")
+    return F.btrim(text, F.lit(WS))
 
 
 def ends_on(text: Column, members: str, strip: bool = True) -> Column:
@@ -27,9 +27,9 @@ def ends_on(text: Column, members: str, strip: bool = True) -> Column:
 def end_rule_column(text: Column, end: Column) -> Column:
     """Why a boundary lies at ``end`` of the whole ``text``, natively."""
     head = F.substring(text, F.lit(1), end)
-    space = F.regexp_extract(head, "(" + WS_CLASS + r"*)\z", 1)
-    breaks = F.length(space) - F.length(F.regexp_replace(space, r"[\r\n]", ""))
-    at = F.length(head) - F.length(space)
+    at = F.length(stripped_right(head))
+    space = F.substring(head, at + 1, F.length(head))
+    breaks = F.length(space) - F.length(F.translate(space, "\r\n", ""))
     last = F.when(at > 0, F.substring(head, at, F.lit(1))).otherwise("")
     sentence, clause = last.rlike(char_class(RULE_SENTENCE)), last.rlike(char_class(RULE_CLAUSE))
     return (
@@ -56,16 +56,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though ``body`` uses it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hashed_vector(text: Column, dim: int = 96) -> Column:
     """L2-normalised counts of character trigrams by crc32 modulo ``dim``, newlines removed."""
     if dim < 8:
         raise ValueError("dim must be 8 or more")
-    flat = F.regexp_replace(text, "\n", "")
-    at = F.when(F.length(flat) >= 3, F.sequence(F.lit(1), F.length(flat) - 2)).otherwise(F.array().cast("array<int>"))
-    buckets = F.transform(at, lambda i: (F.crc32(F.encode(F.substring(flat, i, F.lit(3)), "UTF-8")) % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(counts, lambda c: F.when(norm > 0, c / norm).otherwise(0.0))
+    trigram = lambda c, i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))
+    bucket = lambda c, i: (F.crc32(F.encode(trigram(c, i), "UTF-8")) % dim).cast("int")
+    none = F.array().cast("array<int>")
+    buckets = _bound(
+        F.split(F.regexp_replace(text, "\n", ""), ""),
+        lambda c: F.when(F.size(c) >= 3, F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: bucket(c, i))).otherwise(none),
+    )
+    cells = F.sequence(F.lit(0), F.lit(dim - 1))
+    counts = _bound(buckets, lambda b: F.transform(cells, lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double")))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return _bound(counts, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def hashed_vectors(texts: list[str], dim: int = 96) -> list[list[float]]:

@@ -94,7 +94,8 @@ def vector_topk(spark, sf_dir):
 
 
 def explain_rules(spark, sf_dir):
-    return windows(spark, sf_dir, 200).join(docs(spark, sf_dir).withColumnRenamed("text", "whole"), "doc_id").select("doc_id", "seq", end_rule_column(F.col("whole"), F.col("end")).alias("end_rule"))
+    cut = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(st.fixed_window_spans(F.col("text"), 200)).alias("seq", "span"))
+    return cut.select("doc_id", "seq", end_rule_column(F.col("text"), F.col("span.end")).alias("end_rule"))
 
 
 def rule_distribution(spark, sf_dir):
@@ -234,8 +235,6 @@ def qa_validate(spark, sf_dir):
     return jd.qa_validate(good.unionByName(again).unionByName(wrong), d)[1]
 
 
-
-
 QUERIES = {
     "fixed_window_chunks": lambda s, d: digest(windows(s, d, 200, 20)),
     "sentence_spans": lambda s, d: digest(st.sentence_documents(docs(s, d))),

@@ -37,7 +37,7 @@ def _terms(text: str) -> str:
 
 
 def _tiles(source: str) -> str:
-    return f"""(SELECT doc_id, i, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+    return f"""(SELECT doc_id, i, t, CAST(coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
       FROM (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_SENTENCE}') AS x FROM {source} v)))"""
 
 
@@ -62,7 +62,7 @@ _SENTENCE_ATOMS = f"SELECT doc_id, i, s, s + length(t) AS e, length(t) AS size F
 _LINE_ATOMS = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i, s, e, e - s AS size FROM (
   SELECT doc_id, base + 200 * j AS s, least(base + 200 * (j + 1), base + n) AS e FROM (
     SELECT doc_id, base, n, unnest(range(0, (n + 199) // 200)) AS j FROM (
-      SELECT doc_id, length(t) AS n, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+      SELECT doc_id, length(t) AS n, CAST(coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base
       FROM (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '\\n|[^\\n]+') AS x FROM src)))))"""
 _TOKEN_ATOMS = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i, s, s + length(t) AS e, {_tokens('t')} AS size FROM (
   SELECT doc_id, s + j AS s, substring(t, j + 1, win) AS t FROM (
