@@ -26,7 +26,9 @@ def ends_on(text: Column, members: str, strip: bool = True) -> Column:
 
 def end_rule_column(text: Column, end: Column) -> Column:
     """Why a boundary lies at ``end`` of the whole ``text``, natively."""
-    head = F.substring(text, F.lit(1), end)
+    # The last 64 characters tell, unless they are white space throughout.
+    near = F.substring(text, F.greatest(F.lit(1), end - 63), F.least(end, F.lit(64)))
+    head = F.when(F.length(stripped_right(near)) > 0, near).otherwise(F.substring(text, F.lit(1), end))
     at = F.length(stripped_right(head))
     space = F.substring(head, at + 1, F.length(head))
     breaks = F.length(space) - F.length(F.translate(space, "\r\n", ""))
