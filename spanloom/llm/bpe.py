@@ -2,12 +2,14 @@
 
 A byte-level BPE pre-tokeniser never joins text across a single space that has
 non-space on both sides (the space opens the next token), nor across a single
-newline between non-spaces, nor across the end of a run of letters that marks
-follow. A text is cut at those places only; each distinct piece is encoded by
-the library and remembered by the Python worker. A piece of letters alone is one
-pre-token, so many of them go to the library's model in one call, past its
-regular expression. Texts with any other arrangement of white space are encoded
-whole. The ids equal those of encoding the whole text, which the tests check.
+newline between non-spaces, nor between two of ASCII letters, digits and marks
+(the apostrophe, which may begin a contraction, is none of them). Texts are cut
+into pieces at those places only, all texts of a slice at once over their bytes.
+A piece is looked up by a 64-bit hash in a table that the Python worker keeps;
+unknown ones are encoded by the library, those that are one pre-token by
+thousands in one call past its regular expression. Texts with any other
+arrangement of white space are encoded whole. The ids equal those of encoding
+the whole text, which the tests check.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ import functools
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from .textbytes import slices
+from .textbytes import byte_view, hash_spans, slices
 
-#: Pieces in a generation of what is remembered; there are two, and one in use moves to the younger.
-REMEMBERED = 200_000
+#: Pieces that are remembered before a worker starts afresh: about 50 bytes each.
+REMEMBERED = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -29,18 +32,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Letters, then marks without an apostrophe (which may begin a contraction).
-WORD_AND_MARKS = re.compile(r"(\x00?[^\W\d_]+)([!-&(-/:-@[-`{-~]+)").fullmatch
+#: Letters, then marks without an apostrophe.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@[-`{-~]+)").fullmatch
 
 
 def _byte_chars() -> dict[int, int]:
-    """Byte to printable character, as byte-level BPE vocabularies are written; not for the newline."""
+    """Byte to printable character, as byte-level BPE vocabularies are written."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + i for i, b in enumerate(rest) if b != 0x0A}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 BYTE_CHARS = _byte_chars()
+SPACE, NEWLINE = chr(BYTE_CHARS[0x20]), chr(BYTE_CHARS[0x0A])
+#: For texts of many pre-tokens, between which newlines stand.
+IN_LINES = {b: c for b, c in BYTE_CHARS.items() if b != 0x0A}
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Byte table: 1 ASCII letter, 2 digit, 3 mark, 4 space or newline, 5 another control, 0 the rest."""
+    table = np.zeros(256, np.uint8)
+    table[0x21:0x7F] = 3
+    table[0x30:0x3A] = 2
+    table[0x41:0x5B] = table[0x61:0x7B] = 1
+    table[0x27] = 0
+    table[:0x20] = table[0x7F] = 5
+    table[[0x20, 0x0A]] = 4
+    return table
 
 
 @functools.cache
@@ -49,6 +67,62 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+class PieceTable:
+    """64-bit key -> run of ids; open addressing, looked up and filled by whole arrays."""
+
+    def __init__(self, room: int):
+        self.bits = max(10, (2 * room - 1).bit_length())
+        self.room = room
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.size = self.used = 0
+        self.keys = np.zeros(1024, np.uint64)
+        self.first = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int32)  # -1: the piece must not be cut out of its text
+        self.ids = np.zeros(4096, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 for unknown ones."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.slots[at]
+        going = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        at = at[going]
+        while len(going):
+            at = (at + 1) & (len(self.slots) - 1)
+            here = self.slots[at]
+            found[going] = here
+            on = (here >= 0) & (self.keys[here] != keys[going])
+            going, at = going[on], at[on]
+        return found
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct unknown keys with the lengths of their runs in ``ids``."""
+        n, size = len(keys), self.size
+        self._grow(size + n, self.used + len(ids))
+        held = np.maximum(counts, 0)
+        self.keys[size : size + n] = keys
+        self.count[size : size + n] = counts
+        self.first[size : size + n] = self.used + np.cumsum(held) - held
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size, self.used = size + n, self.used + len(ids)
+        own = np.arange(size, size + n, dtype=np.int32)
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(own):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = own[free]
+            lost = self.slots[at] != own
+            own, at = own[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _grow(self, entries: int, ids: int) -> None:
+        if entries > len(self.keys):
+            more = max(entries, 2 * len(self.keys)) - len(self.keys)
+            self.keys, self.first, self.count = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.keys, self.first, self.count))
+        if ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(ids, 2 * len(self.ids)) - len(self.ids), np.uint32)])
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -57,108 +131,121 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.remembered = remembered
         self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.older: dict[str, bytes | None] = {}
-        self.known: dict[str, bytes | None] = {"\n": self.whole("\n")}
+        self.known = PieceTable(remembered)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Encode unknown pieces. Letters with marks behind them are two pre-tokens,
-        and each of the two is known, or learned, for itself."""
-        joined, words, others = [], set(), []
-        known = self.known
-        for p in new:
-            bare = p[1:] if p[:1] == "\x00" else p
-            if bare.isalpha():
-                words.add(p)
-            elif m := WORD_AND_MARKS(p):
-                word, marks = m.groups()
-                joined.append((p, word, "\x00" + marks))
-                words.add(word)
-                if "\x00" + marks not in known:
-                    others.append("\x00" + marks)
-            elif bare and bare == bare.strip() and "\x00" not in bare:
-                others.append(p)
-            else:
-                known[p] = None
-        again = {w: self.older[w] for w in words if w in self.older}
-        known.update(again)
-        self._learn_words([w for w in words if w not in known])
-        for p in set(others):
-            known[p] = self.whole(p[1:] if p[:1] == "\x00" else " " + p)
-        for p, word, marks in joined:
-            known[p] = known[word] + known[marks]
-
-    def _learn_words(self, words: list[str]) -> None:
-        for s in range(0, len(words), 1000):
-            run = words[s : s + 1000]
-            # A leading space is part of the token; the model reads bytes as printable characters.
-            text = "\n".join([w[1:] if w[:1] == "\x00" else " " + w for w in run])
-            encoding = self.model.encode(text.encode().decode("latin-1").translate(BYTE_CHARS), add_special_tokens=False)
-            raw = np.array(encoding.ids, "<u4").tobytes()
-            owner = np.array(encoding.word_ids)
-            ends = (np.flatnonzero(np.diff(owner, append=-1)) + 1) * 4
-            begin = 0
-            for w, end in zip(run, ends.tolist(), strict=True):
-                self.known[w] = raw[begin:end]
-                begin = end
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
-        out: list[bytes] = []
-        run: list[list[str] | str] = []
-        held = 0
-        for text in texts:
-            if not text:
-                parts = []
-            elif "\x00" in text:
-                parts = text
-            else:
-                parts = ("\x00" + text.replace("\n", " \n \x00")).split(" ")
-            run.append(parts)
-            held += len(parts)
-            if held > 1 << 17:
-                self._flush(run, texts, out)
-                run, held = [], 0
-        self._flush(run, texts, out)
+        column = pa.array(texts, pa.large_string())
+        return [ids for first, last in slices(column) for ids in self.encode_column(column[first:last])]
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        data, at = byte_view(column)
+        if not len(data):
+            return [b""] * len(column)
+        starts, ends, spaced, first, odd = _pieces(data, at)
+        key = hash_spans(data, starts, ends, seed=7)
+        key ^= spaced.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        index = self.known.find(key)
+        unknown = np.flatnonzero(index < 0)
+        if len(unknown):
+            new, where = np.unique(key[unknown], return_index=True)
+            if self.known.size + len(new) > self.known.room:
+                self.known.clear()
+                unknown = np.arange(len(key))
+                new, where = np.unique(key, return_index=True)
+            if len(new) > self.known.room:
+                return [self.whole(t) if t else b"" for t in column.to_pylist()]
+            where = unknown[where]
+            self._learn(new, data, starts[where], ends[where], spaced[where])
+            index[unknown] = self.known.find(key[unknown])
+        counts = self.known.count[index]
+        bad = np.concatenate(([0], np.cumsum(counts < 0)))
+        odd |= bad[first[1:]] > bad[first[:-1]]
+        counts = np.maximum(counts, 0)
+        bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        ids = self.known.ids[np.repeat(self.known.first[index] - bounds[:-1], counts) + np.arange(bounds[-1])].astype("<u4", copy=False)
+        out = [ids[s:e].tobytes() for s, e in zip(bounds[first[:-1]].tolist(), bounds[first[1:]].tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole(column[i].as_py())
         return out
 
-    def _flush(self, run: list, texts: list, out: list[bytes]) -> None:
-        known = self.known
-        new: set[str] = set()
-        for parts in run:
-            if parts.__class__ is list:
-                new.update(parts)
-        if len(known) > self.remembered:
-            self.older, known = known, {"\n": self.whole("\n")}
-            self.known = known
-        new.difference_update(known)
-        older = self.older
-        again = {p: older[p] for p in new if p in older}
-        known.update(again)
-        new.difference_update(again)
-        self._learn(new)
-        for parts in run:
-            text = texts[len(out)]
-            if parts.__class__ is list:
-                try:
-                    out.append(b"".join(map(known.__getitem__, parts)))
-                    continue
-                except TypeError:  # white space of another kind
-                    pass
-            out.append(self.whole(text))
-
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray) -> None:
+        """Encode unknown pieces and remember them."""
+        raw = data.tobytes()
+        rest = np.concatenate(([0], np.cumsum(_kinds()[data] == 0)))
+        simple = rest[ends] == rest[starts]
+        quick = np.flatnonzero(simple)
+        spans = zip(starts[quick].tolist(), ends[quick].tolist(), spaced[quick].tolist(), strict=True)
+        runs = [(SPACE if f else "") + raw[s:e].decode("ascii") for s, e, f in spans]
+        self._remember(keys[quick], [NEWLINE if r == "\n" else r for r in runs], np.ones(len(runs), np.int64))
+        words, parts, of, others = [], [], [], []
+        for i in np.flatnonzero(~simple).tolist():
+            p, space = raw[starts[i] : ends[i]].decode(), " " if spaced[i] else ""
+            if p.isalpha():
+                words.append(space + p)
+                parts.append(1)
+                of.append(i)
+            elif m := WORD_AND_MARKS(p):
+                words += [space + m[1], m[2]]
+                parts.append(2)
+                of.append(i)
+            else:
+                others.append((i, None if any(map(str.isspace, p)) else self.whole(space + p)))
+        if words:
+            text = "\n".join(words).encode().decode("latin-1").translate(IN_LINES)
+            self._remember(keys[of], text.split("\n"), np.array(parts, np.int64))
+        if others:
+            counts = np.array([-1 if x is None else len(x) // 4 for _, x in others], np.int32)
+            self.known.add(keys[[i for i, _ in others]], counts, np.frombuffer(b"".join(x for _, x in others if x), "<u4"))
+
+    def _remember(self, keys: np.ndarray, runs: list[str], parts: np.ndarray) -> None:
+        """Pieces of ``parts`` pre-tokens each, written in the vocabulary's characters."""
+        if not runs:
+            return
+        ids, sizes = [], []
+        for s in range(0, len(runs), 1000):
+            encoding = self.model.encode("\n".join(runs[s : s + 1000]), add_special_tokens=False)
+            ids.append(np.array(encoding.ids, np.uint32))
+            sizes.append(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(runs[s : s + 1000])))
+        counts = np.add.reduceat(np.concatenate(sizes), np.cumsum(parts) - parts)
+        self.known.add(keys, counts.astype(np.int32), np.concatenate(ids))
+
+
+def _pieces(data: np.ndarray, at: np.ndarray):
+    """Starts, ends, whether a space belongs to it, of each piece; each text's first piece; is the text to be encoded whole."""
+    kind = _kinds()[data]
+    n = len(data)
+    gap = kind == 4
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True  # where a text begins, and the end of all
+    before, after = np.empty(n, np.uint8), np.empty(n, np.uint8)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    before[edge[:n]] = 4
+    after[edge[1:]] = 4
+    newline = data == 0x0A
+    # White space at a text's edge or next to other white space, or a control character.
+    strange = gap & ((before == 4) | (after == 4)) | (kind == 5)
+    total = np.concatenate(([0], np.cumsum(strange)))
+    odd = total[at[1:]] > total[at[:-1]]
+    start = ~gap & ((before == 4) | (kind != before) & (kind > 0) & (before > 0)) | newline
+    end = ~gap & ((after == 4) | (kind != after) & (kind > 0) & (after > 0)) | newline
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    spaced = (data[starts - 1] == 0x20) & ~edge[starts] & ~newline[starts]
+    return starts, ends, spaced, np.searchsorted(starts, at), odd
 
 
 def encoded(encoder: Encoder, batch, end: bytes):
-    """(id, ids + end) of every row of a batch of (id, text), about 2 MB of text at a time."""
+    """(id, ids + end) of every row of a batch of (id, text), about 1 MB of text at a time."""
     docs, column = batch.column(0), batch.column(1)
-    for first, last in slices(column, 2 << 20):
-        for doc, ids in zip(docs[first:last].to_pylist(), encoder.encode_many(column[first:last].to_pylist()), strict=True):
+    for first, last in slices(column):
+        for doc, ids in zip(docs[first:last].to_pylist(), encoder.encode_column(column[first:last]), strict=True):
             yield doc, ids + end

@@ -229,7 +229,7 @@ def rank_in_class(df: DataFrame, scratch: Scratch, key: str, order: list[str], p
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, tokenizer: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, tokenizer: str | None = None, broadcast_rows: int = 20_000
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if window < 2:
@@ -249,6 +249,7 @@ def pack_documents(
     cut = placed.where("whole_crc IS NOT NULL").drop("crc")
     if not cut.isEmpty():
         own = source.withColumnRenamed("doc", "own")
+        cut = F.broadcast(cut) if cut.count() <= broadcast_rows else cut
         again = cut.join(own, cut["doc"].eqNullSafe(own["own"])).drop("own").mapInArrow(_recutter(path, end_id), ", ".join(f"{n} {'int' if n == 'length' else 'bigint'}" for n in names))
         again = again.where("crc IS NOT NULL").dropDuplicates(["sequence_id", "offset"])
         out = out.union(scratch.put(again).select(names))
