@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, deque
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -136,23 +136,18 @@ def infer(strings: list[str], alpha: float = 0.05) -> FormatAutomaton:
                 else:
                     todo.append((x, y))
 
-    red = [0]
-    blue = deque((0, c) for c in sorted(child[0]))
-    while blue:
-        parent, c = blue.popleft()
-        state = child[parent].get(c)
-        if state is None or state in red:
-            continue
+    # Folding can give any red state new children, so the blue ones are looked up afresh.
+    red = {0: None}
+    while blue := next(((r, c) for r in red for c in sorted(child[r]) if child[r][c] not in red), None):
+        parent, c = blue
+        state = child[parent][c]
         for r in red:
             if compatible(r, state):
                 child[parent][c] = r
                 fold(r, state)
-                seen = set(blue)
-                blue.extend((r, x) for x in sorted(child[r]) if child[r][x] not in red and (r, x) not in seen)
                 break
         else:
-            red.append(state)
-            blue.extend((state, x) for x in sorted(child[state]))
+            red[state] = None
     name = {s: i for i, s in enumerate(red)}
     return _with_shares(strings, [{c: name[x] for c, x in child[s].items()} for s in red])
 
@@ -220,7 +215,7 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 ORDINARY = ["internationalisation", "the-quick-brown-fox-2", "chapter12section34", "version2024released", "user_name_example1", "0123456789abcdefgh", "page2part3paragraph4", "http2server-response1"]
 
 
-def learn_formats(found: DataFrame, bound: int = 800, margin: float = 0.5) -> SecretModel:
+def learn_formats(found: DataFrame, bound: int = 800, margin: float = 0.5, rounds: int = 3) -> SecretModel:
     """Automata from about ``bound`` distinct labelled credentials and as many other tokens."""
     known = found.select(F.explode("credentials").alias("t")).distinct()
     known = sorted(r["t"] for r in hash_fraction(known, F.col("t"), bound).limit(2 * bound).collect())
@@ -228,7 +223,16 @@ def learn_formats(found: DataFrame, bound: int = 800, margin: float = 0.5) -> Se
     other = sorted(r["t"] for r in hash_fraction(other, F.col("t"), bound).limit(2 * bound).collect())
     if len(known) < 10:
         return SecretModel(margin=margin)
-    return SecretModel(infer([classes(t) for t in known]), infer([classes(t) for t in other + ORDINARY]), margin)
+    credentials, ordinary = infer([classes(t) for t in known]), infer([classes(t) for t in other + ORDINARY])
+    # Among the other tokens there are credentials that no base rule found: what the credentials' code
+    # is shorter for teaches nothing about ordinary tokens.
+    for _ in range(rounds):
+        rest = [t for t in other if credentials.bits(t) >= ordinary.bits(t)]
+        if len(rest) == len(other):
+            break
+        other = rest
+        ordinary = infer([classes(t) for t in other + ORDINARY])
+    return SecretModel(credentials, ordinary, margin)
 
 
 SCANNED = "id bigint, spans array<struct<start:int,kind:int,end:int>>"
