@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..charsets import CLOSERS, OPENERS, REPORT_PUNCT, char_class
 from ..functions.counters import token_count
 from ..functions.text import ends_on, hashed_vectors, stripped
-from .retrieval import bm25_topk, parent_recall, question_facts, recall_at_k, vector_topk
+from .retrieval import bm25_topk, failures, parent_recall, question_facts, recall_at_k, vector_topk
 from .strategies import chunk_documents, family_documents
 
 NAMED = ["fixed-window", "sentence", "token", "recursive", "semantic-hash-toy"]
@@ -120,3 +121,22 @@ def as_markdown(rows: DataFrame, columns: list[str] | None = None) -> str:
     return "\n".join(lines + [f"| {' | '.join(cell(r[c]) for c in columns)} |" for r in rows.select(columns).collect()]) + "\n"
 
 
+def full_report(docs: DataFrame, questions: DataFrame, max_chars: int, overlap_chars: int, ks: list[int], id_col: str = "doc_id") -> str:
+    """Markdown of all reports: recall per k with failure lists, parents, retrievers, calibration."""
+    chunks = strategy_chunks(docs, max_chars, overlap_chars, id_col=id_col)
+    out = ["# Retrieval report\n"]
+    for k in ks:
+        columns = ["strategy", "recall", "precision", "union_recall", "strict_hits", "union_hits", "total", "chunks", "avg_chars", "max_chars", "ends_punct"]
+        out.append(f"## k = {k}\n\n" + as_markdown(run_report(chunks, docs, questions, k, id_col).orderBy("strategy"), columns))
+        out.append(f"### Missed at k = {k}\n\n" + as_markdown(failures(question_facts(chunks, docs, questions, k, id_col), id_col=id_col).orderBy("strategy", id_col, "q")))
+    out.append("## Parents and children\n\n" + "\n".join(as_markdown(parent_child_report(docs, questions, k, id_col=id_col)) for k in ks))
+    out.append("## Retrievers\n\n" + as_markdown(retrieval_interaction(chunks, docs, questions, ks[0], id_col).orderBy("strategy")))
+    words = docs.withColumn("words", F.size(F.split("text", " ")))
+    out.append("## Character counter against words\n\n" + as_markdown(calibration(words, "words")))
+    return "\n".join(out)
+
+
+def write_report(text: str, path: str) -> None:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(text)
