@@ -64,7 +64,7 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def hashed_vector(text: Column, dim: int = 96) -> Column:
-    """L2-normalised counts of character trigrams by crc32 modulo ``dim``, newlines removed."""
+    """L2-normalised counts of character trigrams by crc32 modulo ``dim``, newlines removed; null for null."""
     if dim < 8:
         raise ValueError("dim must be 8 or more")
     trigram = lambda c, i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))
@@ -77,7 +77,8 @@ def hashed_vector(text: Column, dim: int = 96) -> Column:
     cells = F.sequence(F.lit(0), F.lit(dim - 1))
     counts = _bound(buckets, lambda b: F.transform(cells, lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double")))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return _bound(counts, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    vector = _bound(counts, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    return F.when(text.isNotNull(), vector)
 
 
 def hashed_vectors(texts: list[str], dim: int = 96) -> list[list[float]]:

@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], tex
     The client is called on the executors; an answer of another length than its
     question fails the task. Null texts have null vectors.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         out: list = [None] * len(texts)

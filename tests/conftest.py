@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import sys
 from pathlib import Path
@@ -7,7 +8,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+ROOT = Path(__file__).resolve().parents[1]
+sys.path.insert(0, str(ROOT))
+# Functions of test modules run in Python workers too.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")])
 
 SENTENCES = ["春天的雨下得很久。", "他问：“你去哪里？”", "费用是320元，周期为15天；", "「好的！」她笑了。", "没有人知道为什么……", "列车经过山口，然后停下。"]
 
