@@ -28,3 +28,23 @@ def char_class(members: str, negated: bool = False) -> str:
 
 
 WS_CLASS = char_class(WS)
+
+
+def _complement(members: str, ranges: str) -> str:
+    """A class of all code points but these, as ranges, ASCII's printable ones first.
+
+    A negated class makes Java test every member for every character; here the
+    first range settles most of them.
+    """
+    taken = sorted([(ord(c), ord(c)) for c in members] + [(ord(r[0]), ord(r[2])) for r in (ranges[i : i + 3] for i in range(0, len(ranges), 3))])
+    out, at = [], 0
+    for low, high in [*taken, (0x110000, 0x110000)]:
+        if low > at:
+            out.append((at, low - 1))
+        at = max(at, high + 1)
+    out.sort(key=lambda r: not r[0] <= 0x41 <= r[1])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
+#: Neither CJK nor white space.
+OTHER_CLASS = _complement(WS, CJK)

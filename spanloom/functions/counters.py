@@ -8,10 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..charsets import CJK, WS, WS_CLASS
-
-_RUN = re.compile(f"[{CJK}]|[{re.escape(WS)}]|[^{CJK}{re.escape(WS)}]+")
-
+from ..charsets import CJK, OTHER_CLASS, WS
 
 def count_chars(text: str) -> int:
     """A CJK character or white space is one token, another run of n is ceil(n / 4) + 1."""
@@ -26,10 +23,8 @@ _OTHER = re.compile(f"[^{CJK}{re.escape(WS)}]+")
 
 def token_count(text: Column) -> Column:
     """:func:`count_chars` as a native expression; null for null."""
-    ws = WS_CLASS[1:-1]
-    java_cjk = r"\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FF60}"
-    runs = F.regexp_extract_all(text, F.lit(f"[^{java_cjk}{ws}]+"), F.lit(0))
-    singles = F.length(F.regexp_replace(text, f"[^{java_cjk}{ws}]+", ""))
+    runs = F.regexp_extract_all(text, F.lit(OTHER_CLASS + "+"), F.lit(0))
+    singles = F.length(F.regexp_replace(text, OTHER_CLASS + "+", ""))
     return (singles + F.aggregate(runs, F.lit(0), lambda n, r: n + F.ceil(F.length(r) / 4).cast("int") + 1)).cast("int")
 
 

@@ -39,11 +39,15 @@ def _top(scored: DataFrame, id_col: str, k: int) -> DataFrame:
 
 def bm25_topk(chunks: DataFrame, questions: DataFrame, k: int = 3, id_col: str = "doc_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """strategy, id, q_idx, seq, score, rank of the best ``k`` chunks with a positive score."""
-    tf, lengths = term_frequencies(chunks, id_col), chunk_lengths(chunks, id_col)
-    idf = bm25_idf(tf, lengths, id_col)
     asked = questions.select(id_col, "q_idx", F.explode(retrieval_tokens(F.col("q"))).alias("term"))
     asked = asked.groupBy(id_col, "q_idx", "term").agg(F.count("*").alias("times"))
-    hit = asked.join(tf, [id_col, "term"]).join(idf, ["strategy", id_col, "term"]).join(lengths, ["strategy", id_col, "seq"])
+    # Only terms that the document is asked about are counted; the rest of a chunk matters by its length alone.
+    wanted = asked.groupBy(id_col).agg(F.collect_set("term").alias("wanted"))
+    base = chunks.select("strategy", id_col, "seq", "text").join(wanted, id_col).select("strategy", id_col, "seq", "wanted", retrieval_tokens(F.col("text")).alias("tokens"))
+    lengths = base.select("strategy", id_col, "seq", F.size("tokens").alias("dl"))
+    found = F.filter("tokens", lambda t: F.array_contains(F.col("wanted"), t))
+    tf = base.select("strategy", id_col, "seq", F.size("tokens").alias("dl"), F.explode(found).alias("term")).groupBy("strategy", id_col, "seq", "dl", "term").agg(F.count("*").alias("tf"))
+    hit = asked.join(tf, [id_col, "term"]).join(bm25_idf(tf, lengths, id_col), ["strategy", id_col, "term"])
     f = F.col("tf")
     part = F.col("times") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1.0))))
     scored = hit.groupBy("strategy", id_col, "q_idx", "seq").agg(F.sum(part).alias("score")).where("score > 0")
