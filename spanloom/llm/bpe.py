@@ -23,7 +23,7 @@ import pyarrow as pa
 from .textbytes import byte_view, hash_spans, slices
 
 #: Pieces that are remembered before a worker starts afresh: about 50 bytes each.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 def default_tokenizer() -> str:
