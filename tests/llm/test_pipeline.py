@@ -62,6 +62,26 @@ def test_one_of_each_group_of_near_copies_stays(spark, tables):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(i) for i, _ in rows if i not in linked)
 
 
+def test_near_copies_from_eighty_on_go(spark, tables):
+    path, _ = tables
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(6000)]
+    rows, sets = [], {}
+    for g in range(40):
+        # A changed word costs five shingles of 105: one change is a Jaccard index of 100 / 110, two of 95 / 115, three of 90 / 120.
+        own = words[150 * g : 150 * g + 109]
+        for i, changed in enumerate([[], [20, 60]] if g % 2 else [[], [20, 50, 80]]):
+            rows.append((2 * g + i, " ".join("changed" + str(g) if k in changed else w for k, w in enumerate(own))))
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    share = {b: len(sets[b - 1] & sets[b]) / len(sets[b - 1] | sets[b]) for b in range(1, 80, 2)}
+    linked = {b for b, j in share.items() if j >= 0.8}
+    assert len(linked) == 20 and all(0.8 <= share[b] < 0.85 for b in linked)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert {i for i, _ in rows} - {r["doc_id"] for r in cp.drop_near_copies(spark, docs, path).collect()} == linked
+
+
 def test_contaminated_documents_go(spark, tables):
     path, rows = tables
     out = cp.drop_contaminated(spark, read(spark, path), path)
