@@ -11,7 +11,10 @@ three characters and only hits reach Python objects.
 A hit counts by how close it is, and by its context window: between quotation
 marks or near a verb of saying it is quotation (``QUOTED``), beside a
 second-person word it is abuse (``AIMED``). A misspelling that clean training
-documents use themselves is no hit. A logistic regression over the summed
+documents use themselves is no hit; for beginnings, that is any word with the
+same misspelled beginning. Beginnings of five or more letters allow an
+edit as words do. Where letters and digits stand together, the whole run is a
+word besides its letters, so a digit in place of a letter is an edit. A logistic regression over the summed
 weights of exact, misspelled and beginning hits gives the score.
 
 Defined results: a null or empty text has no hits and the score of no hits; a
@@ -39,6 +42,8 @@ from .common import fit_logistic, labelled_sample, need_columns, remainder
 from .textbytes import slices
 
 QUOTED, AIMED, WINDOW = 0.35, 1.25, 6
+#: What a misspelled hit is worth at least, of an exact one.
+MISSPELLED = 0.8
 SAYING = frozenset(
     "said says wrote writes called quote quoted quotes term word slur sagte schrieb nannte zitat wort dit écrit appelé mot citation dijo escribió llamó palabra cita".split()
 )
@@ -49,7 +54,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``terms``: (term, is a beginning, edits allowed); ``innocent``: clean words near a term."""
+    """``terms``: (term, is a beginning, edits allowed); ``innocent``: clean words near a term, and with a star the near forms of a beginning."""
 
     terms: tuple[tuple[str, bool, int], ...]
     innocent: frozenset[str] = frozenset()
@@ -179,9 +184,9 @@ class LexiconAutomaton:
 
 
 @functools.cache
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: is it a letter; its lower case, if that is one code point."""
-    letter = np.zeros(0x110000, bool)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: is it a letter; is it a digit; its lower case, if that is one code point."""
+    letter, digit = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
     lower = np.arange(0x110000, dtype=np.uint32)
     for i in range(0x110000):
         c = chr(i)
@@ -190,7 +195,28 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
             low = c.lower()
             if len(low) == 1:
                 lower[i] = ord(low)
-    return letter, lower
+        elif c.isdecimal():
+            digit[i] = True
+    return letter, digit, lower
+
+
+def _runs_of(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of members."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], member.view(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def within_one(a: str, b: str) -> bool:
+    """At most one letter put in, left out or replaced."""
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[at + 1 :] == b[at + 1 :] or a[at + 1 :] == b[at:] or a[at:] == b[at + 1 :]
+
+
+def edited_form(word: str, term: str, begins: bool) -> str:
+    """What a misspelled hit is known by: the word, or the shortest form of the beginning in it."""
+    if not begins:
+        return word
+    return next((word[:k] for k in range(len(term) - 1, len(term) + 1) if within_one(word[:k], term)), word[: len(term) + 1]) + "*"
 
 
 class Scanner:
@@ -210,24 +236,39 @@ class Scanner:
         """(text, start, end, term, edits, weight) of every hit, in order."""
         if self.automaton is None or not texts:
             return []
-        letter, lower = _letters()
+        letter, digit, lower = _letters()
         points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        is_letter = letter[points]
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], is_letter.view(np.int8), [0]))))
-        starts, ends = edge[::2], edge[1::2]
+        is_letter, is_digit = letter[points], digit[points]
+        starts, ends = _runs_of(is_letter)
         codes = self.table[lower[points]]
         hit, terms, edits = self.automaton.match(codes, starts, ends - starts)
+        # A hit's place, and the first and last of the words it covers.
+        place, until, low, high = starts[hit], ends[hit], hit, hit
+        if is_digit.any():
+            first, last = _runs_of(is_letter | is_digit)
+            left, right = np.searchsorted(starts, first), np.searchsorted(starts, last) - 1
+            mixed = np.flatnonzero(right >= left)
+            mixed = mixed[ends[left[mixed]] - starts[left[mixed]] < last[mixed] - first[mixed]]
+            # Runs of which a word hits by itself are done.
+            words = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(words, hit + 1, 1)
+            words = np.cumsum(words)
+            mixed = mixed[words[right[mixed] + 1] == words[left[mixed]]]
+            more, more_terms, more_edits = self.automaton.match(codes, first[mixed], last[mixed] - first[mixed])
+            of = mixed[more]
+            place, until, low, high = (np.concatenate(x) for x in ((place, first[of]), (until, last[of]), (low, left[of]), (high, right[of])))
+            terms, edits = np.concatenate([terms, more_terms]), np.concatenate([edits, more_edits])
         out = []
-        owner = np.searchsorted(bounds, starts[hit], "right") - 1
-        for k in np.argsort(hit, kind="stable").tolist():
-            w, t = int(hit[k]), int(owner[k])
+        owner = np.searchsorted(bounds, place, "right") - 1
+        for k in np.argsort(place, kind="stable").tolist():
+            lo, hi, t = int(low[k]), int(high[k]), int(owner[k])
             text, base = texts[t], int(bounds[t])
-            s, e = int(starts[w]) - base, int(ends[w]) - base
-            if edits[k] and text[s:e].lower() in self.model.innocent:
+            s, e = int(place[k]) - base, int(until[k]) - base
+            if edits[k] and edited_form(text[s:e].lower(), *self.model.terms[int(terms[k])][:2]) in self.model.innocent:
                 continue
-            first, last = max(0, w - WINDOW), min(len(starts) - 1, w + WINDOW)
-            near = [text[int(starts[i]) - base : int(ends[i]) - base].lower() for i in range(first, last + 1) if i != w and starts[i] >= base and ends[i] < bounds[t + 1]]
+            first, last = max(0, lo - WINDOW), min(len(starts) - 1, hi + WINDOW)
+            near = [text[int(starts[i]) - base : int(ends[i]) - base].lower() for i in range(first, last + 1) if not lo <= i <= hi and starts[i] >= base and ends[i] < bounds[t + 1]]
             window_start = max(0, int(starts[first]) - base)
             window_end = min(len(text), int(ends[last]) - base + 1)
             weight = 1.0
@@ -243,7 +284,8 @@ class Scanner:
         out, first = np.zeros((len(texts), 3)), 0
         for run in _runs(texts):
             for t, _, _, term, edits, weight in self.scan(run):
-                out[first + t, 2 if self.model.terms[term][1] else 1 if edits else 0] += weight
+                begins = self.model.terms[term][1]
+                out[first + t, 2 if begins else 1 if edits else 0] += weight * (MISSPELLED if begins and edits else 1)
             first += len(run)
         return np.log1p(np.minimum(out, 20))
 
@@ -327,20 +369,23 @@ def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3
             b = c
         if b not in beginnings:
             beginnings.append(b)
-    words = [w for w, t in seen[1].items() if len(w) > 2 and telling(len(t), len(seen[0].get(w, ())), chance) and not w.startswith(tuple(beginnings) or "\x00")]
-    terms = [(b, True, 0) for b in sorted(beginnings)] + [(w, False, 1 if len(w) >= edit_from else 0) for w in sorted(words)]
+    # A word whose beginning allows edits is found by it, misspelled too; one with a shorter beginning stays for its own edits.
+    edits = lambda term: 1 if len(term) >= edit_from else 0
+    covering = tuple(b for b in beginnings if edits(b)) or "\x00"
+    words = [w for w, t in seen[1].items() if len(w) > 2 and telling(len(t), len(seen[0].get(w, ())), chance) and not w.startswith(covering)]
+    terms = [(b, True, edits(b)) for b in sorted(beginnings)] + [(w, False, edits(w)) for w in sorted(words)]
     innocent: set[str] = set()
     if terms:
         scanner = Scanner(ToxicityModel(tuple(terms)))
         for texts in _runs([t for _, t, y in rows if not y]):
-            for t, s, e, _, edits, _ in scanner.scan(texts):
+            for t, s, e, term, edits, _ in scanner.scan(texts):
                 if edits:
-                    innocent.add(texts[t][s:e].lower())
+                    innocent.add(edited_form(texts[t][s:e].lower(), *terms[term][:2]))
     model = ToxicityModel(tuple(terms), frozenset(innocent))
     x = Scanner(model).features([t for _, t, _ in rows])
     weights = fit_logistic(x, [y for _, _, y in rows])
     # A misspelling may be absent from the sample: it is worth most of an exact hit.
-    weights[1] = max(weights[1], 0.8 * weights[0])
+    weights[1] = max(weights[1], MISSPELLED * weights[0])
     return ToxicityModel(tuple(terms), frozenset(innocent), tuple(weights.tolist()))
 
 

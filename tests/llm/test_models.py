@@ -210,6 +210,44 @@ def test_quotation_weighs_less_and_address_more():
     assert weight('the word "blorn" appears') == toxicity.QUOTED and weight("you are a blornn") == toxicity.AIMED
 
 
+def test_beginnings_allow_an_edit():
+    rng = random.Random(8)
+    terms = (("blornix", True, 1), ("zugra", True, 1), ("kra", True, 0))
+    words = {"".join(rng.choice("blornixzugra") for _ in range(rng.randint(1, 9))) for _ in range(2000)}
+    words |= {b[:k] + x + b[k + d :] + "tail" for b in ("blornix", "zugra", "kra") for k in range(len(b) + 1) for d in (0, 1) for x in ("", "q", "b")}
+    text = " ".join(sorted(words))
+    scanner = toxicity.Scanner(toxicity.ToxicityModel(terms))
+    got = {text[s:e]: (t, d) for _, s, e, t, d, _ in scanner.scan([text])}
+    for w in words:
+        near = [(min(distance(w[:k], t) for k in range(len(w) + 1)), i) for i, (t, _, _) in enumerate(terms)]
+        near = [(d, i) for d, i in near if d <= terms[i][2]]
+        assert got.get(w) == (min(near)[::-1] if near else None), w
+
+
+def test_digits_among_letters_are_edits():
+    scanner = toxicity.Scanner(toxicity.ToxicityModel((("blorn", False, 1), ("zugran", True, 1)), frozenset({"bl0rn"})))
+    found = lambda t: [(t[s:e], n, d) for _, s, e, n, d, _ in scanner.scan([t])]
+    assert found("a blo7n and 8lorn, zu6ranisch x") == [("blo7n", 0, 1), ("lorn", 0, 1), ("zu6ranisch", 1, 1)]
+    assert found("blorn77 blorn_2 b1o7n 12 bl0rn blo77n") == [("blorn", 0, 0), ("blorn", 0, 0)]
+    assert scanner.scan(['the word "blo7n" appears'])[0][5] == toxicity.QUOTED and scanner.scan(["you", "x y z", "you are a b2orn"])[0][::5] == (2, toxicity.AIMED)
+
+
+def test_learned_beginnings_hit_misspelled():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioustnrl") for _ in range(6))
+    rows = [(i, " ".join([word(), word(), "grobnak" * (i < 200) + word(), word(), word()]), int(i < 200)) for i in range(1000)]
+    model = toxicity.learn(rows)
+    assert model.terms and all(b and len(t) >= 5 and n == 1 for t, b, n in model.terms)
+    exact, near, clean = toxicity.Scanner(model).scores(["aa grobnaktiro ee", "aa gr0bnaktiro ee", "aa tironaksolu ee"])
+    assert exact > near > 0.5 > clean
+    # A near beginning that clean documents use is innocent with any ending.
+    model = toxicity.learn([*rows, *((1000 + i, f"aa gzobnak{word()} ee", 0) for i in range(5))])
+    assert "gzobnak*" in model.innocent
+    clean, near = toxicity.Scanner(model).scores(["aa gzobnakanderes ee", "aa gr0bnakanderes ee"])
+    assert clean < 0.5 < near
+    assert all(toxicity.within_one(a, b) == (distance(a, b) <= 1) for a in ("", "a", "ab", "ba", "abc", "acb", "abcc") for b in ("", "b", "ab", "aab", "abd", "abc", "xabc", "bc", "ac"))
+
+
 def test_toxicity_on_held_out_documents(spark):
     label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = toxicity.op9_toxicity(spark, SF).collect()
