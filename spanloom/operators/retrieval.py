@@ -66,8 +66,9 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     """query_id, id, score, rank: the ``k`` nearest rows of each query vector by cosine.
 
     The query set is dealt out in blocks; each Arrow batch of vectors meets each
-    block in one matrix product and keeps its own best ``k`` per query, so what
-    is shuffled is k rows per query and batch.
+    block in one matrix product and keeps its own best ``k`` per query in the
+    final order (score to 9 places, then id), so what is shuffled is k rows per
+    query and batch, and no smaller id of equal scores is lost.
     """
     import numpy as np
     import pyarrow as pa
@@ -80,23 +81,29 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
 
     def run(batches):
         for batch in batches:
+            batch = batch.sort_by(batch.schema.names[0])
             own = batch.column(0).to_numpy()
             x = np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)
             n = np.linalg.norm(x, axis=1, keepdims=True)
             x = x / np.where(n > 0, n, 1)
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for s in range(0, len(ids), block_rows):
                 score = q[s : s + block_rows] @ x.T
-                best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                place = np.round(score, 9)
+                place[ids[s : s + block_rows, None] == own] = -np.inf
+                best = np.argsort(-place, axis=1, kind="stable")[:, :k]
                 for i, row in enumerate(best):
+                    row = row[place[i, row] > -np.inf]
                     out[0] += [ids[s + i]] * len(row)
                     out[1] += own[row].tolist()
                     out[2] += score[i, row].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", id_col, "score"])
+                    out[3] += place[i, row].tolist()
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", id_col, "score", "place"])
 
-    near = vectors.select(id_col, F.col(vector_col).cast("array<double>")).mapInArrow(run, f"query_id bigint, {id_col} bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), id_col)
-    return near.where(F.col("query_id") != F.col(id_col)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = vectors.select(id_col, F.col(vector_col).cast("array<double>")).mapInArrow(run, f"query_id bigint, {id_col} bigint, score double, place double")
+    order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), id_col)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("place")
 
 
 def gold_chunks(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,18 @@ def test_embedding_topk_equals_sorting(spark):
         assert [got[i, k] for k in (1, 2, 3)] == want
 
 
+def test_embedding_topk_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    kinds = rng.normal(size=(5, 32))
+    n = 900
+    rows = [(int(i), [float(x) for x in kinds[i % 5]]) for i in rng.permutation(n)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    got = {}
+    for r in rt.embedding_topk(df, df.where("vec_id % 9 = 0"), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i in range(q % 5, n, 5) if i != q][:4] for q in range(0, n, 9)}
+
+
 def test_shapes_and_medians(spark):
     rows = [("s", "x", i, 0, n, "，" * n if i == 2 else "甲" * (n - 1) + "。") for i, n in enumerate([5, 1, 3, 9])]
     chunks = spark.createDataFrame(rows, "strategy string, doc_id string, seq int, start int, end int, text string").withColumn("meta", F.struct(F.lit(0).alias("overlap_chars")))
