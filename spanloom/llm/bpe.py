@@ -8,7 +8,8 @@ into pieces at those places only, all texts of a slice at once over their bytes.
 A piece is looked up by a 64-bit hash in a table that the Python worker keeps;
 unknown ones are encoded by the library, those that are one pre-token by
 thousands in one call past its regular expression. Texts with any other
-arrangement of white space are encoded whole. The ids equal those of encoding
+arrangement of white space are encoded whole, and so are those that hold one of
+the tokenizer's added tokens, which has an id of its own there. The ids equal those of encoding
 the whole text, which the tests check.
 """
 
@@ -19,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .textbytes import byte_view, hash_spans, slices
 
@@ -130,7 +132,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
@@ -167,6 +169,8 @@ class Encoder:
             where = unknown[where]
             self._learn(new, data, starts[where], ends[where], spaced[where])
             index[unknown] = self.known.find(key[unknown])
+        for token in self.added:
+            odd |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
         counts = self.known.count[index]
         bad = np.concatenate(([0], np.cumsum(counts < 0)))
         odd |= bad[first[1:]] > bad[first[:-1]]

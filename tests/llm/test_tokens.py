@@ -31,6 +31,17 @@ def test_odd_texts_encode_like_the_library(encoder):
             assert ids == (encoder.whole(text) if text else b""), text
 
 
+def test_added_tokens_have_their_own_ids(encoder):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_tokenizer())
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a <|endoftext |> b", "plain words"]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode_many(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == fresh.encode(text or "", add_special_tokens=False).ids, text
+    assert np.frombuffer(encoder.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abzA É9ß'.,! \n-_ñ…日 "), max_size=60), max_size=6))
 def test_any_text_encodes_like_the_library(texts):
