@@ -7,7 +7,9 @@
     packing             the rest as pieces of token sequences
 
 Every stage but the last returns the columns of documents. A stage decides by
-doc_id; rows without one are kept by the near-dedup stage.
+row: ids may be null or repeat. Of a group of near copies the row of the
+smallest id stays, one without an id only if none has one; rows that share id
+and text are one document. Rows without a word are copies of nothing.
 """
 
 from __future__ import annotations
@@ -32,16 +34,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).where("toxicity_score < 0.5").select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key``, a 64-bit hash of id and text: rows share it if they are the same document."""
+    columns = [c for name in ("doc_id", "text") for c in (F.col(name).isNull(), F.col(name))]
+    return docs.withColumn("row_key", F.xxhash64(*columns))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash_dedup(docs, params=NEAR).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one_each = docs.join(kept, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.where("doc_id IS NULL"))
+    rows = keyed(docs)
+    # Rows without a word are copies of nothing, and all stay.
+    has_word = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    worded = rows.where(has_word)
+    found = minhash_dedup(worded, "row_key", params=NEAR).groupBy("row_key").agg(F.min("component_id").alias("component_id"))
+    ids = worded.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    kept = found.join(ids, "row_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("row_key"))
+    one_each = worded.dropDuplicates(["row_key"]).join(kept, "row_key", "left_semi")
+    return one_each.select(docs.columns).unionByName(docs.where(~has_word))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("hit_id"))
+    rows = keyed(docs)
+    hit = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key").where("contaminated").select("row_key")
     hit = Scratch(spark).put(hit.distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return rows.join(hit, "row_key", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,6 +82,20 @@ def test_near_copies_from_eighty_on_go(spark, tables):
     assert {i for i, _ in rows} - {r["doc_id"] for r in cp.drop_near_copies(spark, docs, path).collect()} == linked
 
 
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, tables):
+    path, _ = tables
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    text = lambda i: " ".join(f"word{i}x{k}" for k in range(12))
+    rows = [(7, text(1)), (7, text(2)), (7, text(3)), (7, text(1)), (None, text(4)), (None, text(5)), (None, text(4)), (None, text(2)), (None, leak), (7, f"so {leak}"), (8, None), (8, None), (None, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    near = cp.drop_near_copies(spark, docs, path)
+    assert near.columns == COLUMNS
+    assert got(near) == sorted([(7, text(1)), (7, text(2)), (7, text(3)), (None, text(4)), (None, text(5)), (7, f"so {leak}"), (8, None), (8, None), (None, ""), (None, " ")], key=str)
+    clean = cp.drop_contaminated(spark, docs, path)
+    assert clean.columns == COLUMNS and got(clean) == sorted([(i, t) for i, t in rows if leak not in (t or "")], key=str)
+
+
 def test_contaminated_documents_go(spark, tables):
     path, rows = tables
     out = cp.drop_contaminated(spark, read(spark, path), path)
