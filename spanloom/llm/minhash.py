@@ -46,7 +46,7 @@ class MinHashParams:
     bands: int = 20
     rows: int = 6
     batch: int = 20
-    miss: float = 1e-3
+    miss: float = 1e-4
     block: int = 512
     seed: int = 20240229
 

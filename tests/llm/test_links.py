@@ -86,6 +86,18 @@ def test_pruning_bounds_follow_the_posterior():
         assert (sample >= 0.85).mean() > p.miss / 2 and (below >= 0.85).mean() < p.miss * 2
 
 
+@pytest.mark.parametrize("p", [MinHashParams(), MinHashParams(percent=80, bands=32, rows=5)])
+def test_bands_and_cuts_together_miss_less_than_one_in_a_thousand(p):
+    share, alive, done = p.percent / 100, np.ones(1), 0
+    for n, least in least_matches(p):
+        step = np.ones(1)
+        for _ in range(n - done):
+            step = np.convolve(step, [1 - share, share])
+        alive, done = np.convolve(alive, step), n
+        alive[:least] = 0
+    assert 1 - alive.sum() + (1 - share**p.rows) ** p.bands < 1e-3
+
+
 def test_exact_links_span_the_same_components():
     rng = random.Random(2)
     sets = [np.array(sorted(rng.sample(range(60), 40)), np.uint64) for _ in range(20)] + [np.arange(40, dtype=np.uint64), np.arange(1, 41, dtype=np.uint64)]
