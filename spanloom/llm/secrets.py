@@ -9,12 +9,16 @@ candidate token of every text is then scored by the difference of its two code
 lengths per character, and those that look like a credential are added as
 ``format`` spans. Base spans stay whatever their score.
 
+Candidates are runs of 16 or more of ``CANDIDATE``'s characters that have both a
+letter and a digit and touch no base span; unmarked keys that are shorter or of
+one kind alone are not scored. Fewer than 10 labelled credentials teach nothing.
+
 The texts are read once: base spans and candidate tokens are written to the
 shared folder, the automata are inferred from there, and scoring reads only the
 candidates.
 
 Defined results: a null or empty text has no spans; rows that repeat are scanned
-each; without labelled credentials (or without other tokens) nothing is added;
+each; with fewer than 10 labelled credentials nothing is added;
 offsets count code points, the end is exclusive; other columns are ignored.
 """
 
