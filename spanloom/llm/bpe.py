@@ -5,12 +5,13 @@ non-space on both sides (the space opens the next token), nor across a single
 newline between non-spaces, nor between two of ASCII letters, digits and marks
 (the apostrophe, which may begin a contraction, is none of them). Texts are cut
 into pieces at those places only, all texts of a slice at once over their bytes.
-A piece is looked up by a 64-bit hash in a table that the Python worker keeps;
-unknown ones are encoded by the library, those that are one pre-token by
-thousands in one call past its regular expression. Texts with any other
+A piece is looked up in a table that the Python worker keeps, by hash and then by
+its bytes; unknown ones are encoded by the library, those that are one pre-token
+by thousands in one call past its regular expression. Texts with any other
 arrangement of white space are encoded whole, and so are those that hold one of
-the tokenizer's added tokens, which has an id of its own there. The ids equal those of encoding
-the whole text, which the tests check.
+the tokenizer's added tokens, which has an id of its own there, or a piece whose
+hash belongs to another one. The ids equal those of encoding the whole text,
+which the tests check.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textbytes import byte_view, hash_spans, slices
+from .common import held
+from .textbytes import SpanTable, _room, byte_view, hash_spans, padded, slices
 
 #: Pieces that are remembered before a worker starts afresh: about 50 bytes each.
 REMEMBERED = 1_000_000
@@ -63,66 +65,31 @@ def _kinds() -> np.ndarray:
     return table
 
 
-@functools.cache
 def encoder_of(path: str) -> Encoder:
-    """One encoder per Python worker, so that what it knows outlives a task."""
-    return Encoder(path)
-
+    """A Python worker's encoder, so that what it knows outlives a task."""
+    return held("encoder", path, lambda: Encoder(path))
 
-class PieceTable:
-    """64-bit key -> run of ids; open addressing, looked up and filled by whole arrays."""
 
-    def __init__(self, room: int):
-        self.bits = max(10, (2 * room - 1).bit_length())
-        self.room = room
-        self.clear()
+class PieceTable(SpanTable):
+    """Pieces and their runs of ids."""
 
     def clear(self) -> None:
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.size = self.used = 0
-        self.keys = np.zeros(1024, np.uint64)
+        super().clear()
+        self.used = 0
         self.first = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int32)  # -1: the piece must not be cut out of its text
         self.ids = np.zeros(4096, np.uint32)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 for unknown ones."""
-        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        found = self.slots[at]
-        going = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
-        at = at[going]
-        while len(going):
-            at = (at + 1) & (len(self.slots) - 1)
-            here = self.slots[at]
-            found[going] = here
-            on = (here >= 0) & (self.keys[here] != keys[going])
-            going, at = going[on], at[on]
-        return found
-
-    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Distinct unknown keys with the lengths of their runs in ``ids``."""
-        n, size = len(keys), self.size
-        self._grow(size + n, self.used + len(ids))
-        held = np.maximum(counts, 0)
-        self.keys[size : size + n] = keys
-        self.count[size : size + n] = counts
-        self.first[size : size + n] = self.used + np.cumsum(held) - held
+    def learn(self, data, starts, ends, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct unknown pieces with the lengths of their runs in ``ids``."""
+        at = self.add(data, starts, ends, keys)
+        many = np.maximum(counts, 0)
+        self.first, self.count = _room(self.first, self.size), _room(self.count, self.size)
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.count[at] = counts
+        self.first[at] = self.used + np.cumsum(many) - many
         self.ids[self.used : self.used + len(ids)] = ids
-        self.size, self.used = size + n, self.used + len(ids)
-        own = np.arange(size, size + n, dtype=np.int32)
-        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(own):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = own[free]
-            lost = self.slots[at] != own
-            own, at = own[lost], (at[lost] + 1) & (len(self.slots) - 1)
-
-    def _grow(self, entries: int, ids: int) -> None:
-        if entries > len(self.keys):
-            more = max(entries, 2 * len(self.keys)) - len(self.keys)
-            self.keys, self.first, self.count = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.keys, self.first, self.count))
-        if ids > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(ids, 2 * len(self.ids)) - len(self.ids), np.uint32)])
+        self.used += len(ids)
 
 
 class Encoder:
@@ -133,8 +100,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.known = PieceTable(remembered)
 
@@ -156,8 +122,9 @@ class Encoder:
         starts, ends, spaced, first, odd = _pieces(data, at)
         key = hash_spans(data, starts, ends, seed=7)
         key ^= spaced.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        index = self.known.find(key)
-        unknown = np.flatnonzero(index < 0)
+        wide = padded(data)
+        index = self.known.find(wide, starts, ends, key)
+        unknown = np.flatnonzero(index == SpanTable.UNKNOWN)
         if len(unknown):
             new, where = np.unique(key[unknown], return_index=True)
             if self.known.size + len(new) > self.known.room:
@@ -167,11 +134,11 @@ class Encoder:
             if len(new) > self.known.room:
                 return [self.whole(t) if t else b"" for t in column.to_pylist()]
             where = unknown[where]
-            self._learn(new, data, starts[where], ends[where], spaced[where])
-            index[unknown] = self.known.find(key[unknown])
+            self._learn(new, wide, starts[where], ends[where], spaced[where])
+            index[unknown] = self.known.find(wide, starts[unknown], ends[unknown], key[unknown])
         for token in self.added:
             odd |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
-        counts = self.known.count[index]
+        counts = np.where(index < 0, -1, self.known.count[index])
         bad = np.concatenate(([0], np.cumsum(counts < 0)))
         odd |= bad[first[1:]] > bad[first[:-1]]
         counts = np.maximum(counts, 0)
@@ -183,14 +150,16 @@ class Encoder:
         return out
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: np.ndarray) -> None:
-        """Encode unknown pieces and remember them."""
+        """Encode unknown pieces of padded ``data`` and remember them."""
         raw = data.tobytes()
         rest = np.concatenate(([0], np.cumsum(_kinds()[data] == 0)))
         simple = rest[ends] == rest[starts]
         quick = np.flatnonzero(simple)
         spans = zip(starts[quick].tolist(), ends[quick].tolist(), spaced[quick].tolist(), strict=True)
         runs = [(SPACE if f else "") + raw[s:e].decode("ascii") for s, e, f in spans]
-        self._remember(keys[quick], [NEWLINE if r == "\n" else r for r in runs], np.ones(len(runs), np.int64))
+        remember = lambda which, counts, ids: self.known.learn(data, starts[which], ends[which], keys[which], counts, ids)
+        if runs:
+            remember(quick, *self._ids([NEWLINE if r == "\n" else r for r in runs], np.ones(len(runs), np.int64)))
         words, parts, of, others = [], [], [], []
         for i in np.flatnonzero(~simple).tolist():
             p, space = raw[starts[i] : ends[i]].decode(), " " if spaced[i] else ""
@@ -206,22 +175,20 @@ class Encoder:
                 others.append((i, None if any(map(str.isspace, p)) else self.whole(space + p)))
         if words:
             text = "\n".join(words).encode().decode("latin-1").translate(IN_LINES)
-            self._remember(keys[of], text.split("\n"), np.array(parts, np.int64))
+            remember(of, *self._ids(text.split("\n"), np.array(parts, np.int64)))
         if others:
             counts = np.array([-1 if x is None else len(x) // 4 for _, x in others], np.int32)
-            self.known.add(keys[[i for i, _ in others]], counts, np.frombuffer(b"".join(x for _, x in others if x), "<u4"))
+            remember([i for i, _ in others], counts, np.frombuffer(b"".join(x for _, x in others if x), "<u4"))
 
-    def _remember(self, keys: np.ndarray, runs: list[str], parts: np.ndarray) -> None:
-        """Pieces of ``parts`` pre-tokens each, written in the vocabulary's characters."""
-        if not runs:
-            return
+    def _ids(self, runs: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, ids) of pieces of ``parts`` pre-tokens each, written in the vocabulary's characters."""
         ids, sizes = [], []
         for s in range(0, len(runs), 1000):
             encoding = self.model.encode("\n".join(runs[s : s + 1000]), add_special_tokens=False)
             ids.append(np.array(encoding.ids, np.uint32))
             sizes.append(np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(runs[s : s + 1000])))
         counts = np.add.reduceat(np.concatenate(sizes), np.cumsum(parts) - parts)
-        self.known.add(keys, counts.astype(np.int32), np.concatenate(ids))
+        return counts.astype(np.int32), np.concatenate(ids)
 
 
 def _pieces(data: np.ndarray, at: np.ndarray):
@@ -248,8 +215,7 @@ def _pieces(data: np.ndarray, at: np.ndarray):
 
 
 def encoded(encoder: Encoder, batch, end: bytes):
-    """(id, ids + end) of every row of a batch of (id, text), about 1 MB of text at a time."""
+    """Lists of (id, ids + end), a row each of a batch of (id, text), for about 1 MB of text at a time."""
     docs, column = batch.column(0), batch.column(1)
     for first, last in slices(column):
-        for doc, ids in zip(docs[first:last].to_pylist(), encoder.encode_column(column[first:last]), strict=True):
-            yield doc, ids + end
+        yield [(doc, ids + end) for doc, ids in zip(docs[first:last].to_pylist(), encoder.encode_column(column[first:last]), strict=True)]

@@ -3,34 +3,53 @@ remainders, bounded label samples and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+#: Bytes of a batch on its way to a Python worker, where the session sets none: a batch of
+#: ten thousand long texts would be held several times over by the executor and its worker.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (single-machine tests) one is chosen.
+    Only where the session names none and runs in one process (as tests do), a
+    local one is chosen; on a cluster that would lose rows, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.gettempdir()}/checkpoints")
     return context.getCheckpointDir().rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no rerun."""
+    """Tables written to the shared folder, so that a lost executor costs no rerun.
+
+    Those that nothing reads any more are dropped; the rest, which a result still
+    reads, go when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/spanloom-{uuid.uuid4().hex}"
         self._n = 0
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1)):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
     def put(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -46,6 +65,46 @@ class Scratch:
                 delete_path(self.spark, table._scratch_path)
 
 
+_held: dict = {}
+
+
+def held(kind: str, key, make: Callable):
+    """What a Python worker keeps from task to task: one thing at a time, so that what
+    one operator needs does not stay in memory beside what the next one needs."""
+    if _held.get("key") != (kind, key):
+        _held.clear()
+        _held.update(value=make(), key=(kind, key))
+    return _held["value"]
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, which first lets go of what a worker holds for other
+    operators (all but ``keeps``) and in the end gives free memory back."""
+
+    def tidied(batches):
+        if _held.get("key", (None,))[0] != keeps:
+            _held.clear()
+            give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Return unused memory of Arrow's pool and the C library's to the system."""
+    import pyarrow as pa
+
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -63,6 +122,18 @@ def need_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` in one, ``row``, beside which other names are free."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
+def map_whole(df: DataFrame, run: Callable[[Iterator], Iterator], more: tuple[StructField, ...] = ()) -> DataFrame:
+    """``run`` over whole rows of ``df``, whatever its columns are called: there they are c0, c1, ..."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    fields = [StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema.fields)]
+    return plain.mapInArrow(tidy(run), StructType([*fields, *more])).toDF(*df.columns, *(f.name for f in more))
+
+
 def hash_fraction(df: DataFrame, key: Column, bound: int) -> DataFrame:
     """About ``bound`` rows of ``df`` (all, if it has fewer), chosen by a hash of ``key``.
 
@@ -130,12 +201,14 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, bound: int, modulus: int, left_out: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[tuple[int, str, int]]:
-    """(id, text, label) of about ``bound`` labelled training rows, sorted by id.
+    """(id, text, label) of about ``bound`` labelled training rows, sorted.
 
     The sample is drawn from the labels by a hash of the id, before any text is
     read, so its size is known and its ids may be broadcast; the corpus is
-    scanned once and never shuffled. Rows with the held-out remainder, a null id
-    or label, or (by maximum) repeated labels are settled here.
+    scanned once and only chosen rows are shuffled. Rows with the held-out
+    remainder, a null id or label, or (by maximum) repeated labels are settled
+    here. Of rows that repeat a chosen id, one text is the sample, that of the
+    least hash, however many they are.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
@@ -144,8 +217,9 @@ def labelled_sample(
     if not chosen:
         return []
     few = spark.createDataFrame([(r["i"], r["y"]) for r in chosen], "i bigint, y int")
-    found = docs.join(F.broadcast(few), docs[id_col] == few["i"]).select("i", F.coalesce(F.col(text_col), F.lit("")).alias("t"), "y")
-    return sorted((r["i"], r["t"], r["y"]) for r in found.toLocalIterator())
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    one = texts.join(F.broadcast(few), "i").groupBy("i").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y")).alias("s"))
+    return sorted((r["i"], r["s"]["t"], r["s"]["y"]) for r in one.toLocalIterator())
 
 
 def fit_logistic(x, y, ridge: float = 1e-2, steps: int = 50):

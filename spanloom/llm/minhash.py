@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, need_columns
-from .textbytes import byte_view, mix, shingle_hashes, slices
+from .common import Scratch, components, held, need_columns, tidy
+from .textbytes import WordHashes, byte_view, mix, shingle_hashes, slices
 
 
 @dataclass(frozen=True)
@@ -85,11 +85,15 @@ def least_matches(p: MinHashParams) -> list[tuple[int, int]]:
     return out
 
 
+def word_hashes() -> WordHashes:
+    return held("words", None, WordHashes)
+
+
 def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     for first, last in slices(column):
         data, at = byte_view(column[first:last])
-        hashes, where = shingle_hashes(data, at, width)
+        hashes, where = shingle_hashes(data, at, width, word_hashes())
         for i in range(last - first):
             one = hashes[where[i] : where[i + 1]]
             one.sort()
@@ -367,13 +371,12 @@ def deal(df: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def minhash_links(docs: DataFrame, p: MinHashParams, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(sketches, component of each class representative that has a link)."""
-    sketch = scratch.put(docs.mapInArrow(_sketcher(p), SKETCH))
+    """(sketches, fp and component of each class of equal sets)."""
+    sketch = scratch.put(docs.mapInArrow(tidy(_sketcher(p), "words"), SKETCH))
     reps = scratch.put(
         sketch.where("n_shingles > 0 AND doc IS NOT NULL")
         .groupBy("fp")
         .agg(F.min("doc").alias("doc"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-        .drop("fp")
     )
     step = 4 * p.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * step + 1, step)) for i in range(p.bands)])
@@ -381,29 +384,32 @@ def minhash_links(docs: DataFrame, p: MinHashParams, scratch: Scratch) -> tuple[
     counts = banded.groupBy("bucket").agg(F.count("*").alias("members_n")).where("members_n > 1")
     member = scratch.put(banded.join(counts, "bucket"))
     near = (
-        deal(member.join(reps, "doc"), p)
+        deal(member.join(reps.drop("fp"), "doc"), p)
         .select("bucket", "bi", "bj", "side", "doc", "n_shingles", "sig")
         .repartition("bucket", "bi", "bj")
         .sortWithinPartitions("bucket", "bi", "bj", "side")
-        .mapInArrow(_bucket_pruner(p), EDGES)
+        .mapInArrow(tidy(_bucket_pruner(p)), EDGES)
     )
     clusters = components(near, scratch)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members_n"))
     wanted = scratch.put(
         clusters.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "members_n")
     )
-    scratch.drop(member, clusters, reps)
-    sets = scratch.put(docs.join(wanted.select("doc"), "doc").select("doc", "text").mapInArrow(_set_builder(p.width), "doc bigint, members binary"))
+    scratch.drop(member, clusters)
+    sets = scratch.put(docs.join(wanted.select("doc"), "doc").select("doc", "text").mapInArrow(tidy(_set_builder(p.width), "words"), "doc bigint, members binary"))
     links = (
         deal(wanted.join(sets, "doc"), p)
         .select("cluster", "bi", "bj", "side", "doc", "members")
         .repartition("cluster", "bi", "bj")
         .sortWithinPartitions("cluster", "bi", "bj", "side")
-        .mapInArrow(_cluster_linker(p), EDGES)
+        .mapInArrow(tidy(_cluster_linker(p)), EDGES)
     )
     found = components(links, scratch)
     scratch.drop(sets, wanted)
-    return sketch, found
+    # Written, so that the join by fp has two shuffled sides and a class of very many copies is dealt to many tasks.
+    root = scratch.put(reps.select("fp", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component_id")))
+    scratch.drop(reps, found)
+    return sketch, root
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHashParams | None = None) -> DataFrame:
@@ -412,17 +418,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     need_columns(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sketch, found = minhash_links(source, p, scratch)
-    fp_root = (
-        sketch.where("n_shingles > 0 AND doc IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("rep"))
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
-    return (
-        sketch.join(fp_root, "fp", "left")
-        .select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
-        .withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
-    )
+    sketch, root = minhash_links(source, p, scratch)
+    rows = sketch.select("doc", "n_shingles", "fp")
+    # Rows without a set would all meet in one task of the join.
+    alone = rows.where("fp IS NULL").select("doc", "n_shingles", F.col("doc").alias("component_id"))
+    linked = rows.where("fp IS NOT NULL").join(root, "fp", "left").select("doc", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+    out = linked.unionByName(alone).select(F.col("doc").alias(id_col), "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:

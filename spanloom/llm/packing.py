@@ -6,14 +6,16 @@ the histogram of remaining lengths (fewer than ``window`` numbers, whatever the
 corpus) reaches the driver. There, the longest length left seeds a window and a
 bitset subset-sum dynamic programme over the multiset of the others picks the
 fill closest to capacity; its counts are traced back and the pattern is
-repeated as often as the multiset allows. Lengths that nothing fills exactly go
-to a tail, which is cut freely at the window bound; the tail's last part is cut
-into powers of two, which need no padding.
+repeated as often as the multiset allows. A window that leaves at most ``slack``
+ids is placed as it is and padded (one whose fill is a power of two needs no
+padding, whatever it leaves). Lengths whose best window leaves more go to a
+tail, where the head of the next piece fills each window up and its rest begins
+the next one; the tail's last part is cut into powers of two.
 
 The plan is in terms of (length, rank). Ranks come from a two-level count, so a
-length that a third of all rows share is ranked by many tasks. No piece carries
-its ids through a shuffle: their crc32 is computed where they are encoded, and
-the few documents whose tail piece is cut again are encoded once more.
+length that a third of all rows share is ranked by many tasks. Texts are encoded
+once: a piece's crc32 is computed there, and the ids of pieces that may be cut
+are written beside it, so that only those of cut pieces are read again.
 
 Defined results: a null text is empty, so its one piece is the end id; repeated
 rows are packed each on their own; a null id is kept as null; other columns are
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, encoded, encoder_of
-from .common import Scratch, need_columns
+from .common import Scratch, need_columns, tidy
 
 
 def min_slack_pattern(counts: dict[int, int], seed: int, window: int) -> tuple[dict[int, int], int]:
@@ -63,8 +65,13 @@ def min_slack_pattern(counts: dict[int, int], seed: int, window: int) -> tuple[d
     return used, slack
 
 
-def pack_plan(histogram: dict[int, int], window: int):
-    """(rows, tail, sequences).
+def padding(fill: int, window: int) -> int:
+    """Ids that pad a sequence of ``fill`` ids: up to the window, none for a power of two."""
+    return 0 if fill & (fill - 1) == 0 else window - fill
+
+
+def pack_plan(histogram: dict[int, int], window: int, most_slack: int = 0):
+    """(rows, tail, sequences, cuts).
 
     rows: (length, first rank, end rank, first sequence, pieces of that length in
     each sequence, offset of the first of them). tail: (length, first rank,
@@ -81,7 +88,7 @@ def pack_plan(histogram: dict[int, int], window: int):
     while counts:
         seed = max(counts)
         used, slack = min_slack_pattern(counts, seed, window)
-        if slack:
+        if padding(window - slack, window) > most_slack:
             n = counts.pop(seed)
             tail.append((seed, rank[seed], position))
             position += seed * n
@@ -124,35 +131,40 @@ def tail_parts(position: int, length: int, window: int, cuts: list[int], sequenc
     return out
 
 
-PIECES = "doc bigint, start bigint, length int, crc bigint, doc_tokens bigint"
+PIECES = "key bigint, doc bigint, start bigint, length int, crc bigint, doc_tokens bigint, ids binary"
+_PIECE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+_PIECE_NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
-def _piece_maker(path: str, window: int, end_id: int):
+def _piece_maker(path: str, window: int, end_id: int, all_ids: bool):
     def run(batches):
+        from pyspark import TaskContext
+
         encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            docs, starts, lengths, crcs, totals = [], [], [], [], []
-            for doc, ids in encoded(encoder, batch, end):
-                total = len(ids) // 4
-                for at in range(0, total, window):
-                    piece = ids[4 * at : 4 * (at + window)]
-                    docs.append(doc)
-                    starts.append(at)
-                    lengths.append(len(piece) // 4)
-                    crcs.append(zlib.crc32(piece))
-                    totals.append(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64())],
-                names=["doc", "start", "length", "crc", "doc_tokens"],
-            )
+            for some in encoded(encoder, batch, end):
+                out: list[list] = [[] for _ in _PIECE_NAMES]
+                for doc, ids in some:
+                    total = len(ids) // 4
+                    for at in range(0, total, window):
+                        piece = ids[4 * at : 4 * (at + window)]
+                        kept = piece if all_ids or len(piece) < 4 * window else None
+                        for column, value in zip(out, (key, doc, at, len(piece) // 4, zlib.crc32(piece), total, kept), strict=True):
+                            column.append(value)
+                        key += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PIECE_TYPES, strict=True)], names=_PIECE_NAMES)
 
     return run
 
 
-PLACED = PIECES + ", sequence_id bigint, offset bigint, whole_crc bigint, whole_start bigint, whole_length int"
+PLACED = "key bigint, doc bigint, start bigint, length int, crc bigint, doc_tokens bigint, sequence_id bigint, offset bigint, cut_at int"
+_PLACED_TYPES = [*_PIECE_TYPES[:6], pa.int64(), pa.int64(), pa.int32()]
+_PLACED_NAMES = [x.split()[0] for x in PLACED.split(", ")]
 
 
 def _placer(rows, tail, sequence, cuts, window):
+    """Places of pieces; ``cut_at`` is where in its piece a part of a cut one begins, else null."""
     table = np.array(rows, np.int64).reshape(-1, 6)
     key = table[:, 0] << np.int64(44) | table[:, 1]
     in_tail = {length: (first, position) for length, first, position in tail}
@@ -164,53 +176,32 @@ def _placer(rows, tail, sequence, cuts, window):
             planned = np.flatnonzero(rank < tail_from)
             row = table[np.searchsorted(key, length[planned] << np.int64(44) | rank[planned], "right") - 1]
             nth = rank[planned] - row[:, 1]
-            whole = batch.select(["doc", "start", "length", "crc", "doc_tokens"])
-            first = whole.take(pa.array(planned))
-            n = len(planned)
-            yield pa.RecordBatch.from_arrays(
-                [*first.columns, pa.array(row[:, 3] + nth // row[:, 4]), pa.array(row[:, 5] + nth % row[:, 4] * length[planned]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
-                names=PLACED_NAMES,
-            )
-            out = [[] for _ in PLACED_NAMES]
-            for i in np.flatnonzero(rank >= tail_from).tolist():
-                r = {k: v[0] for k, v in whole.slice(i, 1).to_pydict().items()}
+            whole = batch.select(_PLACED_NAMES[:6])
+            places = [pa.array(row[:, 3] + nth // row[:, 4]), pa.array(row[:, 5] + nth % row[:, 4] * length[planned]), pa.nulls(len(planned), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*whole.take(pa.array(planned)).columns, *places], names=_PLACED_NAMES)
+            last = np.flatnonzero(rank >= tail_from)
+            out = [[] for _ in _PLACED_NAMES]
+            for r, n in zip(whole.take(pa.array(last)).to_pylist(), rank[last].tolist(), strict=True):
                 first_rank, position = in_tail[r["length"]]
-                parts = tail_parts(position + (int(rank[i]) - first_rank) * r["length"], r["length"], window, cuts, sequence)
+                parts = tail_parts(position + (n - first_rank) * r["length"], r["length"], window, cuts, sequence)
                 for begin, size, number, offset in parts:
-                    cut = len(parts) > 1
-                    values = [r["doc"], r["start"] + begin, size, r["crc"], r["doc_tokens"], number, offset]
-                    values += [r["crc"], r["start"], r["length"]] if cut else [None, None, None]
+                    values = (r["key"], r["doc"], r["start"] + begin, size, r["crc"], r["doc_tokens"], number, offset, begin if len(parts) > 1 else None)
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=PLACED_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PLACED_TYPES, strict=True)], names=_PLACED_NAMES)
 
     return run
 
 
-PLACED_NAMES = ["doc", "start", "length", "crc", "doc_tokens", "sequence_id", "offset", "whole_crc", "whole_start", "whole_length"]
-
-
-def _recutter(path: str, end_id: int):
-    """crc of cut pieces; a text that does not have the piece's own crc is not its text."""
-
-    def run(batches):
-        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows = batch.to_pydict()
-            crcs = []
-            for i, ids in enumerate(encoder.encode_many(rows["text"])):
-                ids += end
-                whole = ids[4 * rows["whole_start"][i] : 4 * (rows["whole_start"][i] + rows["whole_length"][i])]
-                mine = zlib.crc32(whole) == rows["whole_crc"][i] and len(ids) == 4 * rows["doc_tokens"][i]
-                crcs.append(zlib.crc32(ids[4 * rows["start"][i] : 4 * (rows["start"][i] + rows["length"][i])]) if mine else None)
-            names = ["doc", "start", "length", "doc_tokens", "sequence_id", "offset"]
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            columns.insert(3, pa.array(crcs, pa.int64()))
-            names.insert(3, "crc")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return run
+def _cutter(batches):
+    """The ids, and their crc32, of the parts of cut pieces."""
+    for batch in batches:
+        crcs, parts = [], []
+        for at, n, ids in zip(batch.column("cut_at").to_pylist(), batch.column("length").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            parts.append(ids if at is None else ids[4 * at : 4 * (at + n)])
+            crcs.append(zlib.crc32(parts[-1]))
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"crc": pa.array(crcs, pa.int64()), "ids": pa.array(parts, pa.binary())}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def rank_in_class(df: DataFrame, scratch: Scratch, key: str, order: list[str], per_bucket: int = 2000) -> DataFrame:
@@ -229,49 +220,59 @@ def rank_in_class(df: DataFrame, scratch: Scratch, key: str, order: list[str], p
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, tokenizer: str | None = None, broadcast_rows: int = 20_000
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 2048,
+    end_id: int = 1,
+    tokenizer: str | None = None,
+    slack: int | None = None,
+    broadcast_rows: int = 20_000,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked
+    for, ids (little-endian unsigned 32-bit). ``slack`` is a 128th of the window unless given."""
     if window < 2:
         raise ValueError(f"window must be 2 or more, not {window}")
     need_columns(docs, id_col, text_col)
     path = tokenizer or default_tokenizer()
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.put(source.mapInArrow(_piece_maker(path, window, end_id), PIECES))
+    pieces = scratch.put(source.mapInArrow(tidy(_piece_maker(path, window, end_id, with_ids), "encoder"), PIECES))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows, tail, sequence, cuts = pack_plan(histogram, window)
-    ranked = rank_in_class(pieces, scratch, "length", ["doc", "start", "crc", "doc_tokens"])
-    placed = scratch.put(ranked.select("doc", "start", "length", "crc", "doc_tokens", "rank").mapInArrow(_placer(rows, tail, sequence, cuts, window), PLACED))
+    rows, tail, sequence, cuts = pack_plan(histogram, window, window // 128 if slack is None else slack)
+    ranked = rank_in_class(pieces.drop("ids"), scratch, "length", ["key"])
+    placed = scratch.put(ranked.select(*_PLACED_NAMES[:6], "rank").mapInArrow(tidy(_placer(rows, tail, sequence, cuts, window)), PLACED))
+    names = ["doc", "start", "length", "crc", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    again = placed if with_ids else placed.where("cut_at IS NOT NULL")
+    n = again.count()
+    out = placed.where("cut_at IS NULL")
+    if n:
+        again = F.broadcast(again) if n <= broadcast_rows else again
+        joined = pieces.select("key", "ids").join(again, "key").select(*_PLACED_NAMES, "ids")
+        again = scratch.put(joined.mapInArrow(tidy(_cutter), PLACED + ", ids binary"))
+        out = again if with_ids else out.select(names).union(again.select(names))
+    elif with_ids:
+        out = out.withColumn("ids", F.lit(None).cast("binary"))
     scratch.drop(pieces)
-    names = ["doc", "start", "length", "crc", "doc_tokens", "sequence_id", "offset"]
-    out = placed.where("whole_crc IS NULL").select(names)
-    cut = placed.where("whole_crc IS NOT NULL").drop("crc")
-    if not cut.isEmpty():
-        own = source.withColumnRenamed("doc", "own")
-        cut = F.broadcast(cut) if cut.count() <= broadcast_rows else cut
-        again = cut.join(own, cut["doc"].eqNullSafe(own["own"])).drop("own").mapInArrow(_recutter(path, end_id), ", ".join(f"{n} {'int' if n == 'length' else 'bigint'}" for n in names))
-        again = again.where("crc IS NOT NULL").dropDuplicates(["sequence_id", "offset"])
-        out = out.union(scratch.put(again).select(names))
     return out.select(
-        F.col("doc").alias(id_col), "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        F.col("doc").alias(id_col), "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *(["ids"] * with_ids)
     )
 
 
-def sequence_ids(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
-    """The packed sequences themselves: sequence_id and its ids, from documents and their pieces."""
-    path = tokenizer or default_tokenizer()
+def sequence_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, **how) -> DataFrame:
+    """The packed sequences themselves: sequence_id, ids (array), padding (ids to add at the end)."""
 
     def run(batches):
-        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            d = batch.to_pydict()
-            ids = [np.frombuffer(encoder.encode(t) + end, "<u4")[s : s + n].tolist() for t, s, n in zip(d["text"], d["start"], d["length"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("sequence_id")), batch.column(batch.schema.get_field_index("offset")), pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "offset", "ids"])
-
-    joined = pieces.join(docs.select(id_col, text_col), id_col).select(F.col(text_col).alias("text"), "start", "length", "sequence_id", "offset")
-    parts = joined.mapInArrow(run, "sequence_id bigint, offset bigint, ids array<int>")
-    return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "offset", "ids"])
+
+    pieces = pack_documents(docs, id_col, text_col, window, with_ids=True, **how).select("sequence_id", "offset", "ids")
+    parts = pieces.mapInArrow(tidy(run), "sequence_id bigint, offset bigint, ids array<int>")
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"]))
+    n = F.size("ids")
+    return parts.groupBy("sequence_id").agg(whole.alias("ids")).withColumn("padding", F.when(n.bitwiseAND(n - 1) == 0, 0).otherwise(window - n))
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,16 @@
 Every operator that has to look at each word of each document works on whole
 Arrow batches: the column's own byte buffer is viewed as a numpy array, word
 boundaries come from a 256-entry table, and word hashes from one prefix sum.
-There is no per-word Python object anywhere on these paths.
+Those hashes only find things: what they find is compared byte by byte
+(``SpanTable``), and what stands for a word's content elsewhere is a keyed
+BLAKE2b hash of it. There is a Python object for each word a worker has not met
+before, not for each word.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +118,11 @@ def word_spans(data: np.ndarray, at: np.ndarray, kind: str) -> tuple[np.ndarray,
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hashes of byte spans, by one prefix sum over the bytes."""
+    """64-bit hashes of byte spans, by one prefix sum over the bytes.
+
+    Different spans can be made to share one (any polynomial modulo a power of
+    two has such pairs), so equal hashes never pass for equal content.
+    """
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_codes(seed)[data] * _power(n, True), out=total[1:])
@@ -122,15 +130,159 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix(span * _power(n + 1, False)[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_hashes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    """The bytes and eight more, so that a word of eight can be read at each place."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Every eight consecutive bytes of padded bytes as one number."""
+    return np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))
+
+
+def equal_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Are the spans of two padded byte arrays equal? Eight bytes at a time, what is long by whole rests."""
+    out = np.ones(len(sizes), bool)
+    words_a, words_b = _eights(a), _eights(b)
+    going, done = np.flatnonzero(sizes > 0), 0
+    while len(going) and done < 64:
+        left = np.minimum(sizes[going] - done, 8)
+        same = ((words_a[at_a[going] + done] ^ words_b[at_b[going] + done]) & _MASK[left]) == 0
+        out[going[~same]] = False
+        done += 8
+        going = going[same & (sizes[going] > done)]
+    for i in going.tolist():
+        n = int(sizes[i])
+        out[i] = np.array_equal(a[at_a[i] + done : at_a[i] + n], b[at_b[i] + done : at_b[i] + n])
+    return out
+
+
+class SpanTable:
+    """Byte spans numbered as they come: looked up by hash, told apart by content.
+
+    Open addressing; spans are looked up and added by whole arrays. A span whose
+    hash belongs to another one is never taken for it.
+    """
+
+    UNKNOWN, STRANGE = -1, -2
+
+    def __init__(self, room: int):
+        self.bits = max(10, (2 * room - 1).bit_length())
+        self.room = room
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.size = self.filled = 0
+        self.keys = np.zeros(1024, np.uint64)
+        self.begin = np.zeros(1024, np.int64)
+        self.length = np.zeros(1024, np.int32)
+        self.bytes = np.zeros(4096, np.uint8)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Number of each span of padded ``data``; ``UNKNOWN``, or ``STRANGE`` if another span has its hash."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.slots[at]
+        going = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        at = at[going]
+        while len(going):
+            at = (at + 1) & (len(self.slots) - 1)
+            here = self.slots[at]
+            found[going] = here
+            on = (here >= 0) & (self.keys[here] != keys[going])
+            going, at = going[on], at[on]
+        met = np.flatnonzero(found >= 0)
+        there, sizes = found[met], (ends - starts)[met]
+        alike = self.length[there] == sizes
+        alike[alike] = equal_spans(data, starts[met[alike]], self.bytes, self.begin[there[alike]], sizes[alike])
+        found[met[~alike]] = self.STRANGE
+        return found
+
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of new spans, whose keys are distinct and unknown."""
+        n, size = len(keys), self.size
+        lengths = ends - starts
+        total = int(lengths.sum())
+        self.keys, self.begin, self.length = (_room(x, size + n) for x in (self.keys, self.begin, self.length))
+        self.bytes = _room(self.bytes, self.filled + total + 8)
+        before = np.cumsum(lengths) - lengths
+        self.keys[size : size + n] = keys
+        self.begin[size : size + n] = self.filled + before
+        self.length[size : size + n] = lengths
+        self.bytes[self.filled : self.filled + total] = data[np.repeat(starts - before, lengths) + np.arange(total)]
+        self.size, self.filled = size + n, self.filled + total
+        out = np.arange(size, size + n, dtype=np.int32)
+        own, at = out, (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(own):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = own[free]
+            lost = self.slots[at] != own
+            own, at = own[lost], (at[lost] + 1) & (len(self.slots) - 1)
+        return out
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, at least so long; grown by doubling."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+
+def content_hash(word: bytes) -> int:
+    """64-bit keyed BLAKE2b: nobody finds two words that share it but by trying about 2**32 of them."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"spanloom words").digest(), "little")
+
+
+class WordHashes:
+    """Content hashes of words; each distinct one is hashed once while a worker remembers it."""
+
+    def __init__(self, room: int = 400_000):
+        self.table = SpanTable(room)
+        self.values = np.zeros(1024, np.uint64)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        key, wide = hash_spans(data, starts, ends), padded(data)
+        index = self.table.find(wide, starts, ends, key)
+        unknown = np.flatnonzero(index == SpanTable.UNKNOWN)
+        if len(unknown):
+            new, where = np.unique(key[unknown], return_index=True)
+            where = unknown[where]
+            if self.table.size + len(new) > self.table.room:
+                self.table.clear()
+                unknown = np.arange(len(key))
+                new, where = np.unique(key, return_index=True)
+            if len(new) > self.table.room:
+                raw = data.tobytes()
+                return np.array([content_hash(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+            number = self.table.add(wide, starts[where], ends[where], new)
+            self.values = _room(self.values, self.table.size)
+            raw = data.tobytes()
+            spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
+            self.values[number] = np.fromiter((content_hash(raw[s:e]) for s, e in spans), np.uint64, len(where))
+            index[unknown] = self.table.find(wide, starts[unknown], ends[unknown], key[unknown])
+        out = self.values[index]
+        for i in np.flatnonzero(index == SpanTable.STRANGE).tolist():
+            out[i] = content_hash(data[starts[i] : ends[i]].tobytes())
+        return out
+
+
+def shingle_hashes(data: np.ndarray, at: np.ndarray, width: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's ``width``-word shingles, and where each text's begin.
 
     A text with fewer words, but not none, has its whole sequence as its one
-    shingle. Words are lower-cased (A-Z only) and separated by ASCII space.
+    shingle. Words are lower-cased (A-Z only) and separated by ASCII space. A
+    shingle's hash is a mixed sum of its words' content hashes, each times a
+    multiplier of its place, so different shingles share one by chance alone
+    (about 1 in 2**60 for two of them).
     """
     low = ascii_lower()[data]
     starts, ends, first = word_spans(low, at, "space")
-    words = hash_spans(low, starts, ends)
+    words = hashes(low, starts, ends)
     counts = np.diff(first)
     n = len(words)
     rolled = np.zeros(max(0, n - width + 1), np.uint64)

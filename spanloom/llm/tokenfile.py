@@ -1,7 +1,8 @@
 """Token-id files: one zstandard frame per document, one shared dictionary.
 
-Documents are range-partitioned and sorted by id. Every partition is a shard, a
-run of blocks; a block is a row of the written table:
+Each text is encoded and compressed where it is read; only the frames are
+range-partitioned and sorted by id. Every partition is a shard, a run of blocks;
+a block is a row of the written table:
 
     shard, block, dict_hash (sha256 of the dictionary), base (ids in the shard
     before the block), ids (ids in the block), first_doc, last_doc,
@@ -16,7 +17,7 @@ dictionary (trained on about ``sample`` documents, chosen by a hash of the id)
 lies beside them, and a reader refuses blocks of another dictionary.
 
 Defined results: a null or empty text is the end id alone; rows with equal ids
-keep their order by text hash; null ids come first; other columns are ignored.
+stand in the order of their frames' hashes; null ids come first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, encoded, encoder_of
-from .common import Scratch, delete_path, hash_fraction, need_columns
+from .common import Scratch, delete_path, hash_fraction, need_columns, tidy
 
 BLOCK = (
     "shard int, block int, width int, dict_hash string, base bigint, ids bigint, first_doc bigint, last_doc bigint, "
@@ -53,15 +54,25 @@ def _narrow(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
-def _writer(path: str, dictionary: bytes, width: int, end_id: int, level: int, block_bytes: int, block_docs: int):
-    digest = hashlib.sha256(dictionary).hexdigest()
-
+def _framer(path: str, dictionary: bytes, width: int, end_id: int, level: int):
     def run(batches):
         import zstandard
-        from pyspark import TaskContext
 
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for some in encoded(encoder, batch, end):
+                frames = [press.compress(_narrow(ids, width)) for _, ids in some]
+                columns = [pa.array([d for d, _ in some], pa.int64()), pa.array([len(ids) // 4 for _, ids in some], pa.int32()), pa.array(frames, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "frame"])
+
+    return run
+
+
+def _writer(digest: str, width: int, block_bytes: int, block_docs: int):
+    def run(batches):
+        from pyspark import TaskContext
+
         shard, block, base = TaskContext.get().partitionId(), 0, 0
         docs, counts, frames, held = [], [], [], 0
 
@@ -73,10 +84,9 @@ def _writer(path: str, dictionary: bytes, width: int, end_id: int, level: int, b
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
-            for doc, ids in encoded(encoder, batch, end):
-                frame = press.compress(_narrow(ids, width))
+            for doc, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs.append(doc)
-                counts.append(len(ids) // 4)
+                counts.append(n)
                 frames.append(frame)
                 held += len(frame)
                 if held >= block_bytes or len(docs) >= block_docs:
@@ -111,9 +121,13 @@ def write_token_file(
     dictionary = train_dictionary([_narrow(encoder.encode(r["text"]), width) for r in chosen.collect()])
     rows = [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), width, end_id)]
     spark.createDataFrame(rows, "dict_hash string, dictionary binary, width int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
-    order = [F.col("doc"), F.xxhash64("text")]
-    blocks = source.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_writer(tokenizer, dictionary, width, end_id, level, block_bytes, block_docs), BLOCK)
+    scratch = Scratch(spark)
+    frames = scratch.put(source.mapInArrow(tidy(_framer(tokenizer, dictionary, width, end_id, level), "encoder"), "doc bigint, n int, frame binary"))
+    order = [F.col("doc"), F.xxhash64("frame")]
+    digest = hashlib.sha256(dictionary).hexdigest()
+    blocks = frames.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_writer(digest, width, block_bytes, block_docs)), BLOCK)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    scratch.drop(frames)
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
@@ -150,17 +164,18 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> Da
 
         unpress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
-            out = [[], [], [], [], []]
-            for shard, at, doc, ids in _frames(batch, dict_hash, unpress):
-                wide = ids.astype("<u4")
-                values = (doc, start[shard] + at, len(ids), zlib.crc32(wide.tobytes()), wide.astype(np.int32) if with_ids else None)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            arrays = [pa.array(c, pa.int64()) for c in out[:4]] + ([pa.array(out[4], pa.list_(pa.int32()))] if with_ids else [])
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
+            for k in range(batch.num_rows):
+                out = [[], [], [], [], []]
+                for shard, at, doc, ids in _frames(batch.slice(k, 1), dict_hash, unpress):
+                    wide = ids.astype("<u4")
+                    values = (doc, start[shard] + at, len(ids), zlib.crc32(wide.tobytes()), wide.astype(np.int32) if with_ids else None)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                arrays = [pa.array(c, pa.int64()) for c in out[:4]] + ([pa.array(out[4], pa.list_(pa.int32()))] if with_ids else [])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(tidy(run), schema)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from spanloom.llm.common import Scratch, components, hash_fraction
-from spanloom.llm.decontaminate import decontaminate
+from spanloom.llm.decontaminate import _keyed, _windows, decontaminate, drop_contaminated, window_hits
 from spanloom.llm.minhash import MinHashParams, exact_links, least_matches, minhash_dedup
 from spanloom.llm.vectordedup import embedding_dedup, principal_axes, tile_pairs
 
@@ -75,6 +75,56 @@ def test_minhash_of_repeated_and_null_ids(spark):
         minhash_dedup(df.drop("text"))
 
 
+def swapping(n):
+    """Two texts of 2**n letters a and b whose weak hashes are equal from 2**10 on: each letter of one is the other's other."""
+    t = "a"
+    for _ in range(n):
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [9, 10, 12, 13])
+def test_words_whose_weak_hashes_meet_are_told_apart(spark, n):
+    import pyarrow as pa
+
+    from spanloom.llm.textbytes import WordHashes, byte_view, content_hash, hash_spans, word_spans
+
+    a, b = swapping(n)
+    np.seterr(over="ignore")
+    data, at = byte_view(pa.array([f"{a} {b} {a} x", f"{b} {a}", b], pa.large_string()))
+    starts, ends, _ = word_spans(data, at, "space")
+    weak = hash_spans(data, starts, ends)
+    assert (weak[0] == weak[1]) == (n >= 10)
+    hashes = WordHashes(room=100)
+    for _ in range(2):
+        assert hashes(data, starts, ends).tolist() == [content_hash(w.encode()) for w in (a, b, a, "x", b, a, b)]
+    tail = " one two three four five six seven eight"
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, a + tail), (5, b + tail)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_remembered_words_are_forgotten_in_time():
+    import pyarrow as pa
+
+    from spanloom.llm.textbytes import WordHashes, byte_view, content_hash, word_spans
+
+    np.seterr(over="ignore")
+    hashes = WordHashes(room=50)
+    for k in range(6):
+        words = [f"w{i * 7 % 90}" + "x" * (i % 80) for i in range(k * 20, k * 20 + (40 if k < 5 else 80))]
+        data, at = byte_view(pa.array([" ".join(words)], pa.large_string()))
+        starts, ends, _ = word_spans(data, at, "space")
+        assert hashes(data, starts, ends).tolist() == [content_hash(w.encode()) for w in words]
+
+
+def test_a_class_of_very_many_copies_is_whole(spark):
+    rows = [(i, "the same words in every one of these rows") for i in range(3000)] + [(5000 + i, None) for i in range(300)] + [(None, "the same words in every one of these rows")] * 3
+    got = minhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and sum(r["component_id"] == 0 for r in got) == 3003
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in got if r["n_shingles"] == 0)
+
+
 def test_pruning_bounds_follow_the_posterior():
     p = MinHashParams()
     bounds = least_matches(p)
@@ -218,6 +268,34 @@ def test_decontamination_equals_brute_force(spark, limit):
         assert r["n_items"] == len(r["items"])
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_rows_that_share_an_id_have_their_own_hits(spark, limit):
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = " ".join(f"w{i}" for i in range(5000))
+    docs = [(1, f"so {leak}"), (1, "harmless words"), (1, f"{leak} and {leak}"), (None, leak), (None, "harmless too"), (None, "harmless too"), (1, f"so {leak}"), (2, f"{long} {leak} {long}"), (3, None)]
+    table = spark.createDataFrame([(d, t, "h", None, 1) for d, t in docs], "doc_id bigint, text string, hit_id string, digest binary, row int")
+    bench = spark.createDataFrame([(7, leak)], "item_id bigint, text string")
+    got = decontaminate(table, bench, broadcast_rows=limit).collect()
+    hand = contamination(docs, [(7, leak)], 10)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in got) == sorted((str(d), n, h, i) for d, n, h, i, _ in hand)
+    left = drop_contaminated(table, bench, broadcast_rows=limit)
+    assert left.columns == table.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == sorted(str((d, t)) for d, t in docs if leak not in (t or ""))
+
+
+@pytest.mark.parametrize("core", [1, 7, 64])
+def test_windows_across_blocks_are_found(spark, core):
+    rng = random.Random(core)
+    words = ["aa", "bb", "cc", "dd"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 64, 130, 200])))) for i in range(12)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(6))) for i in range(6)]
+    table = _keyed(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text")
+    windows = _windows(spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text", 6)
+    got = sorted((r["doc"], r["start"]) for r in window_hits(table, windows, Scratch(spark), 1000, 6, core).distinct().collect())
+    wanted = {tuple(t.split()) for _, t in items}
+    assert got == sorted((d, i) for d, t in docs for w in [t.split()] for i in range(len(w) - 5) if tuple(w[i : i + 6]) in wanted)
+
+
 def test_nothing_contaminates_without_items(spark):
     docs = spark.createDataFrame([(1, "a b c"), (None, "a b c")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanloom.llm.bpe import Encoder, default_tokenizer, encoder_of
-from spanloom.llm.packing import min_slack_pattern, pack_documents, pack_plan, sequence_ids
+from spanloom.llm.common import tidy
+from spanloom.llm.packing import min_slack_pattern, pack_documents, pack_plan, padding, sequence_ids
 from spanloom.llm.tokenfile import read_document, read_token_file, train_dictionary, write_token_file
 
 ODD = [
@@ -83,7 +84,62 @@ def test_plan_places_every_piece_once():
     for length, first, _ in tail:
         placed[length] += histogram[length] - first
     assert dict(placed) == histogram
-    assert sequences * 64 == sum(length * (end - first) for length, first, end, *_ in rows)
+    # Every planned sequence is full, or needs no padding as a power of two.
+    fill = defaultdict(int)
+    for length, first, end, sequence, k, _ in rows:
+        for i in range(end - first):
+            fill[sequence + i // k] += length
+    assert len(fill) == sequences and all(n == 64 or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_windows_with_little_slack_are_placed():
+    assert pack_plan({2040: 500}, 2048, 16)[:3] == ([(2040, 0, 500, 0, 1, 0)], [], 500)
+    assert pack_plan({1020: 500}, 2048, 16)[:3] == ([(1020, 0, 500, 0, 2, 0)], [], 250)
+    # A third of each window left open is too much: the next piece's head fills it.
+    rows, tail, sequences, cuts = pack_plan({1500: 1_000_000}, 2048, 16)
+    assert (rows, tail, sequences) == ([], [(1500, 0, 0)], 0)
+    last = 1_500_000_000 % 2048
+    assert len(cuts) == last.bit_count()
+    assert pack_plan({512: 1}, 2048, 16)[:3] == ([(512, 0, 1, 0, 1, 0)], [], 1)
+    for fill in range(1, 65):
+        assert padding(fill, 64) == (0 if fill in (1, 2, 4, 8, 16, 32, 64) else 64 - fill)
+
+
+def test_half_of_all_pieces_of_one_length(spark):
+    """Pieces of 47 of 64 leave too much open; all but a few are cut, and nothing is encoded twice."""
+    e = encoder_of(default_tokenizer())
+    text = "word " * 45 + "end"
+    n = len(e.encode(text)) // 4 + 1
+    docs = spark.createDataFrame([(i if i % 3 else None, text) for i in range(600)], "doc_id bigint, text string")
+    rows = pack_documents(docs, window=64, broadcast_rows=10).collect()
+    assert n == 47 and sum(r["length"] for r in rows) == 600 * n
+    ids = e.encode(text) + b"\x01\0\0\0"
+    assert all(r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])]) for r in rows)
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert all(x == 64 or x & (x - 1) == 0 for x in fill.values()) and len(fill) <= 600 * n // 64 + 6
+
+
+@pytest.mark.parametrize("n", [9, 10, 12, 13])
+def test_pieces_whose_weak_hashes_meet_are_told_apart(n):
+    a = "a"
+    for _ in range(n):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    small = Encoder(default_tokenizer(), remembered=50)
+    texts = [a, b, f"{a} {b}", f"x {b} y {a}", b, a]
+    for _ in range(2):
+        assert small.encode_many(texts) == [small.whole(t) for t in texts]
+    assert small.encode(a) != small.encode(b)
+
+
+def test_one_thing_is_held_at_a_time():
+    first = encoder_of(default_tokenizer())
+    assert encoder_of(default_tokenizer()) is first
+    assert list(tidy(lambda rows: iter(rows), "encoder")([1, 2])) == [1, 2] and encoder_of(default_tokenizer()) is first
+    list(tidy(lambda rows: iter(rows))([]))
+    assert encoder_of(default_tokenizer()) is not first
 
 
 DOCS = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, "word " * n + "end") for i, n in enumerate([1, 30, 63, 64, 200, 333, 200, 200])] + [(7, "again"), (7, "again"), (None, "no id")]
@@ -122,10 +178,13 @@ def test_packing_keeps_every_id_once(spark, docs, encoder, limit):
     assert sorted(sequences) == list(range(len(sequences)))
 
 
-def test_packed_sequences_can_be_had(spark, encoder):
-    docs = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
-    out = sequence_ids(docs, pack_documents(docs, window=8)).collect()
-    assert sum(len(r["ids"]) for r in out) == sum(len(encoder.encode(t)) // 4 + 1 for t in ("a b c", "d e"))
+def test_packed_sequences_can_be_had(spark, docs, encoder):
+    out = sequence_ids(docs, window=64, slack=5).collect()
+    wanted = [encoder.encode(t) + b"\x01\0\0\0" for _, t in DOCS]
+    assert sum(len(r["ids"]) for r in out) == sum(len(x) // 4 for x in wanted)
+    assert all(len(r["ids"]) <= 64 and r["padding"] == (0 if len(r["ids"]) & (len(r["ids"]) - 1) == 0 else 64 - len(r["ids"])) <= 5 for r in out)
+    # Every id of every document is there, as often as it is in the documents.
+    assert np.sort(np.concatenate([r["ids"] for r in out])).tolist() == np.sort(np.frombuffer(b"".join(wanted), "<u4")).tolist()
 
 
 def test_packing_of_nothing(spark, docs):
