@@ -1,11 +1,19 @@
 """URL filtering by rules and, where no rule fits, by mined token combinations.
 
 Hand-written rules (host suffix, path prefix, verdict) label the pages they fit.
-Spark's FP-growth mines the token combinations of those labelled URLs; the
-association rules that end in a verdict, and have the confidence and support
-asked for, judge the rest. They match through an inverted index: rules are
-exploded by antecedent token and joined with each distinct token set, and a rule
-applies where all its tokens were met. DataFrame and Spark ML operations only.
+Of those URLs' token combinations, the ones that go with one verdict often and
+surely enough (support, confidence) are rules for the rest. Single tokens are
+counted; combinations of tokens that are no rule alone are mined by Spark's
+FP-growth. Tokens that stand in the same labelled URLs throughout are one item
+there, so a long URL, however often it comes, is a few items and not the set of
+all its tokens' subsets; any of an item's tokens then stands for it in a rule.
+
+Rules match through an inverted index: they are exploded by token and joined
+with each distinct token set, and a rule applies where all its items were met.
+DataFrame and Spark ML operations only.
+
+Support is a share of the labelled pages and at least ``least`` of them: what
+fewer pages show is no rule, so fewer than ``least`` labelled pages teach nothing.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 no rule and no tokens, and is allowed unless ``default`` says otherwise; repeated
@@ -16,10 +24,11 @@ allow; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, need_columns
@@ -66,24 +75,52 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(labels, segments), lambda x: F.length(x) > 2)))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame | None:
-    """antecedent (tokens), verdict, confidence, support of what the labelled pages (tokens, verdict) show."""
-    if labelled.isEmpty():
-        return None
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.select("antecedent", F.col("consequent")[0].alias("to"), "confidence", "support")
-    rules = rules.where(F.col("to").startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-    return rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring("to", 9, 100).alias("verdict"), "confidence", "support")
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, least: int, scratch: Scratch) -> DataFrame:
+    """rule, n (its items), verdict, confidence, support, items (arrays of tokens that stand for each) of
+    what the labelled pages (tokens, verdict) show."""
+    baskets = scratch.put(labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("w")).withColumn("basket", F.monotonically_increasing_id()))
+    total = baskets.agg(F.sum("w")).first()[0] or 0
+    needed = max(least, math.ceil(min_support * total))
+    marks = lambda seed: F.bit_xor(F.xxhash64("basket", F.lit(seed)))
+    split = baskets.select("basket", "verdict", "w", F.explode("tokens").alias("token"))
+    by_verdict = split.groupBy("token", "verdict").agg(F.sum("w").alias("both"), marks(1).alias("m1"), marks(2).alias("m2"))
+    every = Window.partitionBy("token")
+    counted = scratch.put(by_verdict.withColumn("n", F.sum("both").over(every)).where(F.col("n") >= needed))
+    confidence, support = F.col("both") / F.col("n"), F.col("both") / F.lit(float(max(total, 1)))
+    telling = counted.where((F.col("both") >= needed) & (confidence >= min_confidence))
+    alone = telling.select(F.array(F.array("token")).alias("items"), "verdict", confidence.alias("confidence"), support.alias("support"))
+    # Tokens that are no rule alone, and which of them stand in the same baskets.
+    unsure = counted.join(telling.select("token").distinct(), "token", "left_anti").groupBy("token").agg(F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2"), F.max("n").alias("n"))
+    items = scratch.put(unsure.groupBy("m1", "m2", "n").agg(F.array_sort(F.collect_set("token")).alias("same")).select(F.col("same")[0].alias("item"), "same"))
+    of_token = items.select("item", F.explode("same").alias("token"))
+    several = split.join(of_token, "token").groupBy("basket", "verdict", "w").agg(F.collect_set("item").alias("items")).where("size(items) > 1")
+    several = scratch.put(several.select(F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))), F.concat("items", F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items")).select("items"))
+    n = several.count()
+    if n < needed:
+        return alone.withColumn("n", F.size("items")).withColumn("rule", F.xxhash64("items", "verdict"))
+    model = FPGrowth(itemsCol="items", minSupport=(needed - 0.5) / n, minConfidence=min_confidence).fit(several)
+    mined = model.associationRules.select("antecedent", F.col("consequent")[0].alias("to"), "confidence", F.round(F.col("support") * n).alias("both"))
+    mined = mined.where(F.col("to").startswith("verdict:") & (F.size("antecedent") > 1) & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
+    mined = mined.withColumn("number", F.monotonically_increasing_id())
+    mined = scratch.put(mined.select("number", F.array_sort("antecedent").alias("antecedent"), F.substring("to", 9, 100).alias("verdict"), "confidence", (F.col("both") / F.lit(float(total))).alias("support")))
+    together = (
+        mined.withColumn("item", F.explode("antecedent"))
+        .join(items, "item")
+        .groupBy("number", "verdict", "confidence", "support")
+        .agg(F.sort_array(F.collect_list("same")).alias("items"))
+        .select("items", "verdict", "confidence", "support")
+    )
+    return alone.unionByName(together).withColumn("n", F.size("items")).withColumn("rule", F.xxhash64("items", "verdict"))
 
 
 def match_rules(token_sets: DataFrame, rules: DataFrame, broadcast_rows: int) -> DataFrame:
     """tokens, verdict: the best rule of every token set that has one."""
-    numbered = rules.withColumn("rule", F.xxhash64("antecedent", "verdict"))
-    index = numbered.select("rule", "verdict", "confidence", "support", F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
+    index = rules.select("rule", "verdict", "confidence", "support", "n", F.posexplode("items").alias("item", "same"))
+    index = index.select("rule", "verdict", "confidence", "support", "n", "item", F.explode("same").alias("token"))
     if index.count() <= broadcast_rows:
         index = F.broadcast(index)
-    met = token_sets.withColumn("token", F.explode("tokens")).join(index, "token").groupBy("tokens", "rule", "verdict", "confidence", "support", "n").agg(F.count("*").alias("met"))
+    met = token_sets.withColumn("token", F.explode("tokens")).join(index, "token")
+    met = met.groupBy("tokens", "rule", "verdict", "confidence", "support", "n").agg(F.size(F.collect_set("item")).alias("met"))
     best = F.max(F.struct("confidence", "support", F.when(F.col("verdict") == "block", 1).otherwise(0).alias("b"), "verdict")).alias("best")
     return met.where("met = n").groupBy("tokens").agg(best).select("tokens", F.col("best.verdict").alias("mined"))
 
@@ -95,6 +132,7 @@ def filter_urls(
     rules: tuple[UrlRule, ...] = RULES,
     min_support: float = 0.002,
     min_confidence: float = 0.9,
+    least: int = 5,
     default: str = "allow",
     broadcast_rows: int = 50_000,
 ) -> DataFrame:
@@ -105,13 +143,10 @@ def filter_urls(
     split = pages.select(F.col(id_col).alias("page"), host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
     judged = scratch.put(split.select("page", "host", "path", rule.alias("rule"), verdict.alias("verdict"), url_tokens(F.col("host"), F.col("path")).alias("tokens")))
-    mined = mine_rules(judged.where("verdict IS NOT NULL AND size(tokens) > 0").select("tokens", "verdict"), min_support, min_confidence)
-    open_pages = judged.where("verdict IS NULL")
-    if mined is None:
-        answers = open_pages.select("tokens").where("false").withColumn("mined", F.lit(default))
-    else:
-        answers = match_rules(open_pages.select("tokens").distinct(), scratch.put(mined), broadcast_rows)
-    answers = scratch.put(answers)
+    mined = mine_rules(judged.where("verdict IS NOT NULL AND size(tokens) > 0").select("tokens", "verdict"), min_support, min_confidence, least, scratch)
+    answers = scratch.put(match_rules(judged.where("verdict IS NULL").select("tokens").distinct(), scratch.put(mined), broadcast_rows))
+    # One row a token set; sent along while few, so that pages of one token set need not meet in a task.
+    answers = F.broadcast(answers) if answers.count() <= broadcast_rows else answers
     return judged.join(answers, "tokens", "left").select(
         F.col("page").alias(id_col), "host", "path", "rule", F.coalesce("verdict", "mined", F.lit(default)).alias("verdict")
     )
