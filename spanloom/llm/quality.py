@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the average of learned vectors of its hashed words and hashed byte
-n-grams (of words with their boundaries); a softmax over two classes on top is
+A text is the average of learned vectors of its hashed words, pairs of words (all
+pairs of a word and itself are one) and character n-grams (of single words, a
+space at each end); a softmax over two classes on top is
 trained together with the vectors by stochastic gradient descent in numpy.
 
 For scoring, average and softmax commute: each bucket's vector times the
@@ -23,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, need_columns, remainder
-from .textbytes import byte_view, hash_spans, separators, slices, word_spans
+from .common import labelled_sample, need_columns, remainder, tidy
+from .textbytes import byte_view, hash_spans, mix, separators, slices, word_spans
 
 
 @dataclass(frozen=True)
 class QualityParams:
     bits: int = 15
     dim: int = 16
-    grams: tuple[int, ...] = (3, 5)
+    grams: tuple[int, ...] = (3, 5)  # each 3 or more
+    pairs: bool = True
     epochs: int = 8
     rate: float = 0.6
     bound: int = 4000
@@ -45,24 +47,46 @@ class QualityModel:
     bias: float
 
 
+def _characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, white space as a space, a space before each text and after
+    the last; and the place of each text's space before it."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    first = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[at]
+    n = len(at) - 1
+    out = np.full(len(points) + n + 1, 32, np.uint32)
+    out[np.arange(len(points)) + np.repeat(np.arange(1, n + 1), np.diff(first))] = points
+    small = out < 256
+    small[small] = separators("space")[out[small]]
+    out[small] = 32
+    return out, first + np.arange(n + 1)
+
+
 def features(data: np.ndarray, at: np.ndarray, p: QualityParams) -> list[tuple[np.ndarray, np.ndarray]]:
     """For words and each gram length: bucket of every feature, and where each text's begin."""
     starts, ends, first = word_spans(data, at, "space")
     size = 1 << p.bits
-    out = [((hash_spans(data, starts, ends) >> np.uint64(64 - p.bits)).astype(np.int32), first)]
-    codes = data.astype(np.uint32)
-    codes[separators("space")[data]] = 32
-    for number, n in enumerate(p.grams, 1):
+    words = hash_spans(data, starts, ends)
+    out = [((words >> np.uint64(64 - p.bits)).astype(np.int32), first)]
+    if p.pairs:
+        # The last word of a text begins no pair.
+        own = np.ones(len(words), bool)
+        own[first[1:][first[1:] > first[:-1]] - 1] = False
+        after = np.flatnonzero(own)
+        pair = mix(words[after] * np.uint64(0x9E3779B97F4A7C15) + words[after + 1])
+        pair[words[after] == words[after + 1]] = 0  # whatever word it is that comes twice
+        out.append(((pair >> np.uint64(64 - p.bits)).astype(np.int32) + size, np.searchsorted(after, first)))
+    codes, begin = _characters(data, at)
+    spaces = np.concatenate(([0], np.cumsum(codes == 32)))
+    for number, n in enumerate(p.grams, 1 + p.pairs):
         count = max(0, len(codes) - n + 1)
-        h = np.zeros(count, np.uint32)
+        # What lies between a gram's ends is inside one word.
+        inside = np.flatnonzero(spaces[n - 1 : n - 1 + count] == spaces[1 : 1 + count])
+        h = np.zeros(len(inside), np.uint32)
         for k in range(n):
-            h = (h ^ codes[k : k + count]) * np.uint32(0x01000193)
+            h = (h ^ codes[inside + k]) * np.uint32(0x01000193)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        bucket = (h >> np.uint32(32 - p.bits)).astype(np.int32) + number * size
-        begin = np.minimum(at, count)
-        # Grams that reach into the next text do not count: each text's end n - 1 places early.
-        out.append((bucket, begin))
+        out.append(((h >> np.uint32(32 - p.bits)).astype(np.int32) + number * size, np.searchsorted(inside, begin)))
     return out
 
 
@@ -76,7 +100,7 @@ def text_features(text: str, p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
 
 def train(rows: list[tuple[int, str, int]], p: QualityParams) -> QualityModel:
     """Stochastic gradient descent over (id, text, label) rows."""
-    size = (1 << p.bits) * (1 + len(p.grams))
+    size = (1 << p.bits) * (1 + p.pairs + len(p.grams))
     n1 = sum(y for _, _, y in rows)
     if not rows or n1 in (0, len(rows)):
         share = (n1 + 1) / (len(rows) + 2)
@@ -115,11 +139,10 @@ def score_column(column: pa.Array, model: QualityModel) -> np.ndarray:
     for first, last in slices(column):
         data, at = byte_view(column[first:last])
         total, count = np.zeros(last - first), np.zeros(last - first)
-        for k, (bucket, begin) in enumerate(features(data, at, p)):
+        for bucket, begin in features(data, at, p):
             sums = np.concatenate(([0.0], np.cumsum(model.table[bucket], dtype=np.float64)))
-            end = begin[1:] if k == 0 else np.maximum(begin[:-1], np.minimum(at[1:] - p.grams[k - 1] + 1, len(bucket)))
-            total += sums[end] - sums[begin[:-1]]
-            count += end - begin[:-1]
+            total += sums[begin[1:]] - sums[begin[:-1]]
+            count += np.diff(begin)
         logit = total / np.maximum(count, 1) + model.bias
         scores.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
     return np.concatenate(scores) if scores else np.zeros(0)
@@ -141,7 +164,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_column(batch.column(1), model), pa.float64())], names=["id", "quality_score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id bigint, quality_score double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), "id bigint, quality_score double").withColumnRenamed("id", id_col)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
