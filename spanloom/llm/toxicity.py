@@ -12,15 +12,16 @@ A hit counts by how close it is, and by its context window: between quotation
 marks or near a verb of saying it is quotation (``QUOTED``), beside a
 second-person word it is abuse (``AIMED``). A misspelling that clean training
 documents use themselves is no hit; for beginnings, that is any word with the
-same misspelled beginning. Beginnings of five or more letters allow an
-edit as words do. Where letters and digits stand together, the whole run is a
+same misspelled beginning. Terms of five or more letters allow an edit, those of
+ten or more two. Where letters and digits stand together, the whole run is a
 word besides its letters, so a digit in place of a letter is an edit. A logistic regression over the summed
 weights of exact, misspelled and beginning hits gives the score.
 
 Defined results: a null or empty text has no hits and the score of no hits; a
 row without label is scored like any other; without toxic labels the lexicon is
 empty and every score is the share of toxic labels (0 without labels); repeated
-rows are scored each; extra columns are ignored.
+rows are scored each; extra columns are kept, but an earlier ``toxicity_score`` is
+replaced.
 """
 
 from __future__ import annotations
@@ -36,14 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from .common import fit_logistic, labelled_sample, need_columns, remainder
+from .common import fit_logistic, labelled_sample, map_whole, need_columns, remainder, tidy
 from .textbytes import slices
 
 QUOTED, AIMED, WINDOW = 0.35, 1.25, 6
 #: What a misspelled hit is worth at least, of an exact one.
 MISSPELLED = 0.8
+# Verbs and nouns of saying, and second-person words, of four languages.
 SAYING = frozenset(
     "said says wrote writes called quote quoted quotes term word slur sagte schrieb nannte zitat wort dit écrit appelé mot citation dijo escribió llamó palabra cita".split()
 )
@@ -206,17 +208,21 @@ def _runs_of(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def within_one(a: str, b: str) -> bool:
-    """At most one letter put in, left out or replaced."""
-    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[at + 1 :] == b[at + 1 :] or a[at + 1 :] == b[at:] or a[at:] == b[at + 1 :]
+def distance(a: str, b: str) -> int:
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
 
 
-def edited_form(word: str, term: str, begins: bool) -> str:
+def edited_form(word: str, term: str, begins: bool, edits: int) -> str:
     """What a misspelled hit is known by: the word, or the shortest form of the beginning in it."""
     if not begins:
         return word
-    return next((word[:k] for k in range(len(term) - 1, len(term) + 1) if within_one(word[:k], term)), word[: len(term) + 1]) + "*"
+    return next((word[:k] for k in range(len(term) - edits, len(term) + edits) if distance(word[:k], term) <= edits), word[: len(term) + edits]) + "*"
 
 
 class Scanner:
@@ -265,7 +271,7 @@ class Scanner:
             lo, hi, t = int(low[k]), int(high[k]), int(owner[k])
             text, base = texts[t], int(bounds[t])
             s, e = int(place[k]) - base, int(until[k]) - base
-            if edits[k] and edited_form(text[s:e].lower(), *self.model.terms[int(terms[k])][:2]) in self.model.innocent:
+            if edits[k] and edited_form(text[s:e].lower(), *self.model.terms[int(terms[k])]) in self.model.innocent:
                 continue
             first, last = max(0, lo - WINDOW), min(len(starts) - 1, hi + WINDOW)
             near = [text[int(starts[i]) - base : int(ends[i]) - base].lower() for i in range(first, last + 1) if not lo <= i <= hi and starts[i] >= base and ends[i] < bounds[t + 1]]
@@ -287,7 +293,7 @@ class Scanner:
                 begins = self.model.terms[term][1]
                 out[first + t, 2 if begins else 1 if edits else 0] += weight * (MISSPELLED if begins and edits else 1)
             first += len(run)
-        return np.log1p(np.minimum(out, 20))
+        return np.log1p(out)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         w = np.array(self.model.weights)
@@ -337,7 +343,7 @@ def _runs(texts: list[str], most: int = 1 << 20):
         yield run
 
 
-def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3, edit_from: int = 5) -> ToxicityModel:
+def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3, edit_from: tuple[int, ...] = (5, 10)) -> ToxicityModel:
     """Lexicon, innocent words and weights from (id, text, toxic) rows."""
     toxic_n = sum(y for _, _, y in rows)
     if not rows or not toxic_n or toxic_n == len(rows):
@@ -370,7 +376,7 @@ def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3
         if b not in beginnings:
             beginnings.append(b)
     # A word whose beginning allows edits is found by it, misspelled too; one with a shorter beginning stays for its own edits.
-    edits = lambda term: 1 if len(term) >= edit_from else 0
+    edits = lambda term: sum(len(term) >= n for n in edit_from)
     covering = tuple(b for b in beginnings if edits(b)) or "\x00"
     words = [w for w, t in seen[1].items() if len(w) > 2 and telling(len(t), len(seen[0].get(w, ())), chance) and not w.startswith(covering)]
     terms = [(b, True, edits(b)) for b in sorted(beginnings)] + [(w, False, edits(w)) for w in sorted(words)]
@@ -378,9 +384,9 @@ def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3
     if terms:
         scanner = Scanner(ToxicityModel(tuple(terms)))
         for texts in _runs([t for _, t, y in rows if not y]):
-            for t, s, e, term, edits, _ in scanner.scan(texts):
-                if edits:
-                    innocent.add(edited_form(texts[t][s:e].lower(), *terms[term][:2]))
+            for t, s, e, term, spent, _ in scanner.scan(texts):
+                if spent:
+                    innocent.add(edited_form(texts[t][s:e].lower(), *terms[term]))
     model = ToxicityModel(tuple(terms), frozenset(innocent))
     x = Scanner(model).features([t for _, t, _ in rows])
     weights = fit_logistic(x, [y for _, _, y in rows])
@@ -400,18 +406,32 @@ def _texts(column: pa.Array):
         yield first, last, [t or "" for t in column[first:last].to_pylist()]
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then toxicity_score."""
+def _scored(docs: DataFrame, model: ToxicityModel, text_col: str, finish, *more: StructField) -> DataFrame:
+    """``finish(part of a batch, its scores)`` of all of ``docs``."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         scanner = Scanner(model)
         for batch in batches:
-            scores = [scanner.scores(texts) for _, _, texts in _texts(batch.column(at))]
-            column = pa.array(np.concatenate(scores) if scores else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "toxicity_score"])
+            for first, last, texts in _texts(batch.column(at)):
+                yield finish(batch.slice(first, last - first), scanner.scores(texts))
+
+    return map_whole(docs, run, more)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, then toxicity_score."""
+    docs = docs.drop("toxicity_score")
+
+    def finish(part: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "toxicity_score"])
+
+    return _scored(docs, model, text_col, finish, StructField("toxicity_score", DoubleType()))
+
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity_score", DoubleType())]))
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``."""
+    return _scored(docs, model, text_col, lambda part, scores: part.filter(pa.array(scores < threshold)))
 
 
 def toxic_spans(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,7 +448,7 @@ def toxic_spans(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "start", "end", "term", "edits", "weight"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
-    return source.mapInArrow(run, "id bigint, start int, end int, term string, edits int, weight double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), "id bigint, start int, end int, term string, edits int, weight double").withColumnRenamed("id", id_col)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
