@@ -6,15 +6,17 @@ coordinates first: for unit vectors a, b split after k coordinates,
 
     cos(a, b) <= a[:k].b[:k] + |a[k:]| |b[k:]|
 
-and the right side is one matrix product over k + 1 coordinates, the last being
-the suffix norm. Only pairs whose bound reaches the threshold go to the next,
-longer prefix; those left after the last are decided by the cosine of the
-original vectors in double precision. The bound is exact for any orthogonal
-axes, so these may be fitted to a bounded sample (``axes_sample``).
+The first product is one over a tile; to the sums of pairs whose bound reaches
+the threshold the next coordinates' products are added, and so on; those left at
+the last are decided by the cosine of the original vectors in double precision.
+Pairs leave a tile in runs of at most ``PAIRS``. The bound is exact for any
+orthogonal axes, so these may be fitted to a bounded sample (``axes_sample``).
 
 Equal vectors form one class with a weight, so copies never meet each other.
-Blocks are ranges of the first principal coordinate; two blocks are dealt to a
-task only if their ranges are near enough (|a1 - b1| <= sqrt(2 - 2 threshold)).
+Blocks are ranges of the first principal coordinate; two blocks meet only if their
+ranges are near enough (|a1 - b1| <= sqrt(2 - 2 threshold)), and a task holds two
+blocks at a time. Vectors that point everywhere alike are within reach of every
+block, so each is copied once for every ``BLOCK_ROWS`` vectors there are.
 A task passes on, for each vector, the summed weight of its links, and the
 spanning forest of the links: no pair list leaves it.
 
@@ -32,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, hash_fraction, need_columns
-from .minhash import EDGES, _edge_batch, forest, group_starts
+from .common import Scratch, components, hash_fraction, need_columns, tidy
+from .minhash import EDGES, _edge_batch, forest, whole_groups
 
-BLOCK_ROWS, TILE = 6144, 1024
+BLOCK_ROWS, TILE, PAIRS = 16384, 1024, 1 << 16
+#: Small tables are cut into up to SPREAD blocks of LEAST_ROWS or more, so that all cores have work.
+SPREAD, LEAST_ROWS = 8, 2048
 
 
 def principal_axes(sample: np.ndarray) -> np.ndarray:
@@ -55,62 +59,68 @@ def prefixes(d: int) -> list[int]:
 def tile_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool):
     """Index pairs of unit rows (rotated) whose bound reaches the threshold after every prefix."""
     margin = threshold - 1e-4  # single-precision products are off by far less
-    steps = prefixes(a.shape[1])
-    left = {k: np.column_stack([a[:, :k], np.linalg.norm(a[:, k:], axis=1)]).astype(np.float32) for k in steps}
-    right = {k: np.column_stack([b[:, :k], np.linalg.norm(b[:, k:], axis=1)]).astype(np.float32) for k in steps}
-    first = steps[0] if steps else None
+    d = a.shape[1]
+    steps = prefixes(d) or [d]
+    left, right = a.astype(np.float32), b.astype(np.float32)
+    norms = lambda x: [np.sqrt(np.einsum("ij,ij->i", x[:, k:], x[:, k:])).astype(np.float32) for k in steps]
+    rest_a, rest_b = norms(a), norms(b)
+    first = steps[0]
     for s in range(0, len(a), TILE):
         for t in range(s if same else 0, len(b), TILE):
-            if first is None:
-                bound = a[s : s + TILE] @ b[t : t + TILE].T
-            else:
-                bound = left[first][s : s + TILE] @ right[first][t : t + TILE].T
-            i, j = np.nonzero(bound >= margin)
-            i, j = i + s, j + t
-            if same:
-                i, j = i[i < j], j[i < j]
-            for k in steps[1:]:
-                if not len(i):
-                    break
-                keep = np.einsum("ij,ij->i", left[k][i], right[k][j]) >= margin
-                i, j = i[keep], j[keep]
-            if len(i):
-                yield i, j
+            product = left[s : s + TILE, :first] @ right[t : t + TILE, :first].T
+            near = product + np.multiply.outer(rest_a[0][s : s + TILE], rest_b[0][t : t + TILE]) >= margin
+            if same and s == t:
+                near &= np.tri(*near.shape, -1, dtype=bool).T
+            found = np.flatnonzero(near)
+            for p in range(0, len(found), PAIRS):
+                at = found[p : p + PAIRS]
+                i, j = np.divmod(at, near.shape[1])
+                total = product[i, j]
+                i, j = i + s, j + t
+                for n, (begin, end) in enumerate(zip(steps, steps[1:], strict=False), 1):
+                    total = total + np.einsum("ij,ij->i", left[i, begin:end], right[j, begin:end])
+                    keep = total + rest_a[n][i] * rest_b[n][j] >= margin
+                    i, j, total = i[keep], j[keep], total[keep]
+                    if not len(i):
+                        break
+                if len(i):
+                    yield i, j
 
 
 def _linker(threshold: float, axes: np.ndarray):
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        for table, starts in whole_groups(batches, 2):
+            for s, e in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+                yield from block_links(table.slice(s, e - s).combine_chunks())
+
+    def block_links(g: pa.Table):
+        ids, weight, side = g.column("vec").to_numpy(), g.column("weight").to_numpy(), g.column("side").to_numpy()
+        flat = g.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64)
+        x = flat.reshape(len(ids), -1)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        z = x / norm[:, None]
+        if z.shape[1] == axes.shape[0]:
+            z = z @ axes
+        same = g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
+        split = 0 if same else int((side == 0).sum())
+        if not same and split in (0, len(ids)):
             return
-        table = pa.Table.from_batches(held).combine_chunks()
-        starts = group_starts(table, 2)
-        for s, e in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
-            g = table.slice(s, e - s)
-            ids, weight, side = g.column("vec").to_numpy(), g.column("weight").to_numpy(), g.column("side").to_numpy()
-            flat = g.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64)
-            x = flat.reshape(len(ids), -1)
-            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-            z = x / norm[:, None]
-            if z.shape[1] == axes.shape[0]:
-                z = z @ axes
-            same = g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
-            split = 0 if same else int((side == 0).sum())
-            if not same and split in (0, len(ids)):
+        la, lb = (z, z) if same else (z[:split], z[split:])
+        links = np.zeros(len(ids), np.int64)
+        label = np.arange(len(ids))
+        for i, j in tile_pairs(la, lb, threshold, same):
+            j = j + split
+            ok = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= threshold
+            i, j = i[ok], j[ok]
+            if not len(i):
                 continue
-            la, lb = (z, z) if same else (z[:split], z[split:])
-            links = np.zeros(len(ids), np.int64)
-            label = np.arange(len(ids))
-            for i, j in tile_pairs(la, lb, threshold, same):
-                j = j + split
-                ok = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= threshold
-                i, j = i[ok], j[ok]
-                links += np.bincount(i, weight[j], len(ids)).astype(np.int64) + np.bincount(j, weight[i], len(ids)).astype(np.int64)
-                new = forest(label[i], label[j], len(ids))
-                label = new[label]
-            hit = np.flatnonzero(links)
-            root = _edge_batch(ids[hit], ids[label[hit]])
-            yield pa.RecordBatch.from_arrays([*root.columns, pa.array(links[hit])], names=["a", "b", "links"])
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            new = forest(label[i], label[j], len(ids))
+            label = new[label]
+        hit = np.flatnonzero(links)
+        root = _edge_batch(ids[hit], ids[label[hit]])
+        yield pa.RecordBatch.from_arrays([*root.columns, pa.array(links[hit])], names=["a", "b", "links"])
 
     return run
 
@@ -138,7 +148,7 @@ def embedding_dedup(
     unit = np.array([v for v in sample if len(v) == width]).reshape(-1, max(1, width))
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     axes = principal_axes(unit)
-    blocks = max(1, -(-n // BLOCK_ROWS))
+    blocks = max(1, -(-n // BLOCK_ROWS), min(SPREAD, -(-n // LEAST_ROWS)))
     lead = np.sort(unit @ axes[:, 0]) if len(unit) else np.zeros(1)
     edges = np.quantile(lead, np.arange(1, blocks) / blocks).tolist()
     axis = F.array(*[F.lit(float(v)) for v in axes[:, 0]])
@@ -156,13 +166,15 @@ def embedding_dedup(
     )
     if width and blocks == 1:
         near = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))
-    dealt = placed.select("rep", "weight", "embedding", F.size("embedding").alias("d"), F.explode(near).alias("p"))
+    narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # as they came, half as wide
+    carried = F.col("embedding").cast("array<float>") if narrow else F.col("embedding")
+    dealt = placed.select("rep", "weight", carried.alias("embedding"), F.size("embedding").alias("d"), F.explode(near).alias("p"))
     dealt = dealt.select(
         (F.col("d") * F.lit(1 << 20) + F.col("p.bi")).alias("bi"), (F.col("d") * F.lit(1 << 20) + F.col("p.bj")).alias("bj"), F.col("p.side").alias("side"), F.col("rep").alias("vec"), "weight", "embedding"
     )
     tasks = max(1, blocks * (blocks + 1) // 2)
     found = scratch.put(
-        dealt.repartition(min(tasks, 20_000), "bi", "bj").sortWithinPartitions("bi", "bj", "side").mapInArrow(_linker(threshold, axes), EDGES + ", links bigint")
+        dealt.repartition(min(tasks, 20_000), "bi", "bj").sortWithinPartitions("bi", "bj", "side").mapInArrow(tidy(_linker(threshold, axes)), EDGES + ", links bigint")
     )
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     same_id = good.groupBy("vec").agg(F.count("*").alias("n")).where("n > 1").select("vec")
