@@ -7,9 +7,11 @@
     packing             the rest as pieces of token sequences
 
 Every stage but the last returns the columns of documents. A stage decides by
-row: ids may be null or repeat. Of a group of near copies the row of the
-smallest id stays, one without an id only if none has one; rows that share id
-and text are one document. Rows without a word are copies of nothing.
+row: ids may be null or repeat, and no hash stands for a row. Of a group of near
+copies the row of the smallest id stays, one without an id only if none has one;
+of rows that share that id too, the one whose text has the least hash. Rows
+without a word are copies of nothing. Documents may have more columns of any
+name, which all stages but the last keep.
 """
 
 from __future__ import annotations
@@ -17,53 +19,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Scratch
-from spanloom.llm.decontaminate import decontaminate
+from spanloom.llm import toxicity
+from spanloom.llm.common import Scratch, whole_row
+from spanloom.llm.decontaminate import drop_contaminated as without_windows
 from spanloom.llm.minhash import MinHashParams, minhash_dedup
 from spanloom.llm.packing import pack_documents
-from spanloom.llm.secrets import find_candidates, learn_formats, redact
-from spanloom.llm.toxicity import fit_toxicity, score_toxicity
-
+from spanloom.llm.secrets import learn_formats, redact
 
 #: op2's contract asks for 85; a corpus loses near copies from 80 on. Of the pairs at 0.80 the bands miss 3e-6.
 NEAR = MinHashParams(percent=80, bands=32, rows=5)
+#: Numbers of rows that go, 8 bytes each, are sent to all executors up to here and joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where("toxicity_score < 0.5").select(docs.columns)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row_key``, a 64-bit hash of id and text: rows share it if they are the same document."""
-    columns = [c for name in ("doc_id", "text") for c in (F.col(name).isNull(), F.col(name))]
-    return docs.withColumn("row_key", F.xxhash64(*columns))
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    # Rows without a word are copies of nothing, and all stay.
-    has_word = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    worded = rows.where(has_word)
-    found = minhash_dedup(worded, "row_key", params=NEAR).groupBy("row_key").agg(F.min("component_id").alias("component_id"))
-    ids = worded.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-    kept = found.join(ids, "row_key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row_key").alias("row_key"))
-    one_each = worded.dropDuplicates(["row_key"]).join(kept, "row_key", "left_semi")
-    return one_each.select(docs.columns).unionByName(docs.where(~has_word))
+    scratch = Scratch(spark)
+    # Numbered as written, so that a row keeps its number however often it is read.
+    rows = scratch.put(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("row_key")))
+    found = minhash_dedup(rows.select("row_key", F.col("row.text").alias("text")), "row_key", params=NEAR).where("n_shingles > 0")
+    named = rows.select("row_key", F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("h"))
+    found = scratch.put(found.select("row_key", "component_id").join(named, "row_key"))
+    first = found.groupBy("component_id").agg(F.min(F.struct("no_id", "id", "h", "row_key")).alias("first"))
+    gone = scratch.put(found.select("row_key").join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_anti"))
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(few, "row_key", "left_anti").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    hit = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key").where("contaminated").select("row_key")
-    hit = Scratch(spark).put(hit.distinct())
-    return rows.join(hit, "row_key", "left_anti").select(docs.columns)
+    return without_windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = Scratch(spark).put(find_candidates(docs))
-    out = redact(docs, learn_formats(found))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    out = redact(docs, learn_formats(docs))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

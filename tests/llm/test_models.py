@@ -12,7 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import langid, quality, secrets, toxicity, urlfilter
+from spanloom.llm.common import labelled_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,29 +52,75 @@ def test_base_spans():
 def test_merged_automata_generalise():
     rng = random.Random(1)
     keys = ["sk" + "".join(rng.choice("0123456789") for _ in range(rng.randint(14, 20))) for _ in range(200)]
-    a = secrets.infer([secrets.classes(k) for k in keys])
-    assert len(a.stop) < 40
-    assert a.bits("sk" + "7" * 17) < a.bits("perfectly-ordinary-x1") - 20
-    for moves, stop in zip(a.moves, a.stop, strict=True):
-        assert math.isclose(stop + sum(p for _, p in moves.values()), 1)
+    a = secrets.infer(keys)
+    # The fixed beginning has states of its own; the digits after it have few.
+    assert 3 <= len(a) < 20 and a.moves[0].keys() == {"s"}
+    assert a.bits("sk" + "7" * 17) < a.bits("perfectly-ordinary-x1") - 40
+    assert a.bits("sk" + "7" * 17) < a.bits("7" * 19)
+    for moves, (_, _, escape), stop in zip(a.moves, a.others, a.stop, strict=True):
+        # What is known, and what is left for each of the rest, is no more than one.
+        assert sum(2**-b for _, b in moves.values()) + 2**-stop + 2**-escape <= 1 + 1e-9
+
+
+def test_automata_of_few_or_no_strings():
+    assert len(secrets.infer([])) == 1 and secrets.infer([]).bits("abc") > 0
+    assert secrets.infer(["abc"]).bits("abc") < secrets.infer(["abc"]).bits("xyz")
+    assert secrets.model_of([[], [], []], ["ordinary-words"]).likely("f3a9c1d87b") == -math.inf
+    # Three known credentials teach, as any number does.
+    few = secrets.model_of([["9f8a7b6c5d4e3f2a1b0c", "1a2b3c4d5e6f7a8b9c0d", "0f1e2d3c4b5a69788796"], [], []], ["unremarkably", "straightforward", "notwithstanding", "correspondence"])
+    assert few.likely("7c6b5a4f3e2d1c0b9a8f") > 0 > few.likely("understandably")
+
+
+def test_covered_and_touched_stretches():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = sorted((s, 0, s + rng.randint(1, 6)) for s in (rng.randrange(40) for _ in range(rng.randint(0, 6))))
+        taken = {i for s, _, e in spans for i in range(s, e)}
+        s = rng.randrange(40)
+        e = s + rng.randint(1, 8)
+        stretches = secrets._joined(spans)
+        assert secrets.covered(*stretches, s, e) == (set(range(s, e)) <= taken)
+        assert secrets.touched(*stretches, s, e) == bool(set(range(s, e)) & taken)
+
+
+def by_hand(text, model):
+    """Base spans, and every candidate the model tells that they leave open somewhere."""
+    out = spans_by_hand(text)
+    taken = {i for s, _, e in out for i in range(s, e)}
+    more = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", text) if model.likely(m[0]) >= model.margin and not set(range(*m.span())) <= taken]
+    return sorted(out + more)
 
 
 def test_scans_keep_base_spans_and_redact(spark):
     rng = random.Random(3)
     key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32))
+    letters = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ") for _ in range(32))
     planted = [key() for _ in range(40)]
-    rows = [(i, f"prose before token={k} and after") for i, k in enumerate(planted)] + [(100 + i, f"bare {key()} here and plain-words-number{i}-again") for i in range(20)] + [(900 + i, t) for i, t in enumerate(TEXTS)]
-    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, spans string")
-    texts = dict(rows)
-    found = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["spans"]] for r in secrets.scan_secrets(docs).collect()}
-    assert found.keys() == texts.keys()
-    for i, spans in found.items():
-        assert [x for x in spans if x[1] < 3] == spans_by_hand(texts[i] or "")
-    caught = [texts[i][s:e] for i in range(100, 120) for s, k, e in found[i] if k == 3]
-    assert len(caught) >= 18 and not any("plain" in c for c in caught)
-    model = secrets.learn_formats(secrets.find_candidates(docs))
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model).collect()}
-    assert clean[0] == "prose before [SECRET] and after" and clean[908] is None and clean[909] == ""
+    plain = "understanding notwithstanding straightforward and plain-words-number"
+    parts = ["under", "with", "stand", "forward", "respon", "sibil", "ity", "ation", "ment", "ing", "over", "inter", "nation", "al"]
+    prose = [" ".join("".join(rng.choice(parts) for _ in range(4)) for _ in range(8)) for _ in range(260)]
+    rows = [(i, f"prose before token={k} and after") for i, k in enumerate(planted)] + [(100 + i, f"bare {key()} here and {plain}{i}-again") for i in range(20)] + [(200 + i, f"bare {letters()} here") for i in range(20)] + [(900 + i, t) for i, t in enumerate(TEXTS)]
+    rows += [(300 + i, t) for i, t in enumerate(prose)]
+    rows += [(950, None), (950, "token=repeated77 id"), (None, "token=nullid77"), (951, " ".join(f"w{i} token=abc{i % 20:06d}" for i in range(30_000)))]
+    docs = spark.createDataFrame([(i, t, "s", "k", 1) for i, t in rows], "doc_id bigint, text string, spans string, kind string, id int")
+    model = secrets.learn_formats(docs)
+    found = secrets.scan_secrets(docs, model=model).collect()
+    got = sorted((str(r["doc_id"]), [(x["start"], x["kind"], x["end"]) for x in r["spans"]]) for r in found)
+    assert got == sorted((str(i), by_hand(t or "", model)) for i, t in rows)
+    texts, spans = dict(rows), {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["spans"]] for r in found}
+    caught = [texts[i][s:e] for i in [*range(100, 120), *range(200, 220)] for s, k, e in spans[i] if k == 3]
+    assert len(caught) >= 36 and not any("and" in c for c in caught)
+    assert not any(k == 3 for i in range(300, 560) for _, k, _ in spans[i])
+    assert len(model.credentials[0]) > 1 and len(model.ordinary) > 1
+    clean = secrets.redact(docs, model)
+    assert clean.columns == docs.columns
+    clean = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert clean[0] == "prose before [SECRET] and after" and clean[908] is None and clean[909] == "" and clean[None] == "[SECRET]"
+    for i in (*range(100, 105), 951):
+        want = texts[i]
+        for s, _, e in reversed(spans[i]):
+            want = want[:s] + "[SECRET]" + want[e:]
+        assert clean[i] == want
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
@@ -123,24 +172,21 @@ def test_quality_on_held_out_documents(spark):
 
 # --- languages -------------------------------------------------------------
 
-def code_length(text, texts, order=3):
+def code_length(text, texts, order):
     """The escape scheme from its definition, on dictionaries."""
-    table = langid.byte_classes()
-    used = set(b"".join(t.encode() for t in texts["all"]))
-    symbol = lambda b: int(table[b]) if b < 0x80 or b in used else 0
     seen = defaultdict(Counter)
-    for t in texts["own"]:
-        s = [0] * order + [symbol(b) for b in t.encode()]
+    for t in texts:
+        s = bytes(order) + t.encode()
         for i in range(order, len(s)):
             for k in range(order + 1):
-                seen[tuple(s[i - k : i])][s[i]] += 1
-    s, bits = [0] * order + [symbol(b) for b in text.encode()], 0.0
+                seen[s[i - k : i]][s[i]] += 1
+    s, bits = bytes(order) + text.encode(), 0.0
     for i in range(order, len(s)):
         for k in range(order, -2, -1):
             if k < 0:
                 bits += 8
                 break
-            c = seen.get(tuple(s[i - k : i]))
+            c = seen.get(s[i - k : i])
             if not c:
                 continue
             n, q = sum(c.values()), len(c)
@@ -151,15 +197,33 @@ def code_length(text, texts, order=3):
     return bits
 
 
-def test_code_lengths_follow_the_definition():
-    samples = {"de": ["Der Fluß ist breit.", "wir gehen über die Brücke"], "fr": ["l'été est là", "nous allons"], "xx": ["zzz"]}
-    model = langid.train(samples)
-    texts = ["über die Flüsse", "été", "", "q", "日本", "A1!b"]
+@pytest.mark.parametrize("order", [0, 1, 4, 7])
+def test_code_lengths_follow_the_definition(order):
+    samples = {"de": ["Der Fluß ist breit.", "wir gehen über die Brücke"], "fr": ["l'été est là", "nous allons", "l'été est là"], "xx": ["zzz"], "yy": [""]}
+    model = langid.train(samples, order)
+    texts = ["über die Flüsse", "été", "", "q", "日本", "A1!b", "zzzz", "a\x00b", "l'été est là"]
     got = langid.Scorer(model).bits(pa.array(texts, pa.large_string()))
-    every = [t for v in samples.values() for t in v]
     for t, row in zip(texts, got, strict=True):
         for k, lang in enumerate(model.languages):
-            assert row[k] == pytest.approx(code_length(t, {"own": samples[lang], "all": every}), abs=1e-3), (t, lang)
+            assert row[k] == pytest.approx(code_length(t, samples[lang], order), abs=1e-3), (t, lang)
+
+
+def test_trees_of_many_scripts_stay_small():
+    """What is held grows with what was seen, not with a power of the alphabet."""
+    samples = {f"l{k}": ["".join(chr(0x400 + 64 * k + i) for i in range(64)) + " "] for k in range(30)}
+    model = langid.train(samples)
+    assert sum(len(g) for g in model.grams) < 5 * sum(len(t[0].encode()) for t in samples.values())
+    got = langid.Scorer(model).bits(pa.array([t[0][5:25] for t in samples.values()], pa.large_string()))
+    assert [model.languages[i] for i in got.argmin(1)] == list(samples)
+
+
+def test_lookups_find_every_key_and_no_other():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000, np.uint64))
+    table = langid.KeyTable(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    other = np.setdiff1d(rng.integers(0, 1 << 40, 5000, np.uint64), keys)
+    assert (table.find(other) == -1).all() and len(langid.KeyTable(keys[:0]).find(keys)) == len(keys)
 
 
 def test_languages_on_held_out_documents(spark):
@@ -176,6 +240,55 @@ def test_languages_of_odd_texts(spark):
     assert [x == ("und", 0.0) for x in by] == [False, False, True, True, True, False, False]
     none = docs.withColumn("lang", docs["lang"].substr(0, 0)).where("lang = 'q'")
     assert {r["lang_pred"] for r in langid.predict_language(docs, langid.fit_languages(none)).collect()} == {"und"}
+    assert langid.predict_language(docs.limit(0), langid.fit_languages(docs.limit(0))).count() == 0
+
+
+# --- what the three that learn have in common ------------------------------
+
+#: Names that the operators use inside, as columns of the tables.
+CLASHING = "i bigint, y int, t string, h bigint, l string, id bigint, label int, score double, toxicity_score string, quality_score int, lang_pred string, held_out boolean, row struct<a:int>, word string"
+
+
+def name(i):
+    """A word for each number."""
+    return "".join(chr(97 + int(c)) for c in str(1000 + i)) + "wort"
+
+
+def odd_table(spark):
+    """Nulls in each column, empty and very long texts, repeats, and clashing columns."""
+    base = [(i, f"plain words number {i} and more", "en") for i in range(40)] + [(100 + i, f"schlechte {name(i)} grobnak {name(i + 7)} {i} grobnak", "de") for i in range(40)]
+    base += [(500, None, "en"), (501, "", "de"), (None, "no id here", "en"), (None, "no id here", None), (502, "plain words number and more " * 40_000, "en"), (503, "x", None)]
+    base += [(1, "plain words of a repeated id", "en")] * 3
+    rows = [(i, t, lang, *[None] * CLASHING.count(", ")) + (None,) for i, t, lang in base]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, " + CLASHING).repartition(3)
+    labels = [(i, 1, 0, None, None) for i in range(40)] + [(100 + i, 0, 1, "x", 1) for i in range(40)] + [(None, 1, 1, None, None), (7, None, None, None, None), (1, 1, 0, None, None), (999, 1, 1, None, None)]
+    return docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int, t string, y int"), base
+
+
+def test_odd_tables_are_scored_whole(spark):
+    docs, labels, base = odd_table(spark)
+    quality_model, toxic_model, language_model = quality.fit_quality(docs, labels), toxicity.fit_toxicity(docs, labels), langid.fit_languages(docs)
+    ids = sorted(str(i) for i, _, _ in base)
+    for out, column in [(quality.score_quality(docs, quality_model), "quality_score"), (toxicity.score_toxicity(docs, toxic_model), "toxicity_score"), (langid.predict_language(docs, language_model), "score")]:
+        rows = out.select("doc_id", F.col(column).alias("v")).collect()
+        assert sorted(str(r["doc_id"]) for r in rows) == ids and all(0 <= r["v"] <= 1 for r in rows)
+        assert len({r["v"] for r in rows if r["doc_id"] == 1 and column != "toxicity_score"}) <= 2
+    kept = toxicity.drop_toxic(docs, toxic_model)
+    assert kept.schema == docs.schema and sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(str(i) for i, t, _ in base if "grobnak" not in (t or ""))
+    quality_of = {r["doc_id"]: r["quality_score"] for r in quality.score_quality(docs, quality_model).collect()}
+    assert quality_of[502] > 0.5 > quality_of[139]
+    empty, none = docs.limit(0), labels.limit(0)
+    assert quality.score_quality(empty, quality_model).count() == toxicity.score_toxicity(empty, toxic_model).count() == 0
+    assert {r["quality_score"] for r in quality.score_quality(docs, quality.fit_quality(empty, labels)).collect()} == {0.5}
+    assert {r["quality_score"] for r in quality.score_quality(docs, quality.fit_quality(docs, none)).collect()} == {0.5}
+
+
+def test_a_repeated_id_is_one_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "two"), (2, "two")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id bigint, y int")
+    sample = labelled_sample(docs, labels, "y", 10, 1000, 999)
+    assert [(i, y) for i, _, y in sample] == [(1, 1), (2, 0)]
+    assert sample == labelled_sample(docs.repartition(7), labels, "y", 10, 1000, 999)
 
 
 # --- toxicity --------------------------------------------------------------
@@ -237,7 +350,7 @@ def test_learned_beginnings_hit_misspelled():
     word = lambda: "".join(rng.choice("aeioustnrl") for _ in range(6))
     rows = [(i, " ".join([word(), word(), "grobnak" * (i < 200) + word(), word(), word()]), int(i < 200)) for i in range(1000)]
     model = toxicity.learn(rows)
-    assert model.terms and all(b and len(t) >= 5 and n == 1 for t, b, n in model.terms)
+    assert model.terms and all(b and 5 <= len(t) < 10 and n == 1 for t, b, n in model.terms)
     exact, near, clean = toxicity.Scanner(model).scores(["aa grobnaktiro ee", "aa gr0bnaktiro ee", "aa tironaksolu ee"])
     assert exact > near > 0.5 > clean
     # A near beginning that clean documents use is innocent with any ending.
@@ -245,7 +358,41 @@ def test_learned_beginnings_hit_misspelled():
     assert "gzobnak*" in model.innocent
     clean, near = toxicity.Scanner(model).scores(["aa gzobnakanderes ee", "aa gr0bnakanderes ee"])
     assert clean < 0.5 < near
-    assert all(toxicity.within_one(a, b) == (distance(a, b) <= 1) for a in ("", "a", "ab", "ba", "abc", "acb", "abcc") for b in ("", "b", "ab", "aab", "abd", "abc", "xabc", "bc", "ac"))
+    assert all(toxicity.distance(a, b) == distance(a, b) for a in ("", "a", "ab", "ba", "abc", "acb", "abcc") for b in ("", "b", "ab", "aab", "abd", "abc", "xabc", "bc", "ac"))
+
+
+def test_long_words_allow_two_edits():
+    rng = random.Random(5)
+    rows = [(i, f"aa {name(i)} {'krumbelwurzen' if i < 100 else 'sonnenblumen'} bb", int(i < 100)) for i in range(400)]
+    model = toxicity.learn(rows)
+    assert ("krumbelwurzen", False, 2) in model.terms
+    scanner = toxicity.Scanner(model)
+    words = []
+    for _ in range(300):
+        w = list("krumbelwurzen")
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "ee"])
+        words.append("".join(w))
+    text = " ".join(words)
+    got = {text[s:e]: d for _, s, e, _, d, _ in scanner.scan([text])}
+    for w in words:
+        assert got.get(w) == (distance(w, "krumbelwurzen") if distance(w, "krumbelwurzen") <= 2 else None), w
+
+
+def test_scores_follow_from_hits():
+    """The features from their definition: summed weights of hits by kind, without a cap."""
+    model = toxicity.ToxicityModel((("blorn", False, 1), ("zugran", True, 1)), weights=(0.3, 0.2, 0.4, -2.0))
+    scanner = toxicity.Scanner(model)
+    texts = ["", "quiet", "blorn " * 500, "you blorn blrn", 'said "blorn" zugranisch zugrbnisch', "x y " * 2000 + "blorn"]
+    for t, score in zip(texts, scanner.scores(texts), strict=True):
+        sums = [0.0, 0.0, 0.0]
+        for _, _, _, term, edits, weight in scanner.scan([t]):
+            begins = model.terms[term][1]
+            sums[2 if begins else int(edits > 0)] += weight * (toxicity.MISSPELLED if begins and edits else 1)
+        z = sum(w * math.log1p(x) for w, x in zip(model.weights, sums, strict=False)) + model.weights[-1]
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+    assert scanner.scores(["blorn " * 500])[0] > scanner.scores(["blorn " * 50])[0]
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -288,3 +435,74 @@ def test_mined_combinations_judge_the_rest(spark, limit):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
     got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages, min_support=0.05, broadcast_rows=limit).collect()}
     assert [got[i] for i in (120, 121, 122)] == ["block", "allow", "allow"] and len(got) == len(urls)
+
+
+def mined_by_hand(urls, min_support, min_confidence, least):
+    """Verdict of each URL no rule fits: all combinations, counted one by one."""
+    from itertools import combinations
+
+    def parts(url):
+        host, _, path = url.split("://", 1)[1].partition("/")
+        return host.lower(), "/" + path
+
+    def tokens(url):
+        host, path = parts(url)
+        found = {f"h:{x}" for x in host.split(".") if x} | {f"p:{x}" for x in re.split("[/.]", path) if x and not x.isdigit()}
+        return frozenset(found)
+
+    def rule(url):
+        host, path = parts(url)
+        fits = [r for r in urlfilter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name)).verdict if fits else None
+
+    labelled = [(tokens(u), rule(u)) for u in urls if rule(u)]
+    needed = max(least, math.ceil(min_support * len(labelled)))
+    count = lambda x, v=None: sum(x <= t and v in (None, w) for t, w in labelled)
+    rules = []
+
+    def judge(x):
+        found = [(count(x, v) / count(x), count(x, v) / len(labelled), v == "block", x, v) for v in ("block", "allow") if count(x, v) >= needed]
+        return [r for r in found if r[0] >= min_confidence]
+
+    unsure = []
+    for token in sorted({t for x, _ in labelled for t in x}):
+        if count({token}) >= needed:
+            found = judge(frozenset([token]))
+            rules += found
+            unsure += [] if found else [token]
+    for n in range(2, len(unsure) + 1):
+        for x in combinations(unsure, n):
+            if count(set(x)) >= needed:
+                rules += judge(frozenset(x))
+    best = lambda url: max((r[:3] + (r[4],) for r in rules if r[3] <= tokens(url)), default=(0, 0, 0, "allow"))[3]
+    return [rule(u) or best(u) for u in urls]
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_mined_verdicts_equal_counting_by_hand(spark, limit):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["red", "blue", "old", "new", "win"])
+    urls = [f"http://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['net', 'example.net', 'org', 'io'])}/{rng.choice(['en', 'fr'])}/{word()}/{word()}.{word()}" for _ in range(220)]
+    # One verdict goes with two tokens together that say nothing alone.
+    urls += [f"http://a.example.net/en/{x}/{y}" for x, y in [("red", "moon"), ("blue", "sun")]] * 12 + [f"http://a.net/de/{x}/{y}" for x, y in [("red", "sun"), ("blue", "moon")]] * 12
+    urls += ["http://z.io/red/moon", "http://z.io/red/sun", "http://z.io/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3)
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages, min_support=0.02, broadcast_rows=limit).collect()}
+    assert [got[i] for i in range(len(urls))] == mined_by_hand(urls, 0.02, 0.9, 5)
+
+
+def test_long_urls_are_a_few_items(spark):
+    """A hundred segments, once and in many copies, under both verdicts."""
+    long = "/".join(f"seg{i}" for i in range(100))
+    urls = [f"http://one.net/{long}"] + [f"http://a.net/{long}"] * 40 + [f"http://b.example.net/en/{long}"] * 40 + [f"http://c.org/fr/{'/'.join(f'other{i}' for i in range(100))}"] * 40
+    urls += [f"http://x.io/{long}", "http://x.io/other7", "http://x.io/seg5", None, None, "http://x.io/" + "deep/" * 100_000]
+    pages = spark.createDataFrame([(i, u, "t", 1) for i, u in enumerate(urls)], "page_id bigint, url string, tokens string, verdict int")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages).collect()}
+    assert len(got) == len(urls) and [got[len(urls) - k] for k in (6, 5, 4, 3, 2, 1)] == ["allow"] * 6
+    assert got[1] == "block" and got[0] == "block" and got[41] == "allow"
+
+
+def test_few_labelled_pages_teach_nothing(spark):
+    pages = spark.createDataFrame([(i, f"http://a.net/casino/{i}") for i in range(4)] + [(9, "http://q.io/casino")], "page_id bigint, url string")
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages).collect()}[9] == "allow"
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages, least=4).collect()}[9] == "block"

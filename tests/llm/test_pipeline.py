@@ -96,6 +96,29 @@ def test_null_and_repeated_ids_are_rows_of_their_own(spark, tables):
     assert clean.columns == COLUMNS and got(clean) == sorted([(i, t) for i, t in rows if leak not in (t or "")], key=str)
 
 
+def test_columns_of_any_name_stay(spark, tables):
+    """Names that the stages use inside, and one that needs quoting, as columns of documents."""
+    path, rows = tables
+    more = ["y", "i", "hit_id", "toxicity_score", "row_key", "row", "digest", "component_id", "kept", "a.b", "doc", "key"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(more))) for i, t in rows], SCHEMA + "".join(f", `{m}` int" for m in more))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        plain = stage(spark, read(spark, path), path)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(more))) for r in got), name
+        assert sorted(str(tuple(r)[:5]) for r in got) == sorted(str(tuple(r)) for r in plain.collect()), name
+    assert sum(r["length"] for r in cp.pack(spark, docs, path).collect()) == sum(r["length"] for r in cp.pack(spark, read(spark, path), path).collect())
+
+
+def test_a_contaminated_row_without_id_takes_no_other_along(spark, tables):
+    path, _ = tables
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(None, leak), *[(None, f"harmless {i} words") for i in range(5)], (4, leak), (4, "harmless under the same id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert sorted(r["text"] for r in cp.drop_contaminated(spark, docs, path).collect()) == sorted(t for _, t in rows if t != leak)
+
+
 def test_contaminated_documents_go(spark, tables):
     path, rows = tables
     out = cp.drop_contaminated(spark, read(spark, path), path)
