@@ -6,6 +6,7 @@ one explicit set because Java, RE2 and Python disagree about ``\\s``.
 
 from __future__ import annotations
 
+# The classes that boundaries, rules and reports are defined by.
 WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = "。！？；!?;…．﹖﹗‥⋯"
 SENTENCE_CLOSERS = "」』”）)》】〉>'\""

@@ -42,6 +42,12 @@ def latest(state: DataFrame) -> DataFrame:
     return state.where("key IS NOT NULL").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+# The reasons that dry-run records carry.
+NOTHING_SHARED = "empty chunk"
+MUCH_SHARED = "high lexical overlap with question"
+SOME_SHARED = "moderate lexical overlap"
+
+
 def dry_run_score(question: Column, chunk: Column) -> tuple[Column, Column]:
     """(score 1, 3 or 4; reason) by shared retrieval tokens.
 
@@ -52,7 +58,7 @@ def dry_run_score(question: Column, chunk: Column) -> tuple[Column, Column]:
     shared = F.size(F.array_intersect(q, c))
     share = shared / F.greatest(F.lit(1), F.size(q))
     score = F.when(shared == 0, 1).when(share >= 0.5, 4).otherwise(3)
-    reason = F.when(shared == 0, "empty chunk").when(share >= 0.5, "high lexical overlap with question").otherwise("moderate lexical overlap")
+    reason = F.when(shared == 0, NOTHING_SHARED).when(share >= 0.5, MUCH_SHARED).otherwise(SOME_SHARED)
     return score, reason
 
 
@@ -120,6 +126,7 @@ def judge_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("strategy").agg(F.count_if(good).alias("n"), F.count_if(~good).alias("errors"), F.round(F.avg(F.when(good, F.col("score"))), 3).alias("mean_score"))
 
 
+# Fixed value: what a sentence that states a fact has in it.
 FLAVOUR = "[0-9０-９]|标准|费用|时间|流程|要求|周期|限制|方法"
 
 
