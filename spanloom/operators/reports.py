@@ -31,13 +31,13 @@ def strategy_chunks(docs: DataFrame, max_chars: int, overlap_chars: int, fixed_o
 
 
 def compare_strategies(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """strategy, chunks, avg_chars, min_chars, max_chars, ends_punct, coverage."""
+    """strategy, chunks, avg_chars, min_chars, max_chars, ends_punct (and its share), coverage."""
     n = F.col("end") - F.col("start")
     total = docs.agg(F.greatest(F.lit(1), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).alias("total_chars"))
     rows = chunks.groupBy("strategy").agg(
         F.count("*").alias("chunks"), F.round(F.avg(n), 1).alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"),
         F.count_if(ends_on(F.col("text"), REPORT_PUNCT)).alias("ends_punct"), F.sum(n).alias("covered"),
-    )
+    ).withColumn("punct_share", F.round(F.col("ends_punct") / F.col("chunks"), 3))
     return rows.crossJoin(F.broadcast(total)).withColumn("coverage", F.round(F.col("covered") / F.col("total_chars"), 3)).drop("covered", "total_chars")
 
 

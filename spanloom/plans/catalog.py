@@ -169,7 +169,9 @@ def fixed_window_compare(spark, sf_dir):
 
 def run_report(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return rp.run_report(rp.strategy_chunks(d, 150, 30, names=["fixed-window", "sentence", "recursive"]), d, questions(d), 3).drop("misses")
+    r = rp.run_report(rp.strategy_chunks(d, 150, 30, names=["fixed-window", "sentence", "recursive"]), d, questions(d), 3)
+    rounded = {c: F.round(c, 6) for c in ("recall", "precision", "union_recall")}
+    return r.withColumns(rounded).withColumn("misses_md5", F.md5(F.array_join("misses", ","))).drop("misses")
 
 
 def retrieval_interaction(spark, sf_dir):
