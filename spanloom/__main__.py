@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import jobs, reports
 from .operators.judging import build_pairs
 from .operators.strategies import STRATEGIES, chunk_documents
+from .sources.corpus import zh_mini
 from .sources.files import chunk_file, load_docs_dir, write_jsonl_file
 
 DEMO = "# 山路\n清晨的雾还没有散。向导说：“沿着溪走。”我们走了三个小时，费用是每人40元。\n\n# 山顶\n风很大，云在脚下。没有人说话……\n"
@@ -31,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--compare", action="store_true")
     one.add_argument("--out", help="JSONL file instead of standard output")
     commands.add_parser("demo", parents=[sizes], help="chunk a built-in text")
+    commands.add_parser("evaluate", parents=[sizes], help="report over the built-in corpus and its questions").add_argument("-k", type=int, default=3)
+    speed = commands.add_parser("throughput", parents=[sizes], help="time every strategy over a folder, and count the rules of its boundaries")
+    speed.add_argument("docs", help="folder of .txt and .md files")
     for name, text in (("report", "compare strategies over documents and questions"), ("judge", "judge pairs without a model"), ("qa", "generate questions without a model")):
         job = commands.add_parser(name, parents=[sizes], help=text)
         job.add_argument("docs", help="folder of .txt and .md files")
@@ -57,7 +61,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
     if args.command == "file":
         if args.compare:
             docs = spark.read.text(args.path, wholetext=True).select(F.lit("file").alias("doc_id"), F.col("value").alias("text"))
-            return reports.as_markdown(reports.compare_strategies(reports.strategy_chunks(docs, args.max_chars, overlap, overlap), docs))
+            return reports.as_markdown(reports.compare_texts(docs, args.max_chars, overlap, overlap))
         params = {"max_chars": args.max_chars, "overlap_chars": overlap}
         if args.explain and args.strategy != "fixed-window":
             params["explain"] = True
@@ -67,7 +71,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
         if args.out:
             return f"{write_jsonl_file(chunks, args.out)} chunks in {args.out}"
         return "\n".join(r["j"] for r in chunks.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator())
+    if args.command == "evaluate":
+        return reports.full_report(*zh_mini(spark), args.max_chars, args.overlap, sorted({1, args.k}))
     docs = _docs(spark, args.docs)
+    if args.command == "throughput":
+        rules = reports.rule_distribution(chunk_documents(docs, "recursive", max_chars=args.max_chars, overlap_chars=overlap, explain=True)).orderBy(F.desc("n"), "end_rule")
+        return reports.as_markdown(reports.compare_texts(docs, args.max_chars, overlap)) + "\n" + reports.as_markdown(rules)
     if args.command == "qa":
         return json.dumps(vars(jobs.run_questions(docs, args.state)), ensure_ascii=False)
     questions = _questions(spark, args.questions)

@@ -11,9 +11,9 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spans import end_rule, sections, sentence_spans
+from ..charsets import OTHER_CLASS, RULE_CLAUSE, RULE_SENTENCE, WS, char_class
+from ..operators.spans import sections, sentence_spans
 from ..operators.strategies import splitter
-from .counters import count_chars
 
 CHUNK = "seq int, start int, end int, text string, overlap_chars int, headings array<string>, parent_seq int, start_rule string, end_rule string"
 
@@ -48,5 +48,24 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("chunks", F.udtf(Chunks, returnType=CHUNK))
     spark.udtf.register("sentences", F.udtf(Sentences, returnType="seq int, start int, end int, text string"))
     spark.udtf.register("sections", F.udtf(Sections, returnType="seq int, start int, end int, headings array<string>, text string"))
-    spark.udf.register("token_count", F.udf(lambda t: None if t is None else count_chars(t), "int", useArrow=True))
-    spark.udf.register("end_rule", F.udf(lambda t, e: None if t is None or e is None else end_rule(t, e), "string", useArrow=True))
+    for name, (parameters, kind, body) in SCALAR.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+
+
+def _literal(text: str) -> str:
+    """A string literal; other than letters, digits and plain marks go by number."""
+    return "'" + "".join(c if c.isascii() and c.isalnum() or c in " .,:*+[]{}()^-" else f"\\u{ord(c):04x}" if ord(c) < 0x10000 else f"\\U{ord(c):08x}" for c in text) + "'"
+
+
+_RUN = _literal(OTHER_CLASS + "+")
+_NEAR = f"""CASE WHEN length(trim(TRAILING {_literal(WS)} FROM substring(t, greatest(1, e - 63), least(e, 64)))) > 0 THEN substring(t, greatest(1, e - 63), least(e, 64)) ELSE substring(t, 1, e) END"""
+#: name -> parameters, type, body: expressions that Spark compiles, no Python.
+SCALAR = {
+    "token_count": ("t STRING", "INT", f"CAST(length(regexp_replace(t, {_RUN}, '')) + aggregate(regexp_extract_all(t, {_RUN}, 0), 0, (n, r) -> n + CAST(ceil(length(r) / 4) AS INT) + 1) AS INT)"),
+    # Of what stands before the end: its last character but white space, and the line breaks after that.
+    "end_rule": ("t STRING, e INT", "STRING", f"""transform(transform(array({_NEAR}), h -> named_struct(
+        'last', right(trim(TRAILING {_literal(WS)} FROM h), 1), 'breaks', length(h) - length(trim(TRAILING {_literal(WS)} FROM h)) - length(translate(substring(h, length(trim(TRAILING {_literal(WS)} FROM h)) + 1), '\\r\\n', '')))),
+        x -> CASE WHEN t IS NULL OR e IS NULL THEN NULL WHEN e >= length(t) THEN 'text_end' WHEN e <= 0 THEN 'start'
+          WHEN x.breaks > 1 OR (x.breaks = 1 AND x.last RLIKE {_literal(char_class(RULE_SENTENCE))}) THEN 'paragraph' WHEN x.breaks = 1 THEN 'newline'
+          WHEN x.last RLIKE {_literal(char_class(RULE_SENTENCE))} THEN 'sentence' WHEN x.last RLIKE {_literal(char_class(RULE_CLAUSE))} THEN 'clause' ELSE 'budget' END)[0]"""),
+}

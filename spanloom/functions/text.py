@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,16 +83,18 @@ def hashed_vector(text: Column, dim: int = 96) -> Column:
     return F.when(text.isNotNull(), vector)
 
 
-def hashed_vectors(texts: list[str], dim: int = 96) -> list[list[float]]:
-    """:func:`hashed_vector` for a list of texts, as a chunking strategy's embedder."""
-    out = []
-    for t in texts:
-        flat, counts = t.replace("\n", ""), [0.0] * dim
-        for i in range(len(flat) - 2):
-            counts[zlib.crc32(flat[i : i + 3].encode()) % dim] += 1
-        norm = sum(c * c for c in counts) ** 0.5 or 1.0
-        out.append([c / norm for c in counts])
-    return out
+@functools.lru_cache(1 << 16)
+def _bucket(trigram: str, dim: int) -> int:
+    return zlib.crc32(trigram.encode()) % dim
+
+
+def hashed_vectors(texts: list[str], dim: int = 96) -> np.ndarray:
+    """:func:`hashed_vector` for a list of texts, as a chunking strategy's embedder: one row a text."""
+    flat = [t.replace("\n", "") for t in texts]
+    cells = [i * dim + _bucket(t[k : k + 3], dim) for i, t in enumerate(flat) for k in range(len(t) - 2)]
+    counts = np.bincount(np.array(cells, np.int64), minlength=len(texts) * dim).reshape(-1, dim).astype(float)
+    norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+    return counts / np.where(norm > 0, norm, 1)[:, None]
 
 
 Embedder = Callable[[list[str]], list[list[float]]]

@@ -1,14 +1,16 @@
 """Resumable jobs: judge pairs, or generate questions, against an append-only state table.
 
-Each run reads the state, leaves out what is there by an anti-join, appends its
-records as one Spark write and returns counts. A run that is lost part-way
-leaves no torn record; the next one does what is missing.
+Each run reads the state, leaves out what is there by an anti-join, and writes
+what is to be done down beside the state, dealt into batches. Every batch is one
+append, so a run that is lost leaves no torn record and loses one batch of calls
+at most; the next run does what is missing.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -43,6 +45,7 @@ class JudgeConfig:
     price_out: float = 0.0
     retry_errors: bool = False
     sleep: Callable[[float], None] = time.sleep
+    batch_size: int = 1000  # live calls to a batch
 
 
 def _state(spark: SparkSession, path: str, **kw) -> DataFrame | None:
@@ -51,14 +54,36 @@ def _state(spark: SparkSession, path: str, **kw) -> DataFrame | None:
     return read_state(spark, path, **kw) if there else None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _batches(todo: DataFrame, state_path: str, key: str, size: int) -> Iterator[DataFrame]:
+    """``todo`` as it is now, in parts of about ``size`` rows.
+
+    It is written once, as appending to the state changes what is left to do.
+    """
+    spark, plan = todo.sparkSession, f"{state_path.rstrip('/')}.plan-{uuid.uuid4().hex}"
+    todo.write.parquet(plan)
+    try:
+        rows = spark.read.schema(todo.schema).parquet(plan)
+        parts = max(1, -(-rows.count() // max(1, size)))
+        for part in range(parts):
+            yield rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else rows
+    finally:
+        _delete(spark, plan)
+
+
 def run_judging(pairs: DataFrame, state_path: str, config: JudgeConfig | None = None) -> RunStats:
     c, spark = config or JudgeConfig(), pairs.sparkSession
     todo = pending(pairs, _state(spark, state_path), c.retry_errors)
     stats = RunStats(total=pairs.count())
     left = todo.count()
     stats.skipped = stats.total - left
+    save = lambda records: append_state(records.withColumn("doc_id", F.col("doc_id").cast("string")), state_path)
     if c.judge is None:
-        records = judge_dry_run(todo).withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+        save(judge_dry_run(todo).withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
     else:
         if c.max_cost is not None:
             todo = within_cost(todo, c.max_cost, c.price_in, c.price_out)
@@ -66,9 +91,8 @@ def run_judging(pairs: DataFrame, state_path: str, config: JudgeConfig | None =
             stats.est_cost, stats.cost_capped = round(row["cost"] or 0.0, 4), row["n"] < left
             if stats.cost_capped:
                 stats.notes.append(f"stopped at the cost cap of {c.max_cost}: {left - row['n']} pairs are left")
-        answers = judge_live(todo, c.judge, c.max_retries, c.backoff, c.per_minute, c.sleep)
-        records = todo.select("key", "strategy", "doc_id", "q_idx", "question", "chunk_seq", F.lit(1).alias("schema")).join(answers, "key")
-    append_state(records.withColumn("doc_id", F.col("doc_id").cast("string")), state_path)
+        for part in _batches(todo, state_path, "key", c.batch_size):
+            save(judge_live(part, c.judge, c.max_retries, c.backoff, c.per_minute, c.sleep, keep=("strategy", "doc_id", "q_idx", "question", "chunk_seq")))
     done = latest(_state(spark, state_path)).join(pairs.select("key"), "key", "left_semi")
     counts = done.agg(F.count("*").alias("n"), F.count_if(F.col("method") == "error").alias("errors")).first()
     stats.judged, stats.errors = counts["n"] - stats.skipped, counts["errors"]
@@ -107,25 +131,37 @@ def generate_questions(docs: DataFrame, generate: Callable[[str, int], list[tupl
     return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, GENERATED)
 
 
-def run_questions(docs: DataFrame, state_path: str, generate: Callable[[str, int], list[tuple[str, str]]] | None = None, n: int = 3, **retries) -> RunStats:
-    """One state record per document: its valid pairs and counters, or its error."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    state = _state(spark, state_path, schema=QA_STATE, key="doc_id")
-    todo = docs if state is None else docs.join(state.select("doc_id").distinct(), "doc_id", "left_anti")
-    method = "dry-run" if generate is None else "llm"
-    made = qa_dry_run(todo, n).withColumn("error", F.lit(None).cast("string")) if generate is None else generate_questions(todo, generate, n, **retries)
+def question_records(todo: DataFrame, made: DataFrame, method: str) -> DataFrame:
+    """A state record for each document: its valid pairs of those ``made``, and counters, or its error."""
     kept, counters = qa_validate(made.where("pos >= 0"), todo)
     pairs = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "question", "gold"))).alias("p"))
     pair = lambda x: F.struct(x["question"].alias("question"), x["gold"].alias("gold"), F.lit(method).alias("method"))
     errors = made.where("error IS NOT NULL").select("doc_id", "error")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
-    records = todo.select("doc_id").join(counters, "doc_id", "left").join(pairs, "doc_id", "left").join(errors, "doc_id", "left").select(
+    return todo.select("doc_id").join(counters, "doc_id", "left").join(pairs, "doc_id", "left").join(errors, "doc_id", "left").select(
         F.lit(1).alias("schema"), "doc_id", F.struct("doc_id", *(zero(c) for c in ("raw", "kept", "dropped_bad_gold", "dropped_dupe"))).alias("stats"),
         F.coalesce(F.transform("p", pair), F.array().cast("array<struct<question:string,gold:string,method:string>>")).alias("pairs"), "error",
     )
-    stats = RunStats(total=docs.count(), skipped=docs.count() - todo.count())
-    append_state(records, state_path)
+
+
+def run_questions(docs: DataFrame, state_path: str, generate: Callable[[str, int], list[tuple[str, str]]] | None = None, n: int = 3, batch_size: int = 200, **retries) -> RunStats:
+    """One state record per document that has none, ``batch_size`` documents of live calls at a time."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    state = _state(spark, state_path, schema=QA_STATE, key="doc_id")
+    todo = docs if state is None else docs.join(state.select("doc_id").distinct(), "doc_id", "left_anti")
+    total = docs.count()
+    stats = RunStats(total=total, skipped=total - todo.count())
+    if generate is None:
+        append_state(question_records(todo, qa_dry_run(todo, n).withColumn("error", F.lit(None).cast("string")), "dry-run"), state_path)
+    else:
+        for part in _batches(todo, state_path, "doc_id", batch_size):
+            # What the service answered is written first: it is read three times, and asked for once.
+            answers = f"{state_path.rstrip('/')}.answers-{uuid.uuid4().hex}"
+            generate_questions(part, generate, n, **retries).write.parquet(answers)
+            made = spark.read.schema(GENERATED).parquet(answers)
+            append_state(question_records(part, made, "llm"), state_path)
+            _delete(spark, answers)
     now = _state(spark, state_path, schema=QA_STATE, key="doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     row = now.agg(F.count("*").alias("n"), F.count("error").alias("errors")).first()
     stats.judged, stats.errors = row["n"] - stats.skipped, row["errors"]

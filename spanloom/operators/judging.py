@@ -78,21 +78,36 @@ def within_cost(pairs: DataFrame, cap: float, price_in: float, price_out: float,
     """Pairs, in key order, up to the first whose estimated cost would exceed ``cap``.
 
     A running sum in two levels: within key ranges, then over the ranges' totals,
-    so no single task sees all pairs.
+    so no single task sees all pairs. The ranges' bounds are keys themselves,
+    taken from a sample by hash, so a row's range does not depend on who asks.
     """
     priced = pairs.withColumn("est_cost", cost_estimate(F.col("chunk_text"), price_in, price_out))
-    ranged = priced.repartitionByRange(partitions, "key").withColumn("_range", F.spark_partition_id())
-    inner = ranged.withColumn("_in", F.sum("est_cost").over(Window.partitionBy("_range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
-    totals = inner.groupBy("_range").agg(F.max("_in").alias("_total"))
+    one_in = max(1, pairs.count() // (20 * partitions))
+    sample = sorted(r["key"] for r in pairs.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).select("key").distinct().limit(200 * partitions).collect())
+    bounds = sample[:: max(1, -(-len(sample) // partitions))][1:]
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= F.col("key")))
+    inner = priced.withColumn("_range", place).withColumn("_in", F.sum("est_cost").over(Window.partitionBy("_range").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
+    totals = priced.groupBy(place.alias("_range")).agg(F.sum("est_cost").alias("_total"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("_range", "_before")
-    return inner.join(before, "_range").where(F.round(F.col("_before") + F.col("_in"), 9) <= cap).drop("_range", "_in", "_before")
+    return inner.join(F.broadcast(before), "_range").where(F.round(F.col("_before") + F.col("_in"), 9) <= cap).drop("_range", "_in", "_before")
 
 
-RECORD = "key string, score int, reason string, method string, error string, ts string"
+RECORD = "score int, reason string, method string, error string, ts string"
 
 
-def judge_live(pairs: DataFrame, judge: Callable[[str, str], tuple[int, str]], max_retries: int = 2, backoff: float = 1.0, per_minute: float | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """One record per pair from an injected ``judge(question, chunk)``; failures become error records."""
+def judge_live(
+    pairs: DataFrame,
+    judge: Callable[[str, str], tuple[int, str]],
+    max_retries: int = 2,
+    backoff: float = 1.0,
+    per_minute: float | None = None,
+    sleep: Callable[[float], None] = time.sleep,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One record per pair from an injected ``judge(question, chunk)``; failures become error records.
+
+    Columns to ``keep`` go through beside the key, so that no join has to bring them back.
+    """
 
     def attempt(question: str, chunk: str) -> tuple[int, str, str, str | None]:
         for n in range(max_retries + 1):
@@ -104,20 +119,24 @@ def judge_live(pairs: DataFrame, judge: Callable[[str, str], tuple[int, str]], m
                 sleep(backoff * 2**n)
         raise AssertionError
 
+    own = ["key", *keep]
+
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                score, reason, method, error = attempt(r["question"], r["chunk_text"])
-                out.append({"key": r["key"], "score": score, "reason": reason, "method": method, "error": error, "ts": time.strftime("%Y-%m-%dT%H:%M:%S")})
+            out: list[list] = [[], [], [], [], []]
+            for question, chunk in zip(batch.column("asked").to_pylist(), batch.column("chunk").to_pylist(), strict=True):
+                for column, value in zip(out, (*attempt(question, chunk), time.strftime("%Y-%m-%dT%H:%M:%S")), strict=True):
+                    column.append(value)
                 if per_minute:
                     sleep(60 / per_minute)
-            kinds = pa.schema([("key", pa.string()), ("score", pa.int32()), ("reason", pa.string()), ("method", pa.string()), ("error", pa.string()), ("ts", pa.string())])
-            yield pa.RecordBatch.from_pylist(out, kinds)
-
-    source = pairs.select("key", "question", "chunk_text")
-    return (source.coalesce(1) if per_minute else source).mapInArrow(run, RECORD)
+            kinds = [pa.int32(), *[pa.string()] * 4]
+            answers = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *answers], names=[*own, "score", "reason", "method", "error", "ts"])
+
+    source = pairs.select(*own, F.col("question").alias("asked"), F.col("chunk_text").alias("chunk"))
+    head = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in own)
+    records = (source.coalesce(1) if per_minute else source).mapInArrow(run, f"{head}, {RECORD}")
+    return records.withColumn("schema", F.lit(1)) if keep else records
 
 
 def judge_summary(records: DataFrame) -> DataFrame:

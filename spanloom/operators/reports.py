@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -17,19 +18,44 @@ from .strategies import chunk_documents, family_documents
 NAMED = ["fixed-window", "sentence", "token", "recursive", "semantic-hash-toy"]
 
 
-def strategy_chunks(docs: DataFrame, max_chars: int, overlap_chars: int, fixed_overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None) -> DataFrame:
-    """The compared strategies' chunks in one table."""
-    params = {
+def build_strategies(max_chars: int, overlap_chars: int, fixed_overlap: int = 0) -> dict[str, tuple[str, dict]]:
+    """The compared strategies by name: strategy and parameters."""
+    return {
         "fixed-window": ("fixed-window", {"max_chars": max_chars, "overlap_chars": fixed_overlap}),
         "sentence": ("sentence", {"max_chars": max_chars, "overlap_chars": overlap_chars}),
         "token": ("token", {"max_tokens": max_chars, "overlap_tokens": overlap_chars}),
         "recursive": ("recursive", {"max_chars": max_chars, "overlap_chars": overlap_chars}),
         "semantic-hash-toy": ("semantic", {"embed_fn": hashed_vectors, "max_chars": max_chars, "min_chars": min(max_chars, max(20, max_chars // 3)), "overlap_chars": overlap_chars}),
     }
+
+
+def strategy_chunks(docs: DataFrame, max_chars: int, overlap_chars: int, fixed_overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None) -> DataFrame:
+    """The compared strategies' chunks in one table."""
+    params = build_strategies(max_chars, overlap_chars, fixed_overlap)
     tables = [chunk_documents(docs, params[n][0], id_col, text_col, **params[n][1]).withColumn("strategy", F.lit(n)) for n in names or NAMED]
     return reduce(DataFrame.unionByName, tables)
 
 
+def strategy_times(docs: DataFrame, max_chars: int, overlap_chars: int, fixed_overlap: int = 0, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None) -> DataFrame:
+    """strategy, time_ms, mchars_per_s of a run over all of ``docs`` by itself, its chunks counted and not kept."""
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    rows = []
+    for name in names or NAMED:
+        chunks = strategy_chunks(docs, max_chars, overlap_chars, fixed_overlap, id_col, text_col, [name])
+        began = time.perf_counter()
+        chunks.write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        rows.append((name, round(took * 1000, 1), round(chars / took / 1e6, 2)))
+    return spark.createDataFrame(rows, "strategy string, time_ms double, mchars_per_s double")
+
+
+def compare_texts(docs: DataFrame, max_chars: int, overlap_chars: int, fixed_overlap: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`compare_strategies` of all strategies, and how long each took."""
+    chunks = strategy_chunks(docs, max_chars, overlap_chars, fixed_overlap, id_col, text_col)
+    return compare_strategies(chunks, docs, id_col, text_col).join(strategy_times(docs, max_chars, overlap_chars, fixed_overlap, id_col, text_col), "strategy")
+
+
 def compare_strategies(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """strategy, chunks, avg_chars, min_chars, max_chars, ends_punct (and its share), coverage."""
     n = F.col("end") - F.col("start")
@@ -124,9 +150,9 @@ def as_markdown(rows: DataFrame, columns: list[str] | None = None) -> str:
 def full_report(docs: DataFrame, questions: DataFrame, max_chars: int, overlap_chars: int, ks: list[int], id_col: str = "doc_id") -> str:
     """Markdown of all reports: recall per k with failure lists, parents, retrievers, calibration."""
     chunks = strategy_chunks(docs, max_chars, overlap_chars, id_col=id_col)
-    out = ["# Retrieval report\n"]
+    out = ["# Retrieval report\n", "## Strategies\n\n" + as_markdown(compare_texts(docs, max_chars, overlap_chars, id_col=id_col).orderBy("strategy"))]
     for k in ks:
-        columns = ["strategy", "recall", "precision", "union_recall", "strict_hits", "union_hits", "total", "chunks", "avg_chars", "max_chars", "ends_punct"]
+        columns = ["strategy", "recall", "precision", "union_recall", "strict_hits", "union_hits", "total", "chunks", "avg_chars", "max_chars", "ends_punct", "punct_share"]
         out.append(f"## k = {k}\n\n" + as_markdown(run_report(chunks, docs, questions, k, id_col).orderBy("strategy"), columns))
         out.append(f"### Missed at k = {k}\n\n" + as_markdown(failures(question_facts(chunks, docs, questions, k, id_col), id_col=id_col).orderBy("strategy", id_col, "q")))
     out.append("## Parents and children\n\n" + "\n".join(as_markdown(parent_child_report(docs, questions, k, id_col=id_col)) for k in ks))

@@ -41,12 +41,12 @@ def bm25_topk(chunks: DataFrame, questions: DataFrame, k: int = 3, id_col: str =
     """strategy, id, q_idx, seq, score, rank of the best ``k`` chunks with a positive score."""
     asked = questions.select(id_col, "q_idx", F.explode(retrieval_tokens(F.col("q"))).alias("term"))
     asked = asked.groupBy(id_col, "q_idx", "term").agg(F.count("*").alias("times"))
-    # Only terms that the document is asked about are counted; the rest of a chunk matters by its length alone.
-    wanted = asked.groupBy(id_col).agg(F.collect_set("term").alias("wanted"))
-    base = chunks.select("strategy", id_col, "seq", "text").join(wanted, id_col).select("strategy", id_col, "seq", "wanted", retrieval_tokens(F.col("text")).alias("tokens"))
-    lengths = base.select("strategy", id_col, "seq", F.size("tokens").alias("dl"))
-    found = F.filter("tokens", lambda t: F.array_contains(F.col("wanted"), t))
-    tf = base.select("strategy", id_col, "seq", F.size("tokens").alias("dl"), F.explode(found).alias("term")).groupBy("strategy", id_col, "seq", "dl", "term").agg(F.count("*").alias("tf"))
+    # A chunk is tokenised once: its length goes with each of its terms, and with none that chunks without terms have one row too.
+    tokens = chunks.join(asked.select(id_col).distinct(), id_col, "left_semi").select("strategy", id_col, "seq", retrieval_tokens(F.col("text")).alias("tokens"))
+    terms = tokens.select("strategy", id_col, "seq", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    counted = terms.groupBy("strategy", id_col, "seq", "dl", "term").agg(F.count("*").alias("tf"))
+    lengths = counted.where("term = ''").select("strategy", id_col, "seq", "dl")
+    tf = counted.where("term <> ''").join(asked.select(id_col, "term").distinct(), [id_col, "term"], "left_semi")
     hit = asked.join(tf, [id_col, "term"]).join(bm25_idf(tf, lengths, id_col), ["strategy", id_col, "term"])
     f = F.col("tf")
     part = F.col("times") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1.0))))
@@ -62,46 +62,79 @@ def vector_topk(chunks: DataFrame, questions: DataFrame, k: int = 3, id_col: str
     return _top(scored.where("score > 0"), id_col, k)
 
 
-def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048) -> DataFrame:
+def _nearest(q_ids, q, ids, x, k: int, id_col: str, block_rows: int):
+    """Record batch of the best ``k`` rows ``ids`` of each query, in the final order (score to 9 places, then id)."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
+    q, x = unit(q), unit(x)
+    out: list[list] = [[], [], [], []]
+    for s in range(0, len(q_ids), block_rows):
+        score = q[s : s + block_rows] @ x.T
+        place = np.round(score, 9)
+        place[q_ids[s : s + block_rows, None] == ids] = -np.inf
+        best = np.argsort(-place, axis=1, kind="stable")[:, :k]
+        for i, row in enumerate(best):
+            row = row[place[i, row] > -np.inf]
+            out[0] += [int(q_ids[s + i])] * len(row)
+            out[1] += ids[row].tolist()
+            out[2] += score[i, row].tolist()
+            out[3] += place[i, row].tolist()
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", id_col, "score", "place"])
+
+
+def _matrix(column):
+    """Rows of a column of lists of one length."""
+    import numpy as np
+
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+
+
+def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 2048, most_queries: int = 20_000) -> DataFrame:
     """query_id, id, score, rank: the ``k`` nearest rows of each query vector by cosine.
 
-    The query set is dealt out in blocks; each Arrow batch of vectors meets each
-    block in one matrix product and keeps its own best ``k`` per query in the
-    final order (score to 9 places, then id), so what is shuffled is k rows per
-    query and batch, and no smaller id of equal scores is lost.
+    Up to ``most_queries`` queries go to every task, and each Arrow batch of vectors
+    meets them in blocks. More are dealt, as the vectors are, to the cells of a grid,
+    so that a task holds one block of either. A batch or cell passes on its own best
+    ``k`` per query in the final order (score to 9 places, then id), so what is
+    shuffled is k rows per query and batch, and no smaller id of equal scores is lost.
     """
     import numpy as np
-    import pyarrow as pa
 
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).collect()
-    ids = np.array([r["query_id"] for r in asked], np.int64)
-    q = np.array([r["v"] for r in asked], float).reshape(len(asked), -1)
-    norms = np.linalg.norm(q, axis=1, keepdims=True)
-    q = q / np.where(norms > 0, norms, 1)
-
-    def run(batches):
-        for batch in batches:
-            batch = batch.sort_by(batch.schema.names[0])
-            own = batch.column(0).to_numpy()
-            x = np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = x / np.where(n > 0, n, 1)
-            out: list[list] = [[], [], [], []]
-            for s in range(0, len(ids), block_rows):
-                score = q[s : s + block_rows] @ x.T
-                place = np.round(score, 9)
-                place[ids[s : s + block_rows, None] == own] = -np.inf
-                best = np.argsort(-place, axis=1, kind="stable")[:, :k]
-                for i, row in enumerate(best):
-                    row = row[place[i, row] > -np.inf]
-                    out[0] += [ids[s + i]] * len(row)
-                    out[1] += own[row].tolist()
-                    out[2] += score[i, row].tolist()
-                    out[3] += place[i, row].tolist()
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["query_id", id_col, "score", "place"])
-
-    near = vectors.select(id_col, F.col(vector_col).cast("array<double>")).mapInArrow(run, f"query_id bigint, {id_col} bigint, score double, place double")
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    v = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("v"))
+    schema = f"query_id bigint, {id_col} bigint, score double, place double"
+    n = q.count()
+    if n <= most_queries:
+        asked = q.collect()
+        q_ids = np.array([r["query_id"] for r in asked], np.int64)
+        q_rows = np.array([r["v"] for r in asked], float).reshape(len(asked), -1 if asked else 1)
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows and len(q_ids):
+                    yield _nearest(q_ids, q_rows, batch.column(0).to_numpy(), _matrix(batch.column(1)), k, id_col, block_rows)
+
+        near = v.mapInArrow(run, schema)
+    else:
+        rows, columns = -(-n // most_queries), max(1, -(-v.count() // 50_000))
+        cell = lambda df, key, own, other, a, b: df.withColumn(a, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        left = cell(q, "query_id", rows, columns, "_r", "_c").groupBy("_r", "_c")
+        right = cell(v, id_col, columns, rows, "_c", "_r").groupBy("_r", "_c")
+
+        def meet(a, b):
+            import pyarrow as pa
+
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), id_col: pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "place": pa.array([], pa.float64())})
+            return pa.Table.from_batches([_nearest(a["query_id"].to_numpy(), _matrix(a["v"]), b[id_col].to_numpy(), _matrix(b["v"]), k, id_col, block_rows)])
+
+        near = left.cogroup(right).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), id_col)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("place")
 
@@ -116,6 +149,11 @@ def gold_chunks(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_id")
     return pairs.where(F.contains("text", F.col("gold")) & (F.length("gold") > 0)).select("strategy", id_col, "q_idx", "seq")
 
 
+def find_gold_chunk(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """strategy, id, q_idx, seq of the first chunk that holds the question's gold whole."""
+    return gold_chunks(chunks, questions, id_col).groupBy("strategy", id_col, "q_idx").agg(F.min("seq").alias("seq"))
+
+
 def question_facts(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", top: DataFrame | None = None) -> DataFrame:
     """Per strategy and question: strict, union, relevant (gold chunks among the top), q."""
     top = bm25_topk(chunks, questions, k, id_col) if top is None else top

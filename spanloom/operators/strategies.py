@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -146,16 +147,15 @@ def semantic(
     if not 0 <= min_chars <= max_chars:
         raise ValueError(f"min_chars must be in [0, max_chars], not {min_chars}")
 
-    def likeness(a: list[float], b: list[float]) -> float:
-        na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
-        return sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb) if na and nb else 0.0
-
     def split(text: str) -> list[Piece]:
         atoms = sp.sentence_spans(text)
         vectors = embed_fn([text[s:e] for s, e in atoms])
         if len(vectors) != len(atoms):
             raise ValueError(f"embed_fn gave {len(vectors)} vectors for {len(atoms)} texts")
-        similar = [1.0] + [likeness(a, b) for a, b in zip(vectors, vectors[1:], strict=False)]
+        v = np.asarray(vectors, float).reshape(len(atoms), -1)
+        long = np.sqrt(np.einsum("ij,ij->i", v, v))
+        both = long[1:] * long[:-1]
+        similar = [1.0, *np.divide(np.einsum("ij,ij->i", v[1:], v[:-1]), both, out=np.zeros(len(both)), where=both > 0).tolist()]
         groups, why = sp.fold_semantic(text, atoms, similar, similarity_threshold, min_chars, max_chars)
         return _pieces(text, groups, overlap_chars, max_chars, explain, why)
 

@@ -11,6 +11,7 @@ from ..operators import judging as jd
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..operators import strategies as st
+from ..sources.corpus import zh_mini
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,6 +175,14 @@ def run_report(spark, sf_dir):
     return r.withColumns(rounded).withColumn("misses_md5", F.md5(F.array_join("misses", ","))).drop("misses")
 
 
+def zh_mini_report(spark, sf_dir):
+    """Our own evaluation corpus, not the driver's tables: every strategy at the sizes that are compared."""
+    d, asked = zh_mini(spark)
+    chunks = rp.strategy_chunks(d, 150, 30)
+    parts = [rp.run_report(chunks, d, asked, k).drop("misses") for k in (1, 3)]
+    return parts[0].unionByName(parts[1]).withColumns({c: F.round(c, 6) for c in ("recall", "precision", "union_recall")})
+
+
 def retrieval_interaction(spark, sf_dir):
     d = docs(spark, sf_dir)
     return rp.retrieval_interaction(windows(spark, sf_dir), d, questions(d), 1)
@@ -281,6 +290,7 @@ QUERIES = {
     "strategy_compare": strategy_compare,
     "fixed_window_compare": fixed_window_compare,
     "run_report": run_report,
+    "zh_mini_report": zh_mini_report,
     "retrieval_interaction": retrieval_interaction,
     "parent_child_report": parent_child_report,
     "chunk_stats": chunk_stats,

@@ -7,6 +7,7 @@ gold answers, reports, pairs and questions.
 from __future__ import annotations
 
 from ..charsets import CLOSERS, OPENERS, REPORT_PUNCT, RULE_CLAUSE, RULE_SENTENCE, WS_CLASS, char_class
+from ..sources.corpus import corpus_rows
 from . import chunk_sql as cs
 from .chunk_sql import SENTENCE as _SENTENCE
 from .chunk_sql import tokens as _tokens
@@ -22,7 +23,7 @@ def _windows(size: int, overlap: int = 0) -> str:
       FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - {size}) / {step}.0) AS BIGINT)))) AS i FROM documents WHERE length(text) > 0))"""
 
 
-_QUESTIONS = """(SELECT doc_id, q_idx, substring(text, q_idx * (length(text) // 3) + 21, 40) AS gold, q_idx * (length(text) // 3) AS guess, text AS whole
+_QUESTIONS = """(SELECT doc_id, q_idx, substring(text, q_idx * (length(text) // 3) + 21, 40) AS gold, substring(text, q_idx * (length(text) // 3) + 21, 40) AS q, q_idx * (length(text) // 3) AS guess, text AS whole
   FROM documents, (SELECT unnest([0, 1, 2]) AS q_idx) WHERE length(text) >= 200)"""
 
 
@@ -54,7 +55,7 @@ def _index(chunks: str, tag: str = "") -> list[str]:
 def _asked(questions: str) -> list[str]:
     return [
         f"qn AS MATERIALIZED (SELECT *, strpos(whole, gold) - 1 AS pos FROM {questions})",
-        f"qt AS (SELECT doc_id, q_idx, unnest({_terms('gold')}) AS term FROM qn)",
+        f"qt AS (SELECT doc_id, q_idx, unnest({_terms('q')}) AS term FROM qn)",
     ]
 
 
@@ -131,37 +132,66 @@ _PARENT_HITS = """SELECT count(*) FROM (SELECT DISTINCT qn.doc_id, qn.q_idx FROM
       JOIN child c ON c.doc_id = r.doc_id AND c.seq = r.seq JOIN p ON p.doc_id = c.doc_id AND p.seq = c.parent_seq WHERE pos >= 0 AND p.s <= pos AND pos < p.e)"""
 
 
-def _shape(chunks: str) -> str:
+def _shape(chunks: str, docs: str = "documents") -> str:
     """strategy, chunks, avg_chars, min_chars, max_chars, ends_punct, coverage of chunks (strategy, s, e, t)."""
     return f"""SELECT strategy, count(*) AS chunks, round(avg(e - s), 1) AS avg_chars, CAST(min(e - s) AS INT) AS min_chars, CAST(max(e - s) AS INT) AS max_chars,
       count(*) FILTER (regexp_matches(right(regexp_replace(t, '{WS_CLASS}+\\z', ''), 1), '{char_class(REPORT_PUNCT)}')) AS ends_punct,
       round(count(*) FILTER (regexp_matches(right(regexp_replace(t, '{WS_CLASS}+\\z', ''), 1), '{char_class(REPORT_PUNCT)}')) / count(*), 3) AS punct_share,
-      round(sum(e - s) / (SELECT greatest(1, sum(length(text))) FROM documents), 3) AS coverage FROM {chunks} GROUP BY strategy"""
+      round(sum(e - s) / (SELECT greatest(1, sum(length(text))) FROM {docs}), 3) AS coverage FROM {chunks} GROUP BY strategy"""
 
 
 def _together(names: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{label}' AS strategy, * FROM {cs.texts(name, 'src')}" for name, label in names.items())
 
 
-_REPORT = cs.query(
-    [
-        _DOCS,
-        *cs.fixed("f", "src", 150),
-        *cs.sentence("s", "src", 150, 30),
-        *cs.recursive("r", "src", 150, 30),
+def _report(parts: list[str], names: dict[str, str], questions: str, k: int) -> list[str]:
+    """reports, of strategies over src: recall at k, shape, and a digest of the misses."""
+    return [
+        *parts,
         # The strategies' documents are told apart by a number of their own, as an index is one strategy's of one document.
-        f"mixed AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY strategy, doc_id) AS key, * FROM ({_together({'f': 'fixed-window', 's': 'sentence', 'r': 'recursive'})}))",
+        f"mixed AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY strategy, doc_id) AS key, * FROM ({_together(names)}))",
         "named AS MATERIALIZED (SELECT DISTINCT key, strategy, doc_id FROM mixed)",
-        *_asked(f"(SELECT n.key AS doc_id, q.* EXCLUDE (doc_id) FROM {_QUESTIONS} q JOIN named n ON n.doc_id = q.doc_id)"),
+        *_asked(f"(SELECT n.key AS doc_id, q.* EXCLUDE (doc_id) FROM {questions} q JOIN named n ON n.doc_id = q.doc_id)"),
         *_index("(SELECT key AS doc_id, seq, s, e, t FROM mixed)"),
-        f"facts AS MATERIALIZED (SELECT strategy, x.* FROM {_facts(3)} x JOIN named ON named.key = x.doc_id)",
-        f"shapes AS ({_shape('mixed')})",
-        """recalls AS (SELECT strategy, count(*) AS total, count(*) FILTER (relevant > 0) AS strict_hits, count(*) FILTER (relevant = 0 AND a AND b) AS union_hits,
-          count(*) FILTER (relevant > 0) / count(*) AS recall, sum(relevant) / (count(*) * 3) AS precision, count(*) FILTER (relevant > 0 OR (a AND b)) / count(*) AS union_recall FROM facts GROUP BY strategy)""",
-        """missed AS (SELECT strategy, md5(string_agg(m, ',' ORDER BY m)) AS misses_md5 FROM (
-          SELECT f.strategy, CAST(n.doc_id AS VARCHAR) || '|' || gold AS m FROM facts f JOIN qn ON qn.doc_id = f.doc_id AND qn.q_idx = f.q_idx JOIN named n ON n.key = f.doc_id WHERE relevant = 0 AND NOT (a AND b)) GROUP BY strategy)""",
-    ],
-    "SELECT strategy, total, strict_hits, union_hits, round(recall, 6) AS recall, round(precision, 6) AS precision, round(union_recall, 6) AS union_recall, chunks, avg_chars, min_chars, max_chars, ends_punct, punct_share, coverage, misses_md5, 3 AS k FROM recalls JOIN shapes USING (strategy) LEFT JOIN missed USING (strategy)",
+        f"shapes AS ({_shape('mixed', 'src')})",
+        *_at(k),
+    ]
+
+
+def _at(k: int) -> list[str]:
+    return [
+        f"facts{k} AS MATERIALIZED (SELECT strategy, x.* FROM {_facts(k)} x JOIN named ON named.key = x.doc_id)",
+        f"""recalls{k} AS (SELECT strategy, count(*) AS total, count(*) FILTER (relevant > 0) AS strict_hits, count(*) FILTER (relevant = 0 AND a AND b) AS union_hits,
+          count(*) FILTER (relevant > 0) / count(*) AS recall, sum(relevant) / (count(*) * {k}) AS precision, count(*) FILTER (relevant > 0 OR (a AND b)) / count(*) AS union_recall FROM facts{k} GROUP BY strategy)""",
+        f"""missed{k} AS (SELECT strategy, md5(string_agg(m, ',' ORDER BY m)) AS misses_md5 FROM (
+          SELECT f.strategy, CAST(n.doc_id AS VARCHAR) || '|' || q AS m FROM facts{k} f JOIN qn ON qn.doc_id = f.doc_id AND qn.q_idx = f.q_idx JOIN named n ON n.key = f.doc_id WHERE relevant = 0 AND NOT (a AND b)) GROUP BY strategy)""",
+    ]
+
+
+_RATES = "strategy, total, strict_hits, union_hits, round(recall, 6) AS recall, round(precision, 6) AS precision, round(union_recall, 6) AS union_recall, chunks, avg_chars, min_chars, max_chars, ends_punct, punct_share, coverage"
+_REPORT = cs.query(
+    _report([_DOCS, *cs.fixed("f", "src", 150), *cs.sentence("s", "src", 150, 30), *cs.recursive("r", "src", 150, 30)], {"f": "fixed-window", "s": "sentence", "r": "recursive"}, _QUESTIONS, 3),
+    f"SELECT {_RATES}, misses_md5, 3 AS k FROM recalls3 JOIN shapes USING (strategy) LEFT JOIN missed3 USING (strategy)",
+)
+
+
+def _values(rows: list[tuple]) -> str:
+    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+_MINI_QUESTIONS = "(SELECT a.doc_id, q_idx, q, gold, text AS whole FROM mini_asked a JOIN src USING (doc_id))"
+_MINI = cs.query(
+    _report(
+        [
+            f"src(doc_id, text) AS ({_values([(d, t) for d, _, t, _ in corpus_rows()])})",
+            f"mini_asked(doc_id, q_idx, q, gold) AS ({_values([(d, k, q, g) for d, _, _, pairs in corpus_rows() for k, (q, g) in enumerate(pairs)])})",
+            *cs.fixed("f", "src", 150), *cs.sentence("s", "src", 150, 30), *cs.token("t", "src", 150, 30), *cs.recursive("r", "src", 150, 30), *cs.semantic("m", "src", 150, 50, overlap=30),
+        ],
+        {"f": "fixed-window", "s": "sentence", "t": "token", "r": "recursive", "m": "semantic-hash-toy"}, _MINI_QUESTIONS, 1,
+    )
+    + _at(3),
+    " UNION ALL ".join(f"SELECT {_RATES}, {k} AS k FROM recalls{k} JOIN shapes USING (strategy)" for k in (1, 3)),
 )
 
 _VECTOR_RANKED = [
@@ -217,6 +247,7 @@ ORACLES = {
         _shape(f"({_together({'f': 'fixed-window', 's': 'sentence', 't': 'token', 'r': 'recursive', 'm': 'semantic-hash-toy'})})"),
     ),
     "run_report": _REPORT,
+    "zh_mini_report": _MINI,
     "retrieval_interaction": f"""WITH {_BM25}, {", ".join(_VECTOR_RANKED)}
       SELECT 'fixed-window' AS strategy, (SELECT count(*) FILTER (relevant > 0) / count(*) FROM {_facts(1)}) AS bm25, (SELECT count(*) FILTER (relevant > 0) / count(*) FROM {_facts(1, "nearest")}) AS vector""",
     "parent_child_report": cs.query(

@@ -13,7 +13,7 @@ import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 Post = Callable[[str, dict[str, str], dict], dict]
 
@@ -44,19 +44,29 @@ def key_from(given: str | None, variable: str | None) -> str:
 
 @dataclass(frozen=True)
 class EmbeddingClient:
-    """``client(texts)`` gives one vector per text, in order."""
+    """``client(texts)`` gives one vector per text, in order; ``extra`` fields go with every request."""
 
     endpoint: str
     model: str
     key: str
     batch_size: int = 16
     post: Post = HttpPost()
+    extra: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        for name in ("endpoint", "model", "key"):
+            if not getattr(self, name):
+                raise ValueError(f"{name} must not be empty")
+        if self.batch_size < 1:
+            raise ValueError(f"batch_size must be 1 or more, not {self.batch_size}")
+        if clash := {"model", "input"} & set(self.extra):
+            raise ValueError(f"extra must not set {', '.join(sorted(clash))}")
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out: list[list[float]] = []
         for s in range(0, len(texts), self.batch_size):
             part = texts[s : s + self.batch_size]
-            answer = self.post(f"{self.endpoint.rstrip('/')}/embeddings", {"Authorization": f"Bearer {self.key}"}, {"model": self.model, "input": part})
+            answer = self.post(f"{self.endpoint.rstrip('/')}/embeddings", {"Authorization": f"Bearer {self.key}"}, {**self.extra, "model": self.model, "input": part})
             try:
                 rows = sorted(answer["data"], key=lambda r: r["index"])
                 vectors = [[float(x) for x in r["embedding"]] for r in rows]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.__main__ import main
 from spanloom.operators.jobs import JudgeConfig, run_judging, run_questions, summarize
-from spanloom.operators.judging import build_pairs, judge_live
+from spanloom.operators.judging import build_pairs, judge_live, within_cost
 from spanloom.operators.strategies import chunk_documents
 from spanloom.sources import files as fl
 from spanloom.sources.clients import ChatClient, ChatJudge, ChatQuestions, EmbeddingClient, ServiceError, first_json, key_from
@@ -71,6 +73,20 @@ def test_embedding_client_orders_and_checks():
         EmbeddingClient("u", "m", "k", 9, lambda *a: {})(["a"])
 
 
+def test_embedding_client_arguments():
+    seen = []
+
+    def post(url, headers, body):
+        seen.append(body)
+        return {"data": [{"index": i, "embedding": [1.0]} for i in range(len(body["input"]))]}
+
+    client = EmbeddingClient("http://h", "m", "k", 2, post, {"dimensions": 8})
+    assert client(["a", "b", "c"]) == [[1.0]] * 3 and [b["dimensions"] for b in seen] == [8, 8] and seen[0]["model"] == "m"
+    for bad in ({"endpoint": ""}, {"model": ""}, {"key": ""}, {"batch_size": 0}, {"extra": {"input": []}}):
+        with pytest.raises(ValueError):
+            EmbeddingClient(**({"endpoint": "e", "model": "m", "key": "k"} | bad))
+
+
 def test_embedded_column(spark):
     df = spark.createDataFrame([("ab",), (None,), ("c",)], "text string")
     assert [r["embedding"] for r in fl.embedded(df, lambda ts: [[float(len(t))] for t in ts], batch_size=1).collect()] == [[2.0], None, [1.0]]
@@ -126,6 +142,48 @@ def test_live_judging_records_errors_and_retries_them_when_asked(spark, pairs, t
     assert run_judging(pairs, path, JudgeConfig(**config, retry_errors=True)).skipped == 2
 
 
+def test_a_lost_run_loses_one_batch_at_most(spark, tmp_path):
+    pairs = build_pairs(
+        spark.createDataFrame([("s", f"d{i}", 0, f"chunk {i}") for i in range(40)], "strategy string, doc_id string, seq int, text string"),
+        spark.createDataFrame([(f"d{i}", 0, "what") for i in range(40)], "doc_id string, q_idx int, q string"),
+    )
+    path, calls = str(tmp_path / "state"), tmp_path / "calls"
+
+    def judge(question, chunk):
+        with calls.open("a") as out:
+            out.write(chunk + "\n")
+        if len(calls.read_text().splitlines()) > 20 and not (tmp_path / "well").exists():
+            os._exit(1)
+        return 4, "ok"
+
+    config = JudgeConfig(judge=judge, batch_size=8)
+    with pytest.raises(Exception):  # noqa: B017
+        run_judging(pairs.coalesce(1), path, config)
+    kept = fl.read_state(spark, path).count()
+    assert 8 <= kept <= 20
+    (tmp_path / "well").touch()
+    calls.write_text("")
+    stats = run_judging(pairs.coalesce(1), path, config)
+    assert (stats.total, stats.skipped, stats.judged, stats.errors) == (40, kept, 40 - kept, 0)
+    assert len(calls.read_text().splitlines()) == 40 - kept
+    r = fl.read_state(spark, path).first()
+    assert r["schema"] == 1 and r["strategy"] == "s" and r["question"] == "what" and r["q_idx"] == 0
+    assert not [p for p in os.listdir(tmp_path) if ".plan-" in p]
+
+
+def test_the_cap_is_by_key_whatever_the_ranges(spark):
+    rows = [(f"k{i:03d}", "x" * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, chunk_text string").repartition(5)
+    for partitions in (1, 3, 64):
+        got = sorted(r["key"] for r in within_cost(df, 3.0, 0.1, 0.0, partitions).collect())
+        total, want = 0.0, []
+        for k, t in rows:
+            total += round((100 + (math.ceil(len(t) / 4) + 1 if t else 0)) / 1000 * 0.1, 4)
+            if round(total, 9) <= 3.0:
+                want.append(k)
+        assert got == want
+
+
 def test_live_judging_stops_before_the_cap(pairs, tmp_path):
     stats = run_judging(pairs, str(tmp_path / "cap"), JudgeConfig(judge=lambda q, c: (3, ""), max_cost=0.25, price_in=1.0, price_out=0.0))
     assert stats.judged == 2 and stats.cost_capped and stats.notes and stats.est_cost <= 0.25

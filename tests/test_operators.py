@@ -21,6 +21,7 @@ from spanloom.operators import reports as rp
 from spanloom.operators import retrieval as rt
 from spanloom.operators import spans as sp
 from spanloom.operators import strategies as st
+from spanloom.sources.corpus import zh_mini
 
 DOCS = [
     ("a", "山路很长。清晨有雾，费用是40元。\n\n山顶风大；云在脚下。", [("费用多少", "费用是40元"), ("哪里有风", "山顶风大")]),
@@ -173,6 +174,48 @@ def test_embedding_topk_of_many_equal_vectors(spark):
     assert got == {q: [i for i in range(q % 5, n, 5) if i != q][:4] for q in range(0, n, 9)}
 
 
+def test_many_queries_meet_the_vectors_on_a_grid(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in (rng.normal(size=8) if i % 3 else [1.0] * 8)]) for i in rng.permutation(300)] + [(999, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 5 = 0")
+    key = lambda r: (r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9))
+    one = sorted(map(key, rt.embedding_topk(df, asked, 4).collect()))
+    assert one == sorted(map(key, rt.embedding_topk(df, asked, 4, most_queries=20).collect())) and len(one) == 4 * asked.count()
+    assert rt.embedding_topk(df, asked.limit(0), 4).count() == 0
+
+
+def test_the_first_chunk_with_the_gold(spark):
+    chunks = spark.createDataFrame([("s", 1, 0, "甲乙"), ("s", 1, 1, "乙丙丁"), ("s", 1, 2, "丙丁"), ("t", 1, 0, "丙丁戊")], "strategy string, doc_id long, seq int, text string")
+    asked = spark.createDataFrame([(1, 0, "丙丁"), (1, 1, "没有")], "doc_id long, q_idx int, gold string")
+    assert sorted(map(tuple, rt.find_gold_chunk(chunks, asked).collect())) == [("s", 1, 0, 1), ("t", 1, 0, 0)]
+
+
+def test_bm25_of_chunks_and_questions_without_terms(spark):
+    chunks = spark.createDataFrame([("s", 1, 0, ""), ("s", 1, 1, "!!"), ("s", 1, 2, "red fox"), ("s", 1, 3, None), ("s", 2, 0, "red")], "strategy string, doc_id long, seq int, text string")
+    asked = spark.createDataFrame([(1, 0, "red"), (1, 1, "?"), (3, 0, "red")], "doc_id long, q_idx int, q string")
+    rows = rt.bm25_topk(chunks, asked, 3).collect()
+    assert [(r["doc_id"], r["q_idx"], r["seq"]) for r in rows] == [(1, 0, 2)]
+    # Four chunks of two terms in all: the average counts those without terms.
+    idf = math.log((4 - 1 + 0.5) / (1 + 0.5) + 1)
+    assert rows[0]["score"] == pytest.approx(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1)))
+
+
+def test_our_own_corpus_is_sound(spark):
+    docs, asked = zh_mini(spark)
+    rows = docs.join(asked, "doc_id").collect()
+    assert docs.count() == 25 and len(rows) == 75 and all(r["gold"] in r["text"] and len(r["text"]) >= 250 for r in rows)
+    assert len({(r["doc_id"], r["q"]) for r in rows}) == 75
+    chunks = rp.strategy_chunks(docs, 150, 30)
+    recall = {r["strategy"]: r["recall"] for r in rp.run_report(chunks, docs, asked, 3).collect()}
+    assert set(recall) == set(rp.NAMED) and all(v > 0.9 for v in recall.values())
+
+
+def test_times_and_shares(spark, docs):
+    rows = {r["strategy"]: r for r in rp.compare_texts(docs, 40, 4).collect()}
+    assert set(rows) == set(rp.NAMED) and all(r["time_ms"] > 0 and r["punct_share"] == round(r["ends_punct"] / r["chunks"], 3) for r in rows.values())
+
+
 def test_shapes_and_medians(spark):
     rows = [("s", "x", i, 0, n, "，" * n if i == 2 else "甲" * (n - 1) + "。") for i, n in enumerate([5, 1, 3, 9])]
     chunks = spark.createDataFrame(rows, "strategy string, doc_id string, seq int, start int, end int, text string").withColumn("meta", F.struct(F.lit(0).alias("overlap_chars")))
@@ -228,6 +271,13 @@ def test_sql_functions(spark, docs):
     want = st.chunk_documents(docs, "sentence", max_chars=12).orderBy("doc_id", "seq").collect()
     assert [(r["doc_id"], r["start"], r["end"], r["text"]) for r in rows] == [(r["doc_id"], r["start"], r["end"], r["text"]) for r in want]
     assert spark.sql("SELECT token_count('你好 hello！') AS n, end_rule('甲。乙', 2) AS r").first() == (7, "sentence")
+    texts = ["", "a", "甲。乙", "甲。\n乙", "甲\n\n乙", "甲，" + " " * 80 + "\n乙", "x.\u3000\r\ny", "…!…", "「甲」\n", None]
+    spark.createDataFrame([(t, e) for t in texts for e in [*range(0, 1 + min(8, len(t or ""))), len(t or "") - 1, None]], "t string, e int").createOrReplaceTempView("test_ends")
+    for r in spark.sql("SELECT t, e, end_rule(t, e) AS r, token_count(t) AS n FROM test_ends").collect():
+        assert r["r"] == (None if r["t"] is None or r["e"] is None else sp.end_rule(r["t"], r["e"])), r
+        assert r["n"] == (None if r["t"] is None else count_chars(r["t"]))
+    plan = spark.sql("SELECT end_rule(t, e), token_count(t) FROM test_ends")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
     assert spark.sql("SELECT count(*) AS n FROM sections('# a\nb\n# c\n')").first()["n"] == 2
     assert spark.sql("SELECT count(*) AS n FROM sentences('甲。乙。')").first()["n"] == 2
 
