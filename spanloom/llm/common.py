@@ -151,8 +151,8 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     """Connected components of ``edges`` (a, b): one row (node, component) per node
     of an edge, ``component`` being the smallest node of its component.
 
-    Every round each node takes its smallest neighbour as parent, two rounds of
-    pointer doubling shorten the chains, and the edges are rewritten between
+    Every round each node takes its smallest neighbour as parent, a round of
+    pointer doubling shortens the chains, and the edges are rewritten between
     parents and made distinct, so the graph shrinks geometrically. All steps are
     joins and min-aggregates (which combine before the shuffle); neither an edge
     list nor a component is ever gathered in one task or on the driver.
@@ -170,12 +170,10 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         ends = work.select(F.col("a").alias("node"), F.col("b").alias("near")).union(
             work.select(F.col("b").alias("node"), F.col("b").alias("near"))
         )
-        parent = scratch.put(ends.groupBy("node").agg(F.min("near").alias("parent")))
-        for _ in range(2):
-            up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-            shorter = scratch.put(parent.join(up, "parent").select("node", F.col("root").alias("parent")))
-            scratch.drop(parent)
-            parent = shorter
+        nearest = scratch.put(ends.groupBy("node").agg(F.min("near").alias("parent")))
+        up = nearest.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        parent = scratch.put(nearest.join(up, "parent").select("node", F.col("root").alias("parent")))
+        scratch.drop(nearest)
         pa = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         pb = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         smaller = scratch.put(

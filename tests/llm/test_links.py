@@ -168,6 +168,21 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {k: v for k, v in want.items() if k != 950}
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from spanloom.llm.common import shared_dir
+
+    def session(master, configured):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured), sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "hdfs://store/shared/")) == "hdfs://store/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            shared_dir(session(master, None))
+
+
 def test_bounded_samples_are_stable(spark):
     df = spark.range(5000)
     a = {r["id"] for r in hash_fraction(df, df["id"], 200).collect()}
