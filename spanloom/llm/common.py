@@ -151,9 +151,10 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     """Connected components of ``edges`` (a, b): one row (node, component) per node
     of an edge, ``component`` being the smallest node of its component.
 
-    Every round each node takes its smallest neighbour as parent, a round of
-    pointer doubling shortens the chains, and the edges are rewritten between
-    parents and made distinct, so the graph shrinks geometrically. All steps are
+    Every round each node takes its smallest neighbour as parent (its own if none
+    is smaller), pointer doubling goes on until every node points to its tree's
+    root, which takes the logarithm of the longest chain, and the edges are
+    rewritten between roots and made distinct, until none is left. All steps are
     joins and min-aggregates (which combine before the shuffle); neither an edge
     list nor a component is ever gathered in one task or on the driver.
     """
@@ -170,10 +171,16 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         ends = work.select(F.col("a").alias("node"), F.col("b").alias("near")).union(
             work.select(F.col("b").alias("node"), F.col("b").alias("near"))
         )
-        nearest = scratch.put(ends.groupBy("node").agg(F.min("near").alias("parent")))
-        up = nearest.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-        parent = scratch.put(nearest.join(up, "parent").select("node", F.col("root").alias("parent")))
-        scratch.drop(nearest)
+        table = scratch.put(ends.groupBy("node").agg(F.min("near").alias("parent")))
+        while True:
+            parent = table.select("node", "parent")
+            up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+            shorter = scratch.put(parent.join(up, "parent").select("node", F.col("root").alias("parent"), (F.col("root") != F.col("parent")).alias("moved")))
+            scratch.drop(table)
+            table = shorter
+            if table.where("moved").isEmpty():
+                break
+        parent = table.select("node", "parent")
         pa = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         pb = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         smaller = scratch.put(
@@ -188,7 +195,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
                 "node", F.coalesce("parent", "component").alias("component")
             )
         )
-        scratch.drop(work, labels, parent)
+        scratch.drop(work, labels, table)
         work, labels = smaller, relabelled
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -160,7 +160,7 @@ def test_exact_links_span_the_same_components():
 
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(8)
-    links = [(i, i + 1) for i in range(1, 200)] + [(500, x) for x in range(501, 560)] + [(rng.randrange(700, 900), rng.randrange(700, 900)) for _ in range(150)] + [(950, 950)]
+    links = [(i, i + 1) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 3000)] + [(500, x) for x in range(501, 560)] + [(rng.randrange(700, 900), rng.randrange(700, 900)) for _ in range(150)] + [(950, 950)]
     rng.shuffle(links)
     want = roots({x for link in links for x in link}, links)
     df = spark.createDataFrame([*links, (None, 3), (4, None)], "a bigint, b bigint")
