@@ -429,3 +429,21 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return minhash_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+one AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM sets),
+size AS (SELECT doc_id, len(s) AS n FROM sets),
+met AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM one p JOIN one q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY ALL),
+half AS MATERIALIZED (
+  SELECT a, b FROM met JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * met.n >= 85 * (p.n + q.n - met.n)),
+link AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+small AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(small.b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(small.b, doc_id)) AS kept
+FROM sets LEFT JOIN small ON small.a = doc_id
+"""

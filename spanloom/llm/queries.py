@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .langid import op7_language_id
-from .minhash import op2_minhash_dedup
+from .minhash import OP2_SQL, op2_minhash_dedup
 from .packing import op3_packing
 from .quality import op5_quality
 from .secrets import op4_secrets
 from .tokenfile import op10_token_file
 from .toxicity import op9_toxicity
-from .urlfilter import op6_url_filter
+from .urlfilter import OP6_SQL, op6_url_filter
 from .vectordedup import OP1_SQL, op1_embedding_dedup
 
 QUERIES = {
@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": OP1_SQL,
+    "op2_minhash_dedup": OP2_SQL,
+    "op6_url_filter": OP6_SQL,
     "op8_decontaminate": OP8_SQL,
 }

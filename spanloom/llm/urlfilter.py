@@ -154,3 +154,37 @@ def filter_urls(
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: Every combination of a page's unsure tokens is listed and counted, which its dozen tokens allow.
+OP6_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(h) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut)),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+    list_sort(list_distinct(list_filter(list_concat(list_transform(string_split(host, '.'), lambda x: 'h:' || x),
+      list_transform(list_filter(regexp_split_to_array(path, '[/.]'), lambda x: NOT regexp_matches(x, '^[0-9]*$')), lambda x: 'p:' || x)), lambda x: length(x) > 2))) AS tokens FROM split),
+judged AS MATERIALIZED (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS verdict FROM ruled),
+labelled AS MATERIALIZED (SELECT row_number() OVER () AS id, tokens, verdict, count(*) AS w FROM judged WHERE verdict IS NOT NULL AND len(tokens) > 0 GROUP BY tokens, verdict),
+size AS (SELECT sum(w) AS total, greatest(5, ceil(0.002 * sum(w))) AS needed FROM labelled),
+token AS (SELECT t, verdict, sum(w) AS hits, sum(sum(w)) OVER (PARTITION BY t) AS n FROM (SELECT unnest(tokens) AS t, verdict, w FROM labelled) GROUP BY t, verdict),
+telling AS MATERIALIZED (SELECT [t] AS items, verdict, hits / n AS confidence, hits / total AS support FROM token, size WHERE hits >= needed AND hits / n >= 0.9),
+unsure AS (SELECT list(DISTINCT t) AS ts FROM token, size WHERE n >= needed AND t NOT IN (SELECT items[1] FROM telling)),
+basket AS MATERIALIZED (SELECT id, verdict, w, list_filter(tokens, lambda x: list_contains(ts, x)) AS items FROM labelled, unsure),
+part(id, last, items) AS (
+  SELECT id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM basket
+  UNION ALL
+  SELECT id, j, list_append(items, b_items[j]) FROM (SELECT p.id, p.items, b.items AS b_items, unnest(range(p.last + 1, len(b.items) + 1)) AS j FROM part p JOIN basket b USING (id))),
+several AS (SELECT p.items, b.verdict, sum(b.w) AS hits, sum(sum(b.w)) OVER (PARTITION BY p.items) AS n FROM part p JOIN basket b USING (id) WHERE len(p.items) > 1 GROUP BY p.items, b.verdict),
+rules AS MATERIALIZED (SELECT * FROM telling UNION ALL SELECT items, verdict, hits / n, hits / total FROM several, size WHERE hits >= needed AND hits / n >= 0.9),
+open AS (SELECT DISTINCT tokens FROM judged WHERE verdict IS NULL),
+best AS (SELECT tokens, max(struct_pack(c := confidence, s := support, b := CAST(r.verdict = 'block' AS INT), v := r.verdict)).v AS mined FROM open JOIN rules r ON list_has_all(tokens, items) GROUP BY tokens)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, mined, 'allow') AS verdict FROM judged LEFT JOIN best USING (tokens)
+"""
