@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.counters import token_count
+from ..functions.sql import register
 from ..functions.text import end_rule_column, hashed_vector
+from ..operators import jobs
 from ..operators import judging as jd
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..operators import strategies as st
+from ..sources import files as fl
 from ..sources.corpus import zh_mini
+from ..streaming.chunks import chunk_stream, write_chunks
+from ..workspace import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -256,7 +261,60 @@ def qa_validate(spark, sf_dir):
     return jd.qa_validate(good.unionByName(again).unionByName(wrong), d)[1]
 
 
+def chunks_jsonl(spark, sf_dir):
+    """Chunks written as JSON lines and read again."""
+    path = fresh_path(spark)
+    fl.write_jsonl(windows(spark, sf_dir, 200, 20), path)
+    return digest(fl.read_chunks(spark, path, "bigint"))
+
+
+def judge_state(spark, sf_dir):
+    """Two runs against one state, the second of which does what the first left."""
+    pairs, path = _pairs(spark, sf_dir), fresh_path(spark)
+    jobs.run_judging(pairs.where("chunk_seq % 2 = 0"), path)
+    jobs.run_judging(pairs, path)
+    return jobs.summarize(spark, path)
+
+
+def qa_state(spark, sf_dir):
+    """Two runs again; one record a document."""
+    d, path = cjk(spark, sf_dir), fresh_path(spark)
+    jobs.run_questions(d.where("doc_id % 2 = 0"), path)
+    jobs.run_questions(d, path)
+    state = fl.read_state(spark, path, fl.QA_STATE, "doc_id")
+    return state.select("doc_id", "stats.raw", "stats.kept", "stats.dropped_bad_gold", "stats.dropped_dupe", F.size("pairs").alias("pairs"))
+
+
+def split_text_adapter(spark, sf_dir):
+    parts = st.split_text(F.col("text"), "recursive", max_chars=400, overlap_chars=0)
+    d = docs(spark, sf_dir).where("length(text) > 0").select("doc_id", parts.alias("parts"))
+    return d.select("doc_id", F.size("parts").alias("parts"), F.md5(F.array_join("parts", "\x01")).alias("parts_md5"))
+
+
+def sql_chunks(spark, sf_dir):
+    register(spark)
+    docs(spark, sf_dir).createOrReplaceTempView("spanloom_documents")
+    return spark.sql("""SELECT d.doc_id, c.seq, c.start AS start_pos, c.`end` AS end_pos, md5(c.text) AS text_md5, token_count(c.text) AS tokens, end_rule(d.text, c.`end`) AS end_rule
+      FROM spanloom_documents d, LATERAL chunks(d.text, 'sentence', 120, 0) AS c""")
+
+
+def stream_chunks(spark, sf_dir):
+    """The documents as a stream, chunked into a table."""
+    whole = table(spark, sf_dir, "documents")
+    # As a pattern, the path may be of one file or of a folder of them.
+    stream = spark.readStream.schema(whole.schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text")
+    path = fresh_path(spark)
+    write_chunks(chunk_stream(stream, "recursive", max_chars=400, overlap_chars=50), f"{path}/chunks", f"{path}/progress").awaitTermination()
+    return digest(spark.read.parquet(f"{path}/chunks"))
+
+
 QUERIES = {
+    "chunks_jsonl": chunks_jsonl,
+    "judge_state": judge_state,
+    "qa_state": qa_state,
+    "split_text_adapter": split_text_adapter,
+    "sql_chunks": sql_chunks,
+    "stream_chunks": stream_chunks,
     "fixed_window_chunks": lambda s, d: digest(windows(s, d, 200, 20)),
     "sentence_spans": lambda s, d: digest(st.sentence_documents(docs(s, d))),
     "sentence_spans_cjk": lambda s, d: digest(st.sentence_documents(cjk(s, d))),

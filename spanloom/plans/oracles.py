@@ -216,6 +216,16 @@ _QA = f"""SELECT doc_id, CAST(j AS INT) AS pos, fit[1 + j * step] AS gold FROM (
       FROM {CJK_VIEW} v) WHERE len(fit) > 0))"""
 
 ORACLES = {
+    "chunks_jsonl": f"SELECT doc_id, seq, s AS start_pos, e AS end_pos, md5(t) AS text_md5 FROM {_windows(200, 20)}",
+    "judge_state": f"SELECT 'fixed-window' AS strategy, count(*) AS n, CAST(0 AS BIGINT) AS errors, round(avg({_SCORE}), 3) AS mean_score FROM {_PAIRS}",
+    "qa_state": f"""SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, CAST(count(gold) AS INT) AS raw, CAST(count(DISTINCT substring(gold, 1, 10)) AS INT) AS kept, CAST(0 AS INT) AS dropped_bad_gold,
+      CAST(count(gold) - count(DISTINCT substring(gold, 1, 10)) AS INT) AS dropped_dupe, CAST(count(DISTINCT substring(gold, 1, 10)) AS INT) AS pairs FROM documents d LEFT JOIN ({_QA}) q ON q.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "split_text_adapter": cs.query([_DOCS, *cs.recursive("c", "src", 400)], f"SELECT doc_id, CAST(count(*) AS INT) AS parts, md5(string_agg(t, chr(1) ORDER BY seq)) AS parts_md5 FROM {cs.texts('c', 'src')} GROUP BY doc_id"),
+    "sql_chunks": cs.query(
+        [_DOCS, *cs.sentence("c", "src", 120)],
+        f"SELECT doc_id, seq, CAST(s AS INT) AS start_pos, CAST(e AS INT) AS end_pos, md5(t) AS text_md5, {_tokens('t')} AS tokens, end_rule FROM {cs.texts('c', 'src')} x JOIN {cs.rules('c', 'src')} r USING (doc_id, seq, s, e)",
+    ),
+    "stream_chunks": cs.query([_DOCS, *cs.recursive("c", "src", 400, 50)], cs.digest("c", "src")),
     "fixed_window_chunks": f"SELECT doc_id, seq, s AS start_pos, e AS end_pos, md5(t) AS text_md5 FROM {_windows(200, 20)}",
     "sentence_spans": _tile_digest(_DOCS),
     "sentence_spans_cjk": _tile_digest(_CJK_DOCS),
