@@ -5,36 +5,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..workspace import delete_path, fresh_path
+
 #: Bytes of a batch on its way to a Python worker, where the session sets none: a batch of
 #: ten thousand long texts would be held several times over by the executor and its worker.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none and runs in one process (as tests do), a
-    local one is chosen; on a cluster that would lose rows, so it is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(f"file://{tempfile.gettempdir()}/checkpoints")
-    return context.getCheckpointDir().rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no rerun.
 
@@ -44,12 +27,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/spanloom-{uuid.uuid4().hex}"
+        self.base = fresh_path(spark)
         self._n = 0
         if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1)):
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
     def put(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -105,12 +86,6 @@ def give_back() -> None:
         return
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

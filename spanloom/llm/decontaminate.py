@@ -12,12 +12,13 @@ so with words ordered by their corpus frequency a prefix of one word is enough:
 4. What is left is verified word by word.
 
 Candidates are proposed with full lower-casing (a superset, which neither makes
-nor breaks words) and verified with A-Z lower-casing alone, as defined. Texts
-are cut into blocks of words that overlap by a window, so that a candidate is
-verified from the block it is found in and a long text costs no more a word than
-a short one. Keys are broadcast only while their number is below
-``broadcast_rows``; beyond it they are joined by shuffle and verified in a
-second join by block.
+nor breaks words) and verified with A-Z lower-casing alone, as defined. Up to
+``literal_keys`` keys are part of the plan: a text's words are filtered by them
+before any becomes a row, and what does carries the words around it to be
+verified by. Up to ``broadcast_rows`` they are broadcast: texts are cut into
+blocks of words that overlap by a window, and a candidate is verified from its
+block, so that a long text costs no more a word than a short one. Beyond, keys
+are joined by shuffle and verified in a second join by block.
 
 A row is known by its id and the SHA-256 of its text: rows that share both have
 the same hits, rows that share an id alone (or have none) have their own.
@@ -85,11 +86,30 @@ def text_blocks(docs: DataFrame, width: int, core: int = 64) -> DataFrame:
     return words.select("doc", "digest", F.explode(blocks).alias("b")).select("doc", "digest", "b.base", "b.lead", "b.block")
 
 
-def window_hits(docs: DataFrame, windows: DataFrame, scratch: Scratch, broadcast_rows: int, width: int, core: int = 64) -> DataFrame:
+def word_hits(docs: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """doc, digest, base, lead, pos, key, block: each word that is a key, with the words around it."""
+    around = width - 1
+    words = docs.select("doc", "digest", words_of(F.col("text")).alias("words"))
+    hit = lambda w, i: F.when(
+        F.lower(w).isin(keys),
+        F.struct(
+            i.alias("base"), F.least(i, F.lit(around)).alias("lead"), F.lower(w).alias("key"),
+            F.array_join(F.slice("words", F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + width), " ").alias("block"),
+        ),
+    )
+    hits = words.select("doc", "digest", F.filter(F.transform("words", hit), lambda x: x.isNotNull()).alias("hits"))
+    return hits.select("doc", "digest", F.explode("hits").alias("h")).select("doc", "digest", "h.base", "h.lead", F.col("h.lead").alias("pos"), "h.key", "h.block")
+
+
+def window_hits(docs: DataFrame, windows: DataFrame, scratch: Scratch, broadcast_rows: int, width: int, core: int = 64, literal_keys: int = 10_000) -> DataFrame:
     """doc, digest, start (from 0), n, window: every occurrence of a window in a document."""
     keys = scratch.put(window_keys(docs, windows, broadcast_rows))
     starts = keys.groupBy("key").agg(F.collect_list(F.struct("place", "n", "window")).alias("ways"))
-    few = keys.count() <= broadcast_rows
+    n = keys.count()
+    if n <= min(literal_keys, broadcast_rows):
+        wanted = sorted(r["key"] for r in keys.select("key").distinct().collect())
+        return _verified(word_hits(docs, wanted, width).join(F.broadcast(starts), "key"))
+    few = n <= broadcast_rows
     blocks = text_blocks(docs, width, core)
     rows = ["doc", "digest", "base", "lead"] + ["block"] * few
     at = blocks.select(*rows, F.posexplode(F.split(F.lower("block"), " ")).alias("pos", "key"))
@@ -99,6 +119,11 @@ def window_hits(docs: DataFrame, windows: DataFrame, scratch: Scratch, broadcast
         own = blocks.select(F.col("doc").alias("own"), F.col("digest").alias("own_digest"), F.col("base").alias("own_base"), "block")
         own = own.dropDuplicates(["own", "own_digest", "own_base"])
         at = at.join(own, F.col("doc").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("own_digest")) & (F.col("base") == F.col("own_base")))
+    return _verified(at)
+
+
+def _verified(at: DataFrame) -> DataFrame:
+    """Of candidates (a key at ``pos`` of a block that begins ``lead`` words before ``base``, and its ways), the windows that are there."""
     at = at.select("doc", "digest", "base", "lead", "pos", "ways", F.split(lowered(F.col("block")), " ").alias("words"))
     fits = F.filter(
         "ways",

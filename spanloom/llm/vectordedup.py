@@ -13,9 +13,9 @@ Pairs leave a tile in runs of at most ``PAIRS``. The bound is exact for any
 orthogonal axes, so these may be fitted to a bounded sample (``axes_sample``).
 
 Equal vectors form one class with a weight, so copies never meet each other.
-Blocks are ranges of the first principal coordinate; two blocks meet only if their
-ranges are near enough (|a1 - b1| <= sqrt(2 - 2 threshold)), and a task holds two
-blocks at a time. Vectors that point everywhere alike are within reach of every
+Blocks are ranges of the first principal coordinate (or parts of one that many
+vectors share); two blocks meet only if their ranges are near enough
+(|a1 - b1| <= sqrt(2 - 2 threshold)), and a task holds two blocks at a time. Vectors that point everywhere alike are within reach of every
 block, so each is copied once for every ``BLOCK_ROWS`` vectors there are.
 A task passes on, for each vector, the summed weight of its links, and the
 spanning forest of the links: no pair list leaves it.
@@ -29,6 +29,8 @@ with a null id links with nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,14 +160,20 @@ def embedding_dedup(
     below = lambda x: F.size(F.filter(marks, lambda m: m <= x))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     placed = classes.withColumn("first", F.when(F.size("embedding") == width, first).otherwise(F.lit(0.0)))
-    placed = placed.withColumn("block", below(F.col("first")))
-    # Blocks are ranges, so a vector meets those from its own reach down to its reach up.
+    placed = placed.withColumn("range", below(F.col("first")))
+    # A range of one coordinate may hold far more than its share, if many vectors have the same: it becomes several blocks.
+    held = {r["range"]: r["n"] for r in placed.groupBy("range").agg(F.count("*").alias("n")).collect()}
+    most = min(BLOCK_ROWS, max(LEAST_ROWS, 2 * -(-n // blocks)))
+    begin = [0, *accumulate(max(1, -(-held.get(b, 0) // most)) for b in range(blocks))]
+    block_of = lambda r: F.element_at(F.array(*map(F.lit, begin)), r + 1)
+    own = block_of(F.col("range"))
+    placed = placed.withColumn("block", (own + F.pmod(F.xxhash64("rep"), block_of(F.col("range") + 1) - own)).cast("int"))
+    # A vector meets the blocks of all ranges from its reach down to its reach up.
     near = F.transform(
-        F.sequence(below(F.col("first") - reach), below(F.col("first") + reach)),
+        F.sequence(block_of(below(F.col("first") - reach)), block_of(below(F.col("first") + reach) + 1) - 1),
         lambda x: F.struct(F.least(x, F.col("block")).alias("bi"), F.greatest(x, F.col("block")).alias("bj"), F.when(F.col("block") <= x, 0).otherwise(1).alias("side")),
     )
-    if width and blocks == 1:
-        near = F.array(F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side")))
+    blocks = begin[-1]
     narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # as they came, half as wide
     carried = F.col("embedding").cast("array<float>") if narrow else F.col("embedding")
     dealt = placed.select("rep", "weight", carried.alias("embedding"), F.size("embedding").alias("d"), F.explode(near).alias("p"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -168,21 +169,6 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {k: v for k, v in want.items() if k != 950}
 
 
-def test_a_cluster_must_name_a_shared_folder():
-    from types import SimpleNamespace
-
-    from spanloom.llm.common import shared_dir
-
-    def session(master, configured):
-        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured), sparkContext=context)
-
-    assert shared_dir(session("spark://host:7077", "hdfs://store/shared/")) == "hdfs://store/shared"
-    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
-        with pytest.raises(ValueError, match="share"):
-            shared_dir(session(master, None))
-
-
 def test_bounded_samples_are_stable(spark):
     df = spark.range(5000)
     a = {r["id"] for r in hash_fraction(df, df["id"], 200).collect()}
@@ -233,6 +219,24 @@ def test_vectors_none_or_all_alike(spark):
     assert len(same) == 51 and {(r["n_links"], r["component_id"]) for r in same if r["vec_id"]} == {(49, 1)}
 
 
+def test_many_vectors_of_one_first_coordinate(spark, monkeypatch):
+    """Half of all vectors share the leading coordinate: their range is cut into blocks, and no link is lost."""
+    from spanloom.llm import vectordedup
+
+    monkeypatch.setattr(vectordedup, "BLOCK_ROWS", 25)
+    rng = np.random.default_rng(4)
+    flat = np.column_stack([np.zeros(90), rng.normal(size=(90, 3))])
+    wide = np.column_stack([rng.choice([-9.0, 9.0], 90), rng.normal(size=(90, 3))])
+    x = np.concatenate([flat, wide])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(i, j) for i, j in combinations(range(180), 2) if unit[i] @ unit[j] >= 0.9]
+    want = roots(range(180), links)
+    degree = Counter(i for link in links for i in link)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup(df).collect()}
+    assert got == {i: (degree[i], want[i]) for i in range(180)} and len(links) > 50
+
+
 def test_no_pair_at_the_threshold_is_lost_to_the_bounds():
     x = vectors(6, 200, 16)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -298,15 +302,15 @@ def test_rows_that_share_an_id_have_their_own_hits(spark, limit):
     assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == sorted(str((d, t)) for d, t in docs if leak not in (t or ""))
 
 
-@pytest.mark.parametrize("core", [1, 7, 64])
-def test_windows_across_blocks_are_found(spark, core):
+@pytest.mark.parametrize(("core", "literal"), [(1, 0), (7, 0), (64, 0), (64, 10_000)])
+def test_windows_across_blocks_are_found(spark, core, literal):
     rng = random.Random(core)
     words = ["aa", "bb", "cc", "dd"]
     docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 64, 130, 200])))) for i in range(12)]
     items = [(i, " ".join(rng.choice(words) for _ in range(6))) for i in range(6)]
     table = _keyed(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text")
     windows = _windows(spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text", 6)
-    got = sorted((r["doc"], r["start"]) for r in window_hits(table, windows, Scratch(spark), 1000, 6, core).distinct().collect())
+    got = sorted((r["doc"], r["start"]) for r in window_hits(table, windows, Scratch(spark), 1000, 6, core, literal).distinct().collect())
     wanted = {tuple(t.split()) for _, t in items}
     assert got == sorted((d, i) for d, t in docs for w in [t.split()] for i in range(len(w) - 5) if tuple(w[i : i + 6]) in wanted)
 
