@@ -83,16 +83,25 @@ def hashed_vector(text: Column, dim: int = 96) -> Column:
     return F.when(text.isNotNull(), vector)
 
 
-@functools.lru_cache(1 << 16)
-def _bucket(trigram: str, dim: int) -> int:
-    return zlib.crc32(trigram.encode()) % dim
+@functools.lru_cache(1 << 18)
+def _checksum(trigram: int) -> int:
+    """crc32 of three characters, whose code points are 21 bits each of the number."""
+    return zlib.crc32("".join(chr(trigram >> k & 0x1FFFFF) for k in (42, 21, 0)).encode())
 
 
 def hashed_vectors(texts: list[str], dim: int = 96) -> np.ndarray:
-    """:func:`hashed_vector` for a list of texts, as a chunking strategy's embedder: one row a text."""
+    """:func:`hashed_vector` for a list of texts, as a chunking strategy's embedder: one row a text.
+
+    The texts' trigrams are numbered all at once, and each distinct one is hashed once.
+    """
     flat = [t.replace("\n", "") for t in texts]
-    cells = [i * dim + _bucket(t[k : k + 3], dim) for i, t in enumerate(flat) for k in range(len(t) - 2)]
-    counts = np.bincount(np.array(cells, np.int64), minlength=len(texts) * dim).reshape(-1, dim).astype(float)
+    points = np.frombuffer("".join(flat).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in flat], np.int64)
+    owner = np.repeat(np.arange(len(flat)), sizes)
+    whole = np.flatnonzero(owner[:-2] == owner[2:]) if len(points) > 2 else np.zeros(0, np.int64)
+    distinct, which = np.unique(points[whole] << 42 | points[whole + 1] << 21 | points[whole + 2], return_inverse=True)
+    bucket = np.fromiter(map(_checksum, distinct.tolist()), np.int64, len(distinct)) % dim
+    counts = np.bincount(owner[whole] * dim + bucket[which], minlength=len(texts) * dim).reshape(-1, dim).astype(float)
     norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))
     return counts / np.where(norm > 0, norm, 1)[:, None]
 

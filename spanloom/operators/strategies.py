@@ -49,8 +49,10 @@ _ARROW_META = pa.struct([
 ])
 
 
-@dataclass
+@dataclass(slots=True)
 class Piece:
+    """All pieces that a splitter gives for one text have the same fields in ``meta``."""
+
     start: int
     end: int
     meta: dict[str, Any] = field(default_factory=dict)
@@ -233,16 +235,22 @@ def _fixed(df: DataFrame, id_col: str, text_col: str, max_chars: int, overlap_ch
     return cut.select(id_col, "seq", start.alias("start"), end.alias("end"), F.substring("_source", start + 1, end - start).alias("text"), F.lit("fixed-window").alias("strategy"), meta.alias("meta"))
 
 
+def _meta_column(name: str, kind: pa.DataType, rows: list[tuple[int, str, Piece]]) -> pa.Array:
+    """One field of all pieces' meta; fields that a strategy does not produce are null throughout."""
+    return pa.array([p.meta.get(name) for _, _, p in rows], kind) if name in rows[0][2].meta else pa.nulls(len(rows), kind)
+
+
 def _emit(batch: pa.RecordBatch, keep: list[int], rows: list[tuple[int, str, Piece]], name: str, ids: str) -> pa.RecordBatch:
     take = batch.column(0).take(pa.array(keep, pa.int64()))
+    meta = [_meta_column(f.name, f.type, rows) for f in _ARROW_META] if rows else [pa.nulls(0, f.type) for f in _ARROW_META]
     columns = [
         take,
         pa.array([n for n, _, _ in rows], pa.int32()),
         pa.array([p.start for _, _, p in rows], pa.int32()),
         pa.array([p.end for _, _, p in rows], pa.int32()),
         pa.array([t[p.start : p.end] for _, t, p in rows], pa.string()),
-        pa.array([name] * len(rows), pa.string()),
-        pa.array([p.meta for _, _, p in rows], _ARROW_META),
+        pa.repeat(pa.scalar(name), len(rows)),
+        pa.StructArray.from_arrays(meta, fields=list(_ARROW_META)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[ids, *(f.name for f in CHUNK_FIELDS)])
 
