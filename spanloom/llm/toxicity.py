@@ -13,7 +13,7 @@ marks or near a verb of saying it is quotation (``QUOTED``), beside a
 second-person word it is abuse (``AIMED``). A misspelling that clean training
 documents use themselves is no hit; for beginnings, that is any word with the
 same misspelled beginning. Terms of five or more letters allow an edit, those of
-ten or more two. Where letters and digits stand together, the whole run is a
+twelve or more two. Where letters and digits stand together, the whole run is a
 word besides its letters, so a digit in place of a letter is an edit. A logistic regression over the summed
 weights of exact, misspelled and beginning hits gives the score.
 
@@ -343,7 +343,7 @@ def _runs(texts: list[str], most: int = 1 << 20):
         yield run
 
 
-def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3, edit_from: tuple[int, ...] = (5, 10)) -> ToxicityModel:
+def learn(rows: list[tuple[int, str, int]], chance: float = 1e-5, least: int = 3, edit_from: tuple[int, ...] = (5, 12)) -> ToxicityModel:
     """Lexicon, innocent words and weights from (id, text, toxic) rows."""
     toxic_n = sum(y for _, _, y in rows)
     if not rows or not toxic_n or toxic_n == len(rows):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import langid, quality, secrets, toxicity, urlfilter
 from spanloom.llm.common import labelled_sample
+from spanloom.llm.textbytes import byte_view
 
 SF = "/root/testdata/sf0.01"
 
@@ -151,6 +152,29 @@ def test_quality_scores_equal_the_model_by_hand():
         assert math.isclose(s, 1 / (1 + math.exp(-(float(model.table[index].astype(float) @ share) + model.bias))), rel_tol=1e-6)
 
 
+def test_quality_features_are_words_pairs_and_grams_of_words():
+    """Counted by hand: as many as there are, equal ones in one bucket, none across words or texts."""
+    np.seterr(over="ignore")
+    p = quality.QualityParams(bits=24, grams=(3, 5))
+    texts = ["Ein Fluß fließt", "", "ab  ab\tab\n", "日本語 x", "a", "  ", "naïve naïve cafés 😀😀😀"]
+    data, at = byte_view(pa.array(texts, pa.large_string()))
+    found = quality.features(data, at, p)
+
+    def by_hand(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        pairs = [(a, b) if a != b else "same" for a, b in zip(words, words[1:], strict=False)]
+        return [words, pairs, *([f" {w} "[i : i + n] for w in words for i in range(len(w) + 3 - n)] for n in p.grams)]
+
+    names: list[dict] = [{}, {}, {}, {}]
+    for i, t in enumerate(texts):
+        for kind, (want, (bucket, begin)) in enumerate(zip(by_hand(t), found, strict=True)):
+            got = bucket[begin[i] : begin[i + 1]].tolist()
+            assert len(got) == len(want) and all(names[kind].setdefault(w, b) == b for w, b in zip(want, got, strict=True)), (t, kind)
+    for kind in names:
+        assert len(set(kind.values())) == len(kind)
+    assert sum(len(b) for b, _ in found) == sum(len(x) for t in texts for x in by_hand(t))
+
+
 def test_quality_without_two_labels():
     p = quality.QualityParams(bits=8)
     assert quality.score_column(pa.array(["x"]), quality.train([], p)).tolist() == [0.5]
@@ -350,7 +374,7 @@ def test_learned_beginnings_hit_misspelled():
     word = lambda: "".join(rng.choice("aeioustnrl") for _ in range(6))
     rows = [(i, " ".join([word(), word(), "grobnak" * (i < 200) + word(), word(), word()]), int(i < 200)) for i in range(1000)]
     model = toxicity.learn(rows)
-    assert model.terms and all(b and 5 <= len(t) < 10 and n == 1 for t, b, n in model.terms)
+    assert model.terms and all(b and 5 <= len(t) < 12 and n == 1 for t, b, n in model.terms)
     exact, near, clean = toxicity.Scanner(model).scores(["aa grobnaktiro ee", "aa gr0bnaktiro ee", "aa tironaksolu ee"])
     assert exact > near > 0.5 > clean
     # A near beginning that clean documents use is innocent with any ending.
