@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
@@ -98,6 +99,30 @@ def strip_wrapper(text, begin: str = r"\*\*\* START[^\n]*\n", end: str = r"\*\*\
     return F.btrim(F.element_at(F.split(body, end, 2), 1), F.lit(" \n\r\t"))
 
 
+def _get(url: str) -> bytes:
+    with urllib.request.urlopen(url, timeout=60) as answer:
+        return answer.read()
+
+
+def fetch_text(spark: SparkSession, url: str, path: str, get: Callable[[str], bytes] = _get, again: bool = False) -> DataFrame:
+    """The text at ``url`` as a table of one row (path, id, title, text), without its wrapper.
+
+    It is fetched once, by the driver, and kept at ``path`` of any Hadoop file
+    system; a file that is there is read as it is unless ``again``.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if again or not store.exists(at):
+        body = get(url)
+        body.decode("utf-8")  # what is no text fails before anything is written
+        out = store.create(at, True)
+        try:
+            out.write(bytearray(body))
+        finally:
+            out.close()
+    return read_texts(spark, path).withColumn("text", strip_wrapper(F.col("text")))
+
+
 def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "text", to: str = "embedding", batch_size: int = 16) -> DataFrame:
     """``df`` with vectors from a client that takes a list of texts, ``batch_size`` at a time.
 

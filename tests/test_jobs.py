@@ -57,6 +57,24 @@ def test_wrappers_are_stripped(spark):
     assert [r[0] for r in df.select(fl.strip_wrapper(F.col("t"))).collect()] == ["body", "no wrapper", "only"]
 
 
+def test_texts_are_fetched_once(spark, tmp_path):
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return "header\n*** START of it\n山路很长。\n第二行\n*** END of it\nlicence".encode()
+
+    path = f"file://{tmp_path}/novel.txt"
+    for _ in range(2):
+        assert [tuple(r) for r in fl.fetch_text(spark, "http://h/novel", path, get).select("id", "text").collect()] == [("novel", "山路很长。\n第二行")]
+    assert asked == ["http://h/novel"]
+    fl.fetch_text(spark, "http://h/novel", path, get, again=True)
+    assert len(asked) == 2
+    with pytest.raises(UnicodeDecodeError):
+        fl.fetch_text(spark, "http://h/other", f"file://{tmp_path}/other.txt", lambda url: b"\xff\xfe")
+    assert not (tmp_path / "other.txt").exists()
+
+
 def test_embedding_client_orders_and_checks():
     calls = []
 
