@@ -224,15 +224,18 @@ def fixed_window_spans(text: Column, max_chars: int, overlap_chars: int = 0) ->
 def _fixed(df: DataFrame, id_col: str, text_col: str, max_chars: int, overlap_chars: int) -> DataFrame:
     if max_chars < 1:
         raise ValueError(f"max_chars must be >= 1, not {max_chars}")
-    text = F.col(text_col)
-    cut = df.select(F.col(id_col), text.alias("_source"), F.posexplode(fixed_window_spans(text, max_chars, overlap_chars)).alias("seq", "_span"))
+    text, step = F.col(text_col), max(1, max_chars - overlap_chars)
+    # One pass over the text: at every step, what a window sees ahead. Windows beyond the first that reaches the end go.
+    ahead = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{max_chars}}})).{{1,{step}}}"), F.lit(1))
+    many = F.greatest(F.lit(0), F.ceil((F.length(text) - max_chars) / step)).cast("int") + 1
+    cut = df.select(F.col(id_col), F.posexplode(F.when(F.length(text) > 0, F.slice(ahead, 1, many))).alias("seq", "_window"))
     null = lambda kind: F.lit(None).cast(kind)
     meta = F.struct(
         F.when(F.col("seq") > 0, overlap_chars).otherwise(0).cast("int").alias("overlap_chars"), null("array<string>").alias("headings"), null("int").alias("parent_seq"),
         null("array<int>").alias("child_seqs"), null("string").alias("end_rule"), null("string").alias("start_rule"),
     )
-    start, end = F.col("_span.start"), F.col("_span.end")
-    return cut.select(id_col, "seq", start.alias("start"), end.alias("end"), F.substring("_source", start + 1, end - start).alias("text"), F.lit("fixed-window").alias("strategy"), meta.alias("meta"))
+    start = F.col("seq") * step
+    return cut.select(id_col, "seq", start.alias("start"), (start + F.length("_window")).alias("end"), F.col("_window").alias("text"), F.lit("fixed-window").alias("strategy"), meta.alias("meta"))
 
 
 def _meta_column(name: str, kind: pa.DataType, rows: list[tuple[int, str, Piece]]) -> pa.Array:

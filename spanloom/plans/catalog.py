@@ -110,8 +110,9 @@ def vector_topk(spark, sf_dir):
 
 
 def explain_rules(spark, sf_dir):
-    cut = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(st.fixed_window_spans(F.col("text"), 200)).alias("seq", "span"))
-    return cut.select("doc_id", "seq", end_rule_column(F.col("text"), F.col("span.end")).alias("end_rule"))
+    # The rules are found beside the text, so that no window has a copy of it.
+    rules = F.transform(st.fixed_window_spans(F.col("text"), 200), lambda w: end_rule_column(F.col("text"), w["end"]))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(rules).alias("seq", "end_rule"))
 
 
 def rule_distribution(spark, sf_dir):
