@@ -117,23 +117,23 @@ def calibration(docs: DataFrame, reference: str, text_col: str = "text") -> Data
     return docs.where(F.col(text_col).isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.avg(error), F.lit(0.0)).alias("mean_error"), F.coalesce(F.max(error), F.lit(0.0)).alias("max_error"))
 
 
-def run_report(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+def run_report(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", strategies: list[str] | None = None) -> DataFrame:
     """Recall and shape of every strategy, with the questions it misses."""
-    facts = question_facts(chunks, docs, questions, k, id_col)
+    facts = question_facts(chunks, docs, questions, k, id_col, strategies=strategies)
     missed = facts.where("NOT strict AND NOT union").groupBy("strategy").agg(F.array_sort(F.collect_list(F.concat_ws("|", F.col(id_col).cast("string"), "q"))).alias("misses"))
     return recall_at_k(facts, k).join(compare_strategies(chunks, docs, id_col), "strategy").join(missed, "strategy", "left").withColumn("k", F.lit(k))
 
 
-def retrieval_interaction(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+def retrieval_interaction(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", strategies: list[str] | None = None) -> DataFrame:
     """strategy, recall by BM25, recall by hashed vectors."""
-    by = {name: recall_at_k(question_facts(chunks, docs, questions, k, id_col, top=top), k).select("strategy", F.col("recall").alias(name)) for name, top in (("bm25", bm25_topk(chunks, questions, k, id_col)), ("vector", vector_topk(chunks, questions, k, id_col)))}
+    by = {name: recall_at_k(question_facts(chunks, docs, questions, k, id_col, top=top, strategies=strategies), k).select("strategy", F.col("recall").alias(name)) for name, top in (("bm25", bm25_topk(chunks, questions, k, id_col)), ("vector", vector_topk(chunks, questions, k, id_col)))}
     return by["bm25"].join(by["vector"], "strategy")
 
 
 def parent_child_report(docs: DataFrame, questions: DataFrame, k: int, parent_max: int = 600, child_max: int = 150, overlap: int = 30, id_col: str = "doc_id") -> DataFrame:
     """k, flat recall, parent recall, numbers of parents and children."""
     parents, children = family_documents(docs, id_col, parent_max=parent_max, child_max=child_max, child_overlap=overlap)
-    flat = recall_at_k(question_facts(chunk_documents(docs, "recursive", id_col, max_chars=child_max, overlap_chars=overlap), docs, questions, k, id_col), k)
+    flat = recall_at_k(question_facts(chunk_documents(docs, "recursive", id_col, max_chars=child_max, overlap_chars=overlap), docs, questions, k, id_col, strategies=["recursive"]), k)
     out = parent_recall(parents, children, docs, questions, k, id_col).select("k", F.col("recall").alias("parent_recall"))
     counts = parents.agg(F.count("*").alias("parents")).crossJoin(children.agg(F.count("*").alias("children")))
     return out.crossJoin(flat.select(F.col("recall").alias("flat_recall"))).crossJoin(counts)
@@ -153,10 +153,10 @@ def full_report(docs: DataFrame, questions: DataFrame, max_chars: int, overlap_c
     out = ["# Retrieval report\n", "## Strategies\n\n" + as_markdown(compare_texts(docs, max_chars, overlap_chars, id_col=id_col).orderBy("strategy"))]
     for k in ks:
         columns = ["strategy", "recall", "precision", "union_recall", "strict_hits", "union_hits", "total", "chunks", "avg_chars", "max_chars", "ends_punct", "punct_share"]
-        out.append(f"## k = {k}\n\n" + as_markdown(run_report(chunks, docs, questions, k, id_col).orderBy("strategy"), columns))
-        out.append(f"### Missed at k = {k}\n\n" + as_markdown(failures(question_facts(chunks, docs, questions, k, id_col), id_col=id_col).orderBy("strategy", id_col, "q")))
+        out.append(f"## k = {k}\n\n" + as_markdown(run_report(chunks, docs, questions, k, id_col, NAMED).orderBy("strategy"), columns))
+        out.append(f"### Missed at k = {k}\n\n" + as_markdown(failures(question_facts(chunks, docs, questions, k, id_col, strategies=NAMED), id_col=id_col).orderBy("strategy", id_col, "q")))
     out.append("## Parents and children\n\n" + "\n".join(as_markdown(parent_child_report(docs, questions, k, id_col=id_col)) for k in ks))
-    out.append("## Retrievers\n\n" + as_markdown(retrieval_interaction(chunks, docs, questions, ks[0], id_col).orderBy("strategy")))
+    out.append("## Retrievers\n\n" + as_markdown(retrieval_interaction(chunks, docs, questions, ks[0], id_col, NAMED).orderBy("strategy")))
     words = docs.withColumn("words", F.size(F.split("text", " ")))
     out.append("## Character counter against words\n\n" + as_markdown(calibration(words, "words")))
     return "\n".join(out)

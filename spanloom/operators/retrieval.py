@@ -41,15 +41,19 @@ def bm25_topk(chunks: DataFrame, questions: DataFrame, k: int = 3, id_col: str =
     """strategy, id, q_idx, seq, score, rank of the best ``k`` chunks with a positive score."""
     asked = questions.select(id_col, "q_idx", F.explode(retrieval_tokens(F.col("q"))).alias("term"))
     asked = asked.groupBy(id_col, "q_idx", "term").agg(F.count("*").alias("times"))
-    # A chunk is tokenised once: its length goes with each of its terms, and with none that chunks without terms have one row too.
-    tokens = chunks.join(asked.select(id_col).distinct(), id_col, "left_semi").select("strategy", id_col, "seq", retrieval_tokens(F.col("text")).alias("tokens"))
+    # A chunk is tokenised once. Its length goes with each of its terms that the document is asked about, and
+    # with an empty one that every chunk has, so that counts over a document see all of its chunks.
+    wanted = asked.select(id_col, "term").distinct().unionByName(asked.select(id_col).distinct().withColumn("term", F.lit("")))
+    tokens = chunks.select("strategy", id_col, "seq", retrieval_tokens(F.col("text")).alias("tokens"))
     terms = tokens.select("strategy", id_col, "seq", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
-    counted = terms.groupBy("strategy", id_col, "seq", "dl", "term").agg(F.count("*").alias("tf"))
-    lengths = counted.where("term = ''").select("strategy", id_col, "seq", "dl")
-    tf = counted.where("term <> ''").join(asked.select(id_col, "term").distinct(), [id_col, "term"], "left_semi")
-    hit = asked.join(tf, [id_col, "term"]).join(bm25_idf(tf, lengths, id_col), ["strategy", id_col, "term"])
-    f = F.col("tf")
-    part = F.col("times") * F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1.0))))
+    tf = terms.join(wanted, [id_col, "term"], "left_semi").groupBy("strategy", id_col, "seq", "dl", "term").agg(F.count("*").alias("tf"))
+    of_doc, of_term = Window.partitionBy("strategy", id_col), Window.partitionBy("strategy", id_col, "term")
+    is_chunk = F.col("term") == ""
+    tf = tf.withColumns({"n_chunks": F.count_if(is_chunk).over(of_doc), "avg_len": F.avg(F.when(is_chunk, F.col("dl"))).over(of_doc), "df": F.count("*").over(of_term)})
+    hit = tf.where(~is_chunk).join(asked, [id_col, "term"])
+    f, n, df = F.col("tf"), F.col("n_chunks"), F.col("df")
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    part = F.col("times") * idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1.0))))
     scored = hit.groupBy("strategy", id_col, "q_idx", "seq").agg(F.sum(part).alias("score")).where("score > 0")
     return _top(scored, id_col, k)
 
@@ -154,20 +158,28 @@ def find_gold_chunk(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_
     return gold_chunks(chunks, questions, id_col).groupBy("strategy", id_col, "q_idx").agg(F.min("seq").alias("seq"))
 
 
-def question_facts(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", top: DataFrame | None = None) -> DataFrame:
-    """Per strategy and question: strict, union, relevant (gold chunks among the top), q."""
+def question_facts(
+    chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", top: DataFrame | None = None, strategies: list[str] | None = None
+) -> DataFrame:
+    """Per strategy and question: strict, union, relevant (gold chunks among the top), q.
+
+    A strategy none of whose chunks is found counts too; ``strategies`` names them,
+    else a pass over the chunks finds out.
+    """
     top = bm25_topk(chunks, questions, k, id_col) if top is None else top
-    gold = gold_chunks(chunks, questions, id_col).withColumn("is_gold", F.lit(1))
     placed = questions.join(docs.select(id_col, F.col(text_col).alias("_t")), id_col).select(id_col, "q_idx", "q", "gold", (F.instr("_t", F.col("gold")) - 1).alias("pos"))
-    spans = top.join(chunks.select("strategy", id_col, "seq", "start", "end"), ["strategy", id_col, "seq"]).join(gold, ["strategy", id_col, "q_idx", "seq"], "left")
-    asked = placed.crossJoin(F.broadcast(chunks.select("strategy").distinct()))
+    # Whether a chunk holds the gold is asked of the best ones only.
+    spans = top.select("strategy", id_col, "q_idx", "seq").join(chunks.select("strategy", id_col, "seq", "start", "end", F.col("text").alias("_chunk")), ["strategy", id_col, "seq"])
+    if strategies is None:
+        strategies = sorted(r["strategy"] for r in chunks.select("strategy").distinct().collect())
+    asked = placed.withColumn("strategy", F.explode(F.array(*map(F.lit, strategies)).cast("array<string>")))
     facts = asked.join(spans, ["strategy", id_col, "q_idx"], "left")
     g_end = F.col("pos") + F.length("gold")
     found = F.col("pos") >= 0
     return (
         facts.groupBy("strategy", id_col, "q_idx", "q")
         .agg(
-            F.coalesce(F.sum(F.when(found, F.col("is_gold"))), F.lit(0)).alias("relevant"),
+            F.count_if(found & (F.length("gold") > 0) & F.contains("_chunk", F.col("gold"))).alias("relevant"),
             F.max(F.coalesce(found & (F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end")), F.lit(False))).alias("starts"),
             F.max(F.coalesce(found & (F.col("start") < g_end) & (g_end <= F.col("end")), F.lit(False))).alias("ends"),
         )

@@ -144,7 +144,7 @@ def gold_chunks(spark, sf_dir):
 
 def _facts(spark, sf_dir, k):
     d = docs(spark, sf_dir)
-    return rt.question_facts(windows(spark, sf_dir), d, questions(d), k)
+    return rt.question_facts(windows(spark, sf_dir), d, questions(d), k, strategies=["fixed-window"])
 
 
 def _recall(k):
@@ -176,7 +176,8 @@ def fixed_window_compare(spark, sf_dir):
 
 def run_report(spark, sf_dir):
     d = docs(spark, sf_dir)
-    r = rp.run_report(rp.strategy_chunks(d, 150, 30, names=["fixed-window", "sentence", "recursive"]), d, questions(d), 3)
+    names = ["fixed-window", "sentence", "recursive"]
+    r = rp.run_report(rp.strategy_chunks(d, 150, 30, names=names), d, questions(d), 3, strategies=names)
     rounded = {c: F.round(c, 6) for c in ("recall", "precision", "union_recall")}
     return r.withColumns(rounded).withColumn("misses_md5", F.md5(F.array_join("misses", ","))).drop("misses")
 
@@ -185,13 +186,13 @@ def zh_mini_report(spark, sf_dir):
     """Our own evaluation corpus, not the driver's tables: every strategy at the sizes that are compared."""
     d, asked = zh_mini(spark)
     chunks = rp.strategy_chunks(d, 150, 30)
-    parts = [rp.run_report(chunks, d, asked, k).drop("misses") for k in (1, 3)]
+    parts = [rp.run_report(chunks, d, asked, k, strategies=rp.NAMED).drop("misses") for k in (1, 3)]
     return parts[0].unionByName(parts[1]).withColumns({c: F.round(c, 6) for c in ("recall", "precision", "union_recall")})
 
 
 def retrieval_interaction(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return rp.retrieval_interaction(windows(spark, sf_dir), d, questions(d), 1)
+    return rp.retrieval_interaction(windows(spark, sf_dir), d, questions(d), 1, strategies=["fixed-window"])
 
 
 def parent_child_report(spark, sf_dir):
