@@ -1,8 +1,8 @@
 """Token-id files: one zstandard frame per document, one shared dictionary.
 
-Each text is encoded and compressed where it is read; only the frames are
-range-partitioned and sorted by id. Every partition is a shard, a run of blocks;
-a block is a row of the written table:
+Documents are range-partitioned and sorted by id, then encoded: compressed texts
+are narrower than frames of single documents. Every partition is a shard, a run
+of blocks; a block is a row of the written table:
 
     shard, block, dict_hash (sha256 of the dictionary), base (ids in the shard
     before the block), ids (ids in the block), first_doc, last_doc,
@@ -17,7 +17,7 @@ dictionary (trained on about ``sample`` documents, chosen by a hash of the id)
 lies beside them, and a reader refuses blocks of another dictionary.
 
 Defined results: a null or empty text is the end id alone; rows with equal ids
-stand in the order of their frames' hashes; null ids come first; other columns are ignored.
+keep their order by text hash; null ids come first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,25 +54,15 @@ def _narrow(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
-def _framer(path: str, dictionary: bytes, width: int, end_id: int, level: int):
+def _writer(path: str, dictionary: bytes, width: int, end_id: int, level: int, block_bytes: int, block_docs: int):
+    digest = hashlib.sha256(dictionary).hexdigest()
+
     def run(batches):
         import zstandard
+        from pyspark import TaskContext
 
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for some in encoded(encoder, batch, end):
-                frames = [press.compress(_narrow(ids, width)) for _, ids in some]
-                columns = [pa.array([d for d, _ in some], pa.int64()), pa.array([len(ids) // 4 for _, ids in some], pa.int32()), pa.array(frames, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "frame"])
-
-    return run
-
-
-def _writer(digest: str, width: int, block_bytes: int, block_docs: int):
-    def run(batches):
-        from pyspark import TaskContext
-
         shard, block, base = TaskContext.get().partitionId(), 0, 0
         docs, counts, frames, held = [], [], [], 0
 
@@ -83,16 +73,16 @@ def _writer(digest: str, width: int, block_bytes: int, block_docs: int):
             types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
-        for batch in batches:
-            for doc, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs.append(doc)
-                counts.append(n)
-                frames.append(frame)
-                held += len(frame)
-                if held >= block_bytes or len(docs) >= block_docs:
-                    yield row()
-                    block, base = block + 1, base + sum(counts)
-                    docs, counts, frames, held = [], [], [], 0
+        for doc, ids in (x for batch in batches for some in encoded(encoder, batch, end) for x in some):
+            frame = press.compress(_narrow(ids, width))
+            docs.append(doc)
+            counts.append(len(ids) // 4)
+            frames.append(frame)
+            held += len(frame)
+            if held >= block_bytes or len(docs) >= block_docs:
+                yield row()
+                block, base = block + 1, base + sum(counts)
+                docs, counts, frames, held = [], [], [], 0
         if docs:
             yield row()
 
@@ -121,13 +111,10 @@ def write_token_file(
     dictionary = train_dictionary([_narrow(encoder.encode(r["text"]), width) for r in chosen.collect()])
     rows = [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), width, end_id)]
     spark.createDataFrame(rows, "dict_hash string, dictionary binary, width int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
-    scratch = Scratch(spark)
-    frames = scratch.put(source.mapInArrow(tidy(_framer(tokenizer, dictionary, width, end_id, level), "encoder"), "doc bigint, n int, frame binary"))
-    order = [F.col("doc"), F.xxhash64("frame")]
-    digest = hashlib.sha256(dictionary).hexdigest()
-    blocks = frames.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_writer(digest, width, block_bytes, block_docs)), BLOCK)
+    order = [F.col("doc"), F.xxhash64("text")]
+    writer = _writer(tokenizer, dictionary, width, end_id, level, block_bytes, block_docs)
+    blocks = source.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(writer, "encoder"), BLOCK)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
-    scratch.drop(frames)
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
