@@ -215,7 +215,7 @@ def _pieces(data: np.ndarray, at: np.ndarray):
 
 
 def encoded(encoder: Encoder, batch, end: bytes):
-    """Lists of (id, ids + end), a row each of a batch of (id, text), for about 1 MB of text at a time."""
+    """Lists of (id, ids + end), a row each of a batch of (id, text), for a slice of the text at a time."""
     docs, column = batch.column(0), batch.column(1)
     for first, last in slices(column):
         yield [(doc, ids + end) for doc, ids in zip(docs[first:last].to_pylist(), encoder.encode_column(column[first:last]), strict=True)]

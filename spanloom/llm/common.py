@@ -15,7 +15,7 @@ from ..workspace import delete_path, fresh_path
 
 #: Bytes of a batch on its way to a Python worker, where the session sets none: a batch of
 #: ten thousand long texts would be held several times over by the executor and its worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 class Scratch:
@@ -63,6 +63,9 @@ def tidy(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Calla
     operators (all but ``keeps``) and in the end gives free memory back."""
 
     def tidied(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())  # what it frees, give_back can return
         if _held.get("key", (None,))[0] != keeps:
             _held.clear()
             give_back()
@@ -75,11 +78,8 @@ def tidy(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Calla
 
 
 def give_back() -> None:
-    """Return unused memory of Arrow's pool and the C library's to the system."""
-    import pyarrow as pa
-
+    """Return unused memory to the system."""
     gc.collect(0)
-    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc

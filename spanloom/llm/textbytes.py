@@ -36,10 +36,11 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 20):
+def slices(column: pa.Array, most_bytes: int = 1 << 19):
     """Row ranges of a column that hold about ``most_bytes`` of text each.
 
-    A single longer text forms a range of its own, so memory is bounded by the
+    What is worked out about a slice takes a few hundred bytes for each of its own
+    at most. A single longer text forms a range of its own, so memory is bounded by the
     longest text rather than by the batch.
     """
     _, at = byte_view(column)

@@ -330,7 +330,7 @@ def _witnesses(texts, words, begun):
     return seen, starts, endings
 
 
-def _runs(texts: list[str], most: int = 1 << 20):
+def _runs(texts: list[str], most: int = 1 << 19):
     """Consecutive texts of about ``most`` characters together."""
     run, held = [], 0
     for t in texts:
