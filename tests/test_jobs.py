@@ -270,6 +270,8 @@ def test_command_line(spark, folder, tmp_path, capsys):
     asked.write_text(json.dumps({"doc_id": "一", "q_idx": 0, "q": "费用", "gold": "费用是40元"}, ensure_ascii=False), encoding="utf-8")
     code, said = run("judge", folder, "--questions", asked, "--state", tmp_path / "js", "--max-chars", 40)
     assert code == 0 and '"errors": 0' in said.out
+    code, said = run("throughput", folder, "--max-chars", 40)
+    assert code == 0 and "mchars_per_s" in said.out and "text_end" in said.out, said.err
     code, said = run("qa", folder, "--state", tmp_path / "qs")
     assert code == 0 and '"total": 2' in said.out
     code, said = run("report", folder, "--questions", asked, "--out", tmp_path / "r" / "report.md", "-k", 1, "--max-chars", 40)
