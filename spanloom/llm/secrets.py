@@ -377,5 +377,7 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
     name = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(name, x["kind"] + 1), x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    # The lambda takes the element alone: a second parameter, default or not, would be its index.
+    of_kind = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return scanned.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -125,6 +126,19 @@ def test_scans_keep_base_spans_and_redact(spark):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_query_counts_spans_by_kind(spark, tmp_path):
+    # Kinds that stand in another order than their numbers, and several of one kind.
+    texts = [*TEXTS, "deadbeef" * 3 + " AKIA" + "Z9" * 10 + " token=abcdef99", "deadbeef" * 3, "AKIA" + "Z9" * 10 + " " + "AKIA" + "Y8" * 10, "token=abcdefgh secret=abcdefgh passwd=abcdefgh"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secrets.op4_secrets(spark, f"file://{tmp_path}").collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        spans = spans_by_hand(text or "")
+        told = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        want = [*(sum(k == kind for _, k, _ in spans) for kind in range(3)), hashlib.sha256(told.encode()).hexdigest()]
+        assert [got[i][c] for c in ("n_assign", "n_access", "n_hex", "base_sha256")] == want, text
+
+
 # --- quality ---------------------------------------------------------------
 
 def topic_rows(n=300, seed=2):
