@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Callable
 
@@ -53,6 +54,21 @@ def retrieval_tokens(text: Column) -> Column:
     return F.concat(latin, han, pairs)
 
 
+_LATIN = re.compile("[a-z0-9]{2,}")
+_HAN = re.compile("[\u4e00-\u9fff]+")
+
+
+def token_list(text: str) -> list[str]:
+    """:func:`retrieval_tokens` of one text."""
+    low = text.lower()
+    out = _LATIN.findall(low)
+    if not low.isascii():
+        runs = _HAN.findall(low)
+        out += [c for r in runs for c in r]
+        out += [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
+    return out
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two double arrays; 0 where one has no length."""
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
