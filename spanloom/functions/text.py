@@ -8,9 +8,11 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import small_batches
 from ..charsets import RULE_CLAUSE, RULE_SENTENCE, WS, char_class
 
 
@@ -76,27 +78,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, though ``body`` uses it many times."""
-    return F.transform(F.array(value), body)[0]
-
-
 def hashed_vector(text: Column, dim: int = 96) -> Column:
-    """L2-normalised counts of character trigrams by crc32 modulo ``dim``, newlines removed; null for null."""
+    """L2-normalised counts of character trigrams by crc32 modulo ``dim``, newlines removed; null for null.
+
+    Whole batches go through :func:`hashed_vectors`: as expressions, counting looked at
+    all trigrams of a text once for each cell.
+    """
     if dim < 8:
         raise ValueError("dim must be 8 or more")
-    trigram = lambda c, i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))
-    bucket = lambda c, i: (F.crc32(F.encode(trigram(c, i), "UTF-8")) % dim).cast("int")
-    none = F.array().cast("array<int>")
-    buckets = _bound(
-        F.split(F.regexp_replace(text, "\n", ""), ""),
-        lambda c: F.when(F.size(c) >= 3, F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: bucket(c, i))).otherwise(none),
-    )
-    cells = F.sequence(F.lit(0), F.lit(dim - 1))
-    counts = _bound(buckets, lambda b: F.transform(cells, lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double")))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    vector = _bound(counts, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
-    return F.when(text.isNotNull(), vector)
+    small_batches(SparkSession.getActiveSession())
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        vectors = hashed_vectors([t or "" for t in texts.to_pylist()], dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()), mask=texts.is_null())
+
+    return run(text)
 
 
 @functools.lru_cache(1 << 18)
@@ -105,21 +102,59 @@ def _checksum(trigram: int) -> int:
     return zlib.crc32("".join(chr(trigram >> k & 0x1FFFFF) for k in (42, 21, 0)).encode())
 
 
+#: crc32 of single bytes, from which that of three bytes follows.
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
+#: Characters of texts whose trigrams are worked out together.
+_TOGETHER = 1 << 18
+
+
 def hashed_vectors(texts: list[str], dim: int = 96) -> np.ndarray:
     """:func:`hashed_vector` for a list of texts, as a chunking strategy's embedder: one row a text.
 
-    The texts' trigrams are numbered all at once, and each distinct one is hashed once.
+    The texts' trigrams are numbered all at once, as far as memory for them is bounded.
     """
+    out = np.zeros((len(texts), dim))
     flat = [t.replace("\n", "") for t in texts]
-    points = np.frombuffer("".join(flat).encode("utf-32-le"), np.uint32).astype(np.int64)
-    sizes = np.array([len(t) for t in flat], np.int64)
-    owner = np.repeat(np.arange(len(flat)), sizes)
-    whole = np.flatnonzero(owner[:-2] == owner[2:]) if len(points) > 2 else np.zeros(0, np.int64)
-    distinct, which = np.unique(points[whole] << 42 | points[whole + 1] << 21 | points[whole + 2], return_inverse=True)
-    bucket = np.fromiter(map(_checksum, distinct.tolist()), np.int64, len(distinct)) % dim
-    counts = np.bincount(owner[whole] * dim + bucket[which], minlength=len(texts) * dim).reshape(-1, dim).astype(float)
-    norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))
-    return counts / np.where(norm > 0, norm, 1)[:, None]
+    first = held = 0
+    for i, t in enumerate(flat):
+        if held and held + len(t) > _TOGETHER:
+            _count_trigrams(flat[first:i], out[first:i], dim)
+            first, held = i, 0
+        held += len(t)
+    _count_trigrams(flat[first:], out[first:], dim)
+    norm = np.sqrt(np.einsum("ij,ij->i", out, out))
+    return np.divide(out, norm[:, None], out=out, where=norm[:, None] > 0)
+
+
+def _count_trigrams(flat: list[str], counts: np.ndarray, dim: int) -> None:
+    joined = "".join(flat)
+    if len(joined) < 3:
+        return
+    owner = np.repeat(np.arange(len(flat)), [len(t) for t in flat])
+    inner = owner[:-2] == owner[2:]
+    if joined.isascii():
+        points = np.frombuffer(joined.encode(), np.uint8)
+        bucket = _ascii_checksums(points) % np.uint32(dim)
+    else:
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        bucket = np.zeros(len(points) - 2, np.uint32)
+        wide = points > 0x7F
+        wide = wide[:-2] | wide[1:-1] | wide[2:]
+        bucket[:] = _ascii_checksums((points & 0x7F).astype(np.uint8)) % np.uint32(dim)
+        some = np.flatnonzero(wide & inner)
+        p = points.astype(np.int64)
+        distinct, which = np.unique(p[some] << 42 | p[some + 1] << 21 | p[some + 2], return_inverse=True)
+        bucket[some] = (np.fromiter(map(_checksum, distinct.tolist()), np.int64, len(distinct)) % dim)[which]
+    whole = np.flatnonzero(inner)
+    counts += np.bincount(owner[whole] * dim + bucket[whole], minlength=len(flat) * dim).reshape(-1, dim)
+
+
+def _ascii_checksums(points: np.ndarray) -> np.ndarray:
+    """crc32 of every three consecutive bytes."""
+    crc = np.full(len(points) - 2, 0xFFFFFFFF, np.uint32)
+    for k in range(3):
+        crc = _CRC[(crc & np.uint32(0xFF)) ^ points[k : len(points) - 2 + k]] ^ (crc >> np.uint32(8))
+    return crc ^ np.uint32(0xFFFFFFFF)
 
 
 Embedder = Callable[[list[str]], list[list[float]]]
