@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..batches import lean, small_batches
 from ..functions.text import cosine, hashed_vector, retrieval_tokens
 
 
@@ -66,6 +67,10 @@ def vector_topk(chunks: DataFrame, questions: DataFrame, k: int = 3, id_col: str
     return _top(scored.where("score > 0"), id_col, k)
 
 
+#: Scores that are held at a time.
+BLOCK_CELLS = 1 << 20
+
+
 def _nearest(q_ids, q, ids, x, k: int, id_col: str, block_rows: int):
     """Record batch of the best ``k`` rows ``ids`` of each query, in the final order (score to 9 places, then id)."""
     import numpy as np
@@ -76,12 +81,17 @@ def _nearest(q_ids, q, ids, x, k: int, id_col: str, block_rows: int):
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
     q, x = unit(q), unit(x)
     out: list[list] = [[], [], [], []]
+    # Several arrays of a block's scores stand at a time, so a block has few of them however many rows it meets.
+    block_rows = max(1, min(block_rows, BLOCK_CELLS // max(1, len(ids))))
     for s in range(0, len(q_ids), block_rows):
         score = q[s : s + block_rows] @ x.T
         place = np.round(score, 9)
         place[q_ids[s : s + block_rows, None] == ids] = -np.inf
-        best = np.argsort(-place, axis=1, kind="stable")[:, :k]
-        for i, row in enumerate(best):
+        # No row below the k-th greatest place is among the best; of those that tie with it the first are.
+        least = np.partition(place, -k, axis=1)[:, -k] if k < place.shape[1] else np.full(len(place), -np.inf)
+        for i in range(len(place)):
+            row = np.flatnonzero(place[i] >= least[i])
+            row = row[np.argsort(-place[i, row], kind="stable")][:k]
             row = row[place[i, row] > -np.inf]
             out[0] += [int(q_ids[s + i])] * len(row)
             out[1] += ids[row].tolist()
@@ -113,6 +123,7 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
     v = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("v"))
     schema = f"query_id bigint, {id_col} bigint, score double, place double"
+    small_batches(vectors.sparkSession)
     n = q.count()
     if n <= most_queries:
         asked = q.collect()
@@ -124,7 +135,7 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
                 if batch.num_rows and len(q_ids):
                     yield _nearest(q_ids, q_rows, batch.column(0).to_numpy(), _matrix(batch.column(1)), k, id_col, block_rows)
 
-        near = v.mapInArrow(run, schema)
+        near = v.mapInArrow(lean(run), schema)
     else:
         rows, columns = -(-n // most_queries), max(1, -(-v.count() // 50_000))
         cell = lambda df, key, own, other, a, b: df.withColumn(a, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
@@ -191,12 +202,17 @@ def question_facts(
 
 def recall_at_k(facts: DataFrame, k: int) -> DataFrame:
     """strategy, total, strict_hits, union_hits, recall, precision, union_recall."""
+    return facts.groupBy("strategy").agg(*recall_rates(k))
+
+
+def recall_rates(k: int) -> list[Column]:
+    """The aggregates of :func:`recall_at_k`."""
     total = F.greatest(F.lit(1), F.count("*"))
     strict, union = F.count_if("strict"), F.count_if("union")
-    return facts.groupBy("strategy").agg(
+    return [
         F.count("*").alias("total"), strict.alias("strict_hits"), union.alias("union_hits"), (strict / total).alias("recall"),
         (F.sum("relevant") / (total * k)).alias("precision"), ((strict + union) / total).alias("union_recall"),
-    )
+    ]
 
 
 def failures(facts: DataFrame, most: int = 8, id_col: str = "doc_id") -> DataFrame:
