@@ -3,21 +3,15 @@ remainders, bounded label samples and connected components."""
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..batches import give_back, small_batches
 from ..workspace import delete_path, fresh_path
 
-#: Bytes of a batch on its way to a Python worker, where the session sets none: a batch of
-#: ten thousand long texts would be held several times over by the executor and its worker.
-BATCH_BYTES = 4 << 20
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no rerun.
 
@@ -29,8 +23,7 @@ class Scratch:
         self.spark = spark
         self.base = fresh_path(spark)
         self._n = 0
-        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1)):
-            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        small_batches(spark)
 
     def put(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -77,15 +70,6 @@ def tidy(run: Callable[[Iterator], Iterator], keeps: str | None = None) -> Calla
     return tidied
 
 
-def give_back() -> None:
-    """Return unused memory to the system."""
-    gc.collect(0)
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not glibc
-        return
-
-
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

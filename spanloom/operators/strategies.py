@@ -17,12 +17,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..batches import lean, small_batches, text_slices
 from ..functions.counters import chars_for_tokens, get_counter
 from ..functions.text import hashed_vectors
 from . import spans as sp
@@ -221,21 +221,22 @@ def fixed_window_spans(text: Column, max_chars: int, overlap_chars: int = 0) ->
     return F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), F.least(s + max_chars, n).cast("int").alias("end")))
 
 
-def _fixed(df: DataFrame, id_col: str, text_col: str, max_chars: int, overlap_chars: int) -> DataFrame:
+def windows_with(df: DataFrame, keep: tuple[str, ...], max_chars: int, overlap_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fixed windows as ``chunk_documents`` gives them, with columns of the document to ``keep``."""
     if max_chars < 1:
         raise ValueError(f"max_chars must be >= 1, not {max_chars}")
     text, step = F.col(text_col), max(1, max_chars - overlap_chars)
     # One pass over the text: at every step, what a window sees ahead. Windows beyond the first that reaches the end go.
     ahead = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{max_chars}}})).{{1,{step}}}"), F.lit(1))
     many = F.greatest(F.lit(0), F.ceil((F.length(text) - max_chars) / step)).cast("int") + 1
-    cut = df.select(F.col(id_col), F.posexplode(F.when(F.length(text) > 0, F.slice(ahead, 1, many))).alias("seq", "_window"))
+    cut = df.select(F.col(id_col), *keep, F.posexplode(F.when(F.length(text) > 0, F.slice(ahead, 1, many))).alias("seq", "_window"))
     null = lambda kind: F.lit(None).cast(kind)
     meta = F.struct(
         F.when(F.col("seq") > 0, overlap_chars).otherwise(0).cast("int").alias("overlap_chars"), null("array<string>").alias("headings"), null("int").alias("parent_seq"),
         null("array<int>").alias("child_seqs"), null("string").alias("end_rule"), null("string").alias("start_rule"),
     )
     start = F.col("seq") * step
-    return cut.select(id_col, "seq", start.alias("start"), (start + F.length("_window")).alias("end"), F.col("_window").alias("text"), F.lit("fixed-window").alias("strategy"), meta.alias("meta"))
+    return cut.select(id_col, "seq", start.alias("start"), (start + F.length("_window")).alias("end"), F.col("_window").alias("text"), F.lit("fixed-window").alias("strategy"), meta.alias("meta"), *keep)
 
 
 def _meta_column(name: str, kind: pa.DataType, rows: list[tuple[int, str, Piece]]) -> pa.Array:
@@ -258,29 +259,29 @@ def _emit(batch: pa.RecordBatch, keep: list[int], rows: list[tuple[int, str, Pie
     return pa.RecordBatch.from_arrays(columns, names=[ids, *(f.name for f in CHUNK_FIELDS)])
 
 
-def _mapped(df: DataFrame, id_col: str, text_col: str, name: str, split: Splitter, most: int = 20_000) -> DataFrame:
+def _mapped(df: DataFrame, id_col: str, text_col: str, name: str, split: Splitter) -> DataFrame:
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep: list[int] = []
-            rows: list[tuple[int, str, Piece]] = []
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                for n, piece in enumerate(split(text) if text else ()):
-                    keep.append(i)
-                    rows.append((n, text, piece))
-                if len(rows) >= most:
-                    yield _emit(batch, keep, rows, name, id_col)
-                    keep, rows = [], []
-            yield _emit(batch, keep, rows, name, id_col)
+            for first, last in text_slices(batch.column(1)):
+                part = batch.slice(first, last - first)
+                keep: list[int] = []
+                rows: list[tuple[int, str, Piece]] = []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    for n, piece in enumerate(split(text) if text else ()):
+                        keep.append(i)
+                        rows.append((n, text, piece))
+                yield _emit(part, keep, rows, name, id_col)
 
     source = df.select(id_col, text_col)
-    return source.mapInArrow(run, StructType([source.schema[id_col], *CHUNK_FIELDS]))
+    return source.mapInArrow(lean(run), StructType([source.schema[id_col], *CHUNK_FIELDS]))
 
 
 def chunk_documents(df: DataFrame, strategy: str = "recursive", id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """Chunks of every document of ``df``; works on batch and streaming tables alike."""
     if strategy == "fixed-window":
-        return _fixed(df, id_col, text_col, params.get("max_chars", 500), params.get("overlap_chars", 0))
+        return windows_with(df, (), params.get("max_chars", 500), params.get("overlap_chars", 0), id_col, text_col)
     return _mapped(df, id_col, text_col, strategy, splitter(strategy, **params))
 
 
@@ -296,10 +297,13 @@ def family_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def split_text(text: Column, strategy: str = "recursive", **params) -> Column:
     """Chunk texts of a column as an array, for pipelines that want nothing else."""
     split = splitter(strategy, **params)
+    small_batches(SparkSession.getActiveSession())
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [t[p.start : p.end] for p in split(t)] if t else [])
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        # A slice's parts are Python objects, the batch's are bytes.
+        parts = [pa.array([[t[p.start : p.end] for p in split(t)] if t else [] for t in texts[a:b].to_pylist()], pa.list_(pa.string())) for a, b in text_slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     return run(text)
 
