@@ -77,13 +77,16 @@ def _batches(todo: DataFrame, state_path: str, key: str, size: int) -> Iterator[
 
 def run_judging(pairs: DataFrame, state_path: str, config: JudgeConfig | None = None) -> RunStats:
     c, spark = config or JudgeConfig(), pairs.sparkSession
-    todo = pending(pairs, _state(spark, state_path), c.retry_errors)
+    state = _state(spark, state_path)
+    todo = pending(pairs, state, c.retry_errors)
     stats = RunStats(total=pairs.count())
-    left = todo.count()
+    left = stats.total if state is None else pending(pairs.select("key"), state, c.retry_errors).count()
     stats.skipped = stats.total - left
     save = lambda records: append_state(records.withColumn("doc_id", F.col("doc_id").cast("string")), state_path)
     if c.judge is None:
-        save(judge_dry_run(todo).withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
+        # Scores are cheap beside the texts they come from: all pairs are scored where they are, and the records
+        # of those that are done already are left out, so that no text is dealt by its pair's key.
+        save(pending(judge_dry_run(pairs), state, c.retry_errors).withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
     else:
         if c.max_cost is not None:
             todo = within_cost(todo, c.max_cost, c.price_in, c.price_out)

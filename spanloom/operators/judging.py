@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..charsets import SENTENCE_CLOSERS, SENTENCE_END, char_class
 from ..functions.text import retrieval_tokens, stripped
+from .strategies import windows_with
 
 PAIR_KEY = ("strategy", "doc_id", "q_idx", "chunk_seq")
 
@@ -23,6 +24,17 @@ PAIR_KEY = ("strategy", "doc_id", "q_idx", "chunk_seq")
 def build_pairs(chunks: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every question of a document with every chunk of it, keyed."""
     pairs = chunks.select("strategy", id_col, F.col("seq").alias("chunk_seq"), F.col("text").alias("chunk_text")).join(questions.select(id_col, "q_idx", F.col("q").alias("question")), id_col)
+    return _keyed(pairs, id_col)
+
+
+def window_pairs(asked: DataFrame, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`build_pairs` of documents with their ``asked`` and their fixed windows, where the text is: none is shuffled."""
+    chunks = windows_with(asked.where(F.col(id_col).isNotNull() & (F.size("asked") > 0)), ("asked",), max_chars, 0, id_col, text_col)
+    pairs = chunks.select(id_col, "strategy", F.col("seq").alias("chunk_seq"), F.col("text").alias("chunk_text"), F.explode("asked").alias("_a"))
+    return _keyed(pairs.select(id_col, "strategy", "chunk_seq", "chunk_text", F.col("_a.q_idx").alias("q_idx"), F.col("_a.q").alias("question")), id_col)
+
+
+def _keyed(pairs: DataFrame, id_col: str) -> DataFrame:
     return pairs.withColumn("key", F.concat_ws("|", *(F.col(c if c != "doc_id" else id_col).cast("string") for c in PAIR_KEY)))
 
 
@@ -30,9 +42,8 @@ def pending(pairs: DataFrame, state: DataFrame | None, retry_errors: bool = Fals
     """Pairs without a record; records of errors count as done unless ``retry_errors``."""
     if state is None:
         return pairs
-    done = latest(state)
-    if retry_errors:
-        done = done.where("method <> 'error'")
+    # A record is a record, whichever is the last; that matters only where errors are no records.
+    done = latest(state).where("method <> 'error'") if retry_errors else state
     return pairs.join(done.select("key"), "key", "left_anti")
 
 
@@ -54,16 +65,25 @@ def dry_run_score(question: Column, chunk: Column) -> tuple[Column, Column]:
     In a one-chunk index every shared token scores above zero, so only the share
     of the question's tokens matters.
     """
-    q, c = F.array_distinct(retrieval_tokens(question)), F.array_distinct(retrieval_tokens(chunk))
-    shared = F.size(F.array_intersect(q, c))
-    share = shared / F.greatest(F.lit(1), F.size(q))
-    score = F.when(shared == 0, 1).when(share >= 0.5, 4).otherwise(3)
-    reason = F.when(shared == 0, NOTHING_SHARED).when(share >= 0.5, MUCH_SHARED).otherwise(SOME_SHARED)
+    return _scored(_share(question, chunk))
+
+
+def _share(question: Column, chunk: Column) -> Column:
+    """Share of the question's distinct tokens that the chunk has."""
+    q = F.array_distinct(retrieval_tokens(question))
+    return F.size(F.array_intersect(q, retrieval_tokens(chunk))) / F.greatest(F.lit(1), F.size(q))
+
+
+def _scored(share: Column) -> tuple[Column, Column]:
+    score = F.when(share == 0, 1).when(share >= 0.5, 4).otherwise(3)
+    reason = F.when(share == 0, NOTHING_SHARED).when(share >= 0.5, MUCH_SHARED).otherwise(SOME_SHARED)
     return score, reason
 
 
 def judge_dry_run(pairs: DataFrame) -> DataFrame:
-    score, reason = dry_run_score(F.col("question"), F.col("chunk_text"))
+    # As a column of its own, the share is found once; in score and reason it would be at each mention.
+    pairs = pairs.withColumn("_share", _share(F.col("question"), F.col("chunk_text")))
+    score, reason = _scored(F.col("_share"))
     return pairs.select("key", "strategy", "doc_id", "q_idx", "question", "chunk_seq", F.lit(1).alias("schema"), score.alias("score"), reason.alias("reason"), F.lit("dry-run-bm25").alias("method"))
 
 
