@@ -174,6 +174,12 @@ def family_facts(asked: DataFrame, k: int, id_col: str = "doc_id", text_col: str
     return _by_document(asked, [id_col, text_col, "asked"], work, "total bigint, hits bigint, parents bigint, children bigint")
 
 
+def parent_recall_of(families: DataFrame, k: int) -> DataFrame:
+    """k, total, hits, recall of :func:`family_facts`."""
+    total, hits = (F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "hits"))
+    return families.agg(F.lit(k).alias("k"), total.alias("total"), hits.alias("hits"), (hits / F.greatest(F.lit(1), total)).alias("recall"))
+
+
 def _gathered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each id: its first text, and a list of those that repeat the id, which is empty but for odd tables."""
     texts = F.collect_list(text_col)

@@ -6,13 +6,14 @@ import os
 import time
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..charsets import CLOSERS, OPENERS, REPORT_PUNCT, char_class
 from ..functions.counters import token_count
 from ..functions.text import ends_on, hashed_vectors, stripped
-from .retrieval import bm25_topk, failures, parent_recall, question_facts, recall_at_k, vector_topk
+from .documents import Plans, document_facts, family_facts, parent_recall_of
+from .retrieval import bm25_topk, failures, parent_recall, question_facts, recall_at_k, recall_rates, vector_topk
 from .strategies import chunk_documents, family_documents
 
 NAMED = ["fixed-window", "sentence", "token", "recursive", "semantic-hash-toy"]
@@ -122,16 +123,37 @@ def calibration(docs: DataFrame, reference: str, text_col: str = "text") -> Data
 def run_report(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", strategies: list[str] | None = None) -> DataFrame:
     """Recall and shape of every strategy, with the questions it misses."""
     facts = question_facts(chunks, docs, questions, k, id_col, strategies=strategies)
-    missed = facts.where("NOT strict AND NOT union").groupBy("strategy").agg(F.array_sort(F.collect_list(F.concat_ws("|", F.col(id_col).cast("string"), "q"))).alias("misses"))
+    missed = facts.where("NOT strict AND NOT union").groupBy("strategy").agg(F.array_sort(F.collect_list(_question_name(id_col))).alias("misses"))
     return recall_at_k(facts, k).join(compare_strategies(chunks, docs, id_col), "strategy").join(missed, "strategy", "left").withColumn("k", F.lit(k))
 
 
+def _question_name(id_col: str) -> Column:
+    return F.concat_ws("|", F.col(id_col).cast("string"), "q")
+
+
+def run_report_by_document(asked: DataFrame, max_chars: int, overlap_chars: int, k: int, fixed_overlap: int = 0, id_col: str = "doc_id", names: list[str] | None = None) -> DataFrame:
+    """:func:`run_report` of the compared strategies, by documents with their ``asked``: no text is shuffled."""
+    params = build_strategies(max_chars, overlap_chars, fixed_overlap)
+    facts = document_facts(asked, {n: params[n] for n in names or NAMED}, k, id_col)
+    chunks = strategy_chunks(asked, max_chars, overlap_chars, fixed_overlap, id_col, names=names)
+    missed = F.collect_list(F.when(~F.col("strict") & ~F.col("union"), _question_name(id_col)))
+    rows = facts.groupBy("strategy").agg(*recall_rates(k), F.when(F.size(missed) > 0, F.array_sort(missed)).alias("misses"))
+    return rows.join(compare_strategies(chunks, asked, id_col), "strategy").withColumn("k", F.lit(k))
+
+
 def retrieval_interaction(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", strategies: list[str] | None = None) -> DataFrame:
     """strategy, recall by BM25, recall by hashed vectors."""
     by = {name: recall_at_k(question_facts(chunks, docs, questions, k, id_col, top=top, strategies=strategies), k).select("strategy", F.col("recall").alias(name)) for name, top in (("bm25", bm25_topk(chunks, questions, k, id_col)), ("vector", vector_topk(chunks, questions, k, id_col)))}
     return by["bm25"].join(by["vector"], "strategy")
 
 
+def retrieval_interaction_by_document(asked: DataFrame, plans: Plans, k: int, id_col: str = "doc_id") -> DataFrame:
+    """:func:`retrieval_interaction`, by documents with their ``asked``: both retrievers in one pass."""
+    facts = document_facts(asked, plans, k, id_col, retrievers=("bm25", "vector"))
+    recall = lambda how: (F.count_if(F.col("strict") & (F.col("retriever") == how)) / F.greatest(F.lit(1), F.count_if(F.col("retriever") == how))).alias(how)
+    return facts.groupBy("strategy").agg(recall("bm25"), recall("vector"))
+
+
 def parent_child_report(docs: DataFrame, questions: DataFrame, k: int, parent_max: int = 600, child_max: int = 150, overlap: int = 30, id_col: str = "doc_id") -> DataFrame:
     """k, flat recall, parent recall, numbers of parents and children."""
     parents, children = family_documents(docs, id_col, parent_max=parent_max, child_max=child_max, child_overlap=overlap)
@@ -141,6 +163,15 @@ def parent_child_report(docs: DataFrame, questions: DataFrame, k: int, parent_ma
     return out.crossJoin(flat.select(F.col("recall").alias("flat_recall"))).crossJoin(counts)
 
 
+def parent_child_report_by_document(asked: DataFrame, k: int, parent_max: int = 600, child_max: int = 150, overlap: int = 30, id_col: str = "doc_id") -> DataFrame:
+    """:func:`parent_child_report`, by documents with their ``asked``: no text is shuffled."""
+    flat = recall_at_k(document_facts(asked, {"recursive": ("recursive", {"max_chars": child_max, "overlap_chars": overlap})}, k, id_col), k)
+    families = family_facts(asked, k, id_col, parent_max=parent_max, child_max=child_max, child_overlap=overlap)
+    out = parent_recall_of(families, k).select("k", F.col("recall").alias("parent_recall"))
+    counts = families.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("parents", "children")))
+    return out.crossJoin(flat.select(F.col("recall").alias("flat_recall"))).crossJoin(counts)
+
+
 def as_markdown(rows: DataFrame, columns: list[str] | None = None) -> str:
     """A report table as Markdown, rendered on the driver."""
     columns = columns or rows.columns
