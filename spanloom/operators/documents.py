@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..batches import lean, small_batches, text_slices
+from ..charsets import REPORT_PUNCT, WS
 from ..functions.text import hashed_vectors, token_list
 from . import spans as sp
 from .strategies import Families, Piece, Splitter, splitter
@@ -156,6 +157,31 @@ def document_facts(asked: DataFrame, plans: Plans, k: int, id_col: str = "doc_id
     return _by_document(asked, [id_col, text_col, "asked"], work, "strategy string, retriever string, q_idx int, q string, relevant bigint, strict boolean, union boolean")
 
 
+def document_shapes(asked: DataFrame, plans: Plans, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each strategy and document: id, strategy, total, strict_hits, union_hits, relevant and misses of its questions; chunks, their least, most and covered characters, ends_punct."""
+    splits = {name: _split(strategy, params) for name, (strategy, params) in plans.items()}
+
+    def work(text, questions):
+        out, asked_for = [], questions or []
+        for name, split in splits.items():
+            pieces = split(text) if text else []
+            chunks = [text[p.start : p.end] for p in pieces]
+            best = bm25_ranks(chunks, [q["q"] or "" for q in asked_for], k) if asked_for else []
+            facts = [_credit(text or "", pieces, q["gold"], [i for i, _ in of_q]) for q, of_q in zip(asked_for, best, strict=True)]
+            sizes = [len(c) for c in chunks]
+            missed = [q["q"] for q, (_, strict, union) in zip(asked_for, facts, strict=True) if not strict and not union]
+            out.append((
+                name, len(facts), sum(s for _, s, _ in facts), sum(u for _, _, u in facts), sum(r for r, _, _ in facts), missed,
+                len(chunks), min(sizes, default=None), max(sizes, default=None), sum(sizes), sum((c.rstrip(WS)[-1:] or "a") in REPORT_PUNCT for c in chunks),
+            ))
+        return out
+
+    return _by_document(
+        asked, [id_col, text_col, "asked"], work,
+        "strategy string, total bigint, strict_hits bigint, union_hits bigint, relevant bigint, misses array<string>, chunks bigint, least int, most int, covered bigint, ends_punct bigint",
+    )
+
+
 def family_facts(asked: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """id, total, hits, parents, children of every document: its questions, and those whose gold starts in the parent of one of the best ``k`` children."""
     families = Families(**params)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..charsets import CLOSERS, OPENERS, REPORT_PUNCT, char_class
 from ..functions.counters import token_count
 from ..functions.text import ends_on, hashed_vectors, stripped
-from .documents import Plans, document_facts, family_facts, parent_recall_of
-from .retrieval import bm25_topk, failures, parent_recall, question_facts, recall_at_k, recall_rates, vector_topk
+from .documents import Plans, document_facts, document_shapes, family_facts, parent_recall_of
+from .retrieval import bm25_topk, failures, parent_recall, question_facts, recall_at_k, vector_topk
 from .strategies import chunk_documents, family_documents
 
 NAMED = ["fixed-window", "sentence", "token", "recursive", "semantic-hash-toy"]
@@ -134,11 +134,19 @@ def _question_name(id_col: str) -> Column:
 def run_report_by_document(asked: DataFrame, max_chars: int, overlap_chars: int, k: int, fixed_overlap: int = 0, id_col: str = "doc_id", names: list[str] | None = None) -> DataFrame:
     """:func:`run_report` of the compared strategies, by documents with their ``asked``: no text is shuffled."""
     params = build_strategies(max_chars, overlap_chars, fixed_overlap)
-    facts = document_facts(asked, {n: params[n] for n in names or NAMED}, k, id_col)
-    chunks = strategy_chunks(asked, max_chars, overlap_chars, fixed_overlap, id_col, names=names)
-    missed = F.collect_list(F.when(~F.col("strict") & ~F.col("union"), _question_name(id_col)))
-    rows = facts.groupBy("strategy").agg(*recall_rates(k), F.when(F.size(missed) > 0, F.array_sort(missed)).alias("misses"))
-    return rows.join(compare_strategies(chunks, asked, id_col), "strategy").withColumn("k", F.lit(k))
+    rows = document_shapes(asked, {n: params[n] for n in names or NAMED}, k, id_col)
+    named = F.transform("misses", lambda q: F.concat_ws("|", F.col(id_col).cast("string"), q))
+    of_all = F.flatten(F.collect_list(F.when(F.size("misses") > 0, named)))
+    sums = rows.groupBy("strategy").agg(
+        *(F.sum(c).alias(c) for c in ("total", "strict_hits", "union_hits", "relevant", "chunks", "covered", "ends_punct")), F.min("least").alias("min_chars"), F.max("most").alias("max_chars"), of_all.alias("misses"),
+    ).where("total > 0 AND chunks > 0")
+    chars = asked.agg(F.greatest(F.lit(1), F.coalesce(F.sum(F.length("text")), F.lit(0))).alias("total_chars"))
+    total, strict, union = F.col("total"), F.col("strict_hits"), F.col("union_hits")
+    return sums.crossJoin(F.broadcast(chars)).select(
+        "strategy", "total", "strict_hits", "union_hits", (strict / total).alias("recall"), (F.col("relevant") / (total * k)).alias("precision"), ((strict + union) / total).alias("union_recall"),
+        "chunks", F.round(F.col("covered") / F.col("chunks"), 1).alias("avg_chars"), "min_chars", "max_chars", "ends_punct", F.round(F.col("ends_punct") / F.col("chunks"), 3).alias("punct_share"),
+        F.round(F.col("covered") / F.col("total_chars"), 3).alias("coverage"), F.when(F.size("misses") > 0, F.array_sort("misses")).alias("misses"), F.lit(k).alias("k"),
+    )
 
 
 def retrieval_interaction(chunks: DataFrame, docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", strategies: list[str] | None = None) -> DataFrame:
